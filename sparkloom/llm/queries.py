@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import ensure_importable, table
-from . import chat, html_extract, packing, quality, secret_scan
+from ..session import ensure_importable, materialize, shared_dir, table
+from . import chat, html_extract, packing, quality, rollups, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +62,34 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.as_events(logs)))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches over all documents: every one is inserted; those whose
+    text a smaller doc_id of the same source and language has are deleted;
+    the others' BPE counts are revised to the tidied text. The second batch
+    arrives twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    counts = rollups.token_counts(docs.withColumn("same", F.sha2(F.to_json(F.struct("source", "lang", F.coalesce("text", F.lit("")).alias("text"))), 256)), vocabulary())
+    counts = materialize(counts)
+    seen = materialize(counts.join(counts.groupBy("same").agg(F.min("doc_id").alias("first_id")), "same"))
+    again = seen.where("doc_id <> first_id")
+    versions = {"words": "n_words", "byte_bpe_50k": "n_bpe"}
+    kept = rollups.Rollup(spark, shared_dir(spark))
+    kept.commit("insert", rollups.changes(counts, versions))
+    for _ in range(2):
+        kept.commit("delete", rollups.changes(again, versions, -1))
+    kept.commit("revise", rollups.revisions(seen.where("doc_id = first_id"), "byte_bpe_50k", "n_bpe", "n_bpe_tidy"))
+    return kept.totals()
+
+
 def queries() -> dict[str, Query]:
-    own = [op2_quality_rules, op3_best_fit_packing, op4_secret_scans, op5_html_extraction, op6_chat_formatting]
+    own = [op2_quality_rules, op3_best_fit_packing, op4_secret_scans, op5_html_extraction, op6_chat_formatting, op8_toxicity, op9_token_counts]
     return {f.__name__: prepared(f) for f in own}
 
 
