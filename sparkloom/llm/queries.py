@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_importable, materialize, shared_dir, table
-from . import chat, html_extract, packing, quality, rollups, secret_scan, toxicity
+from . import chat, html_extract, ngram_jaccard, packing, quality, rollups, secret_scan, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def prepared(query: Query) -> Query:
     return run
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.similar_classes(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).drop("text")
@@ -89,7 +93,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op2_quality_rules, op3_best_fit_packing, op4_secret_scans, op5_html_extraction, op6_chat_formatting, op8_toxicity, op9_token_counts]
+    own = [op1_ngram_jaccard_join, op2_quality_rules, op3_best_fit_packing, op4_secret_scans, op5_html_extraction, op6_chat_formatting, op8_toxicity, op9_token_counts]
     return {f.__name__: prepared(f) for f in own}
 
 
