@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_importable, materialize, shared_dir, table
-from . import chat, html_extract, ngram_jaccard, packing, quality, rollups, secret_scan, toxicity
+from . import chat, html_extract, ngram_jaccard, packing, quality, rollups, secret_scan, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,8 +92,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.totals()
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = substring.remove_repeats(docs)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    own = [op1_ngram_jaccard_join, op2_quality_rules, op3_best_fit_packing, op4_secret_scans, op5_html_extraction, op6_chat_formatting, op8_toxicity, op9_token_counts]
+    own = [op1_ngram_jaccard_join, op2_quality_rules, op3_best_fit_packing, op4_secret_scans, op5_html_extraction, op6_chat_formatting, op8_toxicity, op9_token_counts, op10_substring_dedup]
     return {f.__name__: prepared(f) for f in own}
 
 
