@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_importable, materialize, shared_dir, table
-from . import chat, html_extract, ngram_jaccard, packing, quality, rollups, secret_scan, substring, toxicity
+from . import chat, decontaminate, html_extract, ngram_jaccard, packing, quality, rollups, secret_scan, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,6 +66,12 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(chat.as_events(logs)))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels")))
@@ -99,7 +105,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_ngram_jaccard_join, op2_quality_rules, op3_best_fit_packing, op4_secret_scans, op5_html_extraction, op6_chat_formatting, op8_toxicity, op9_token_counts, op10_substring_dedup]
+    own = [op1_ngram_jaccard_join, op2_quality_rules, op3_best_fit_packing, op4_secret_scans, op5_html_extraction, op6_chat_formatting, op7_benchmark_decontamination, op8_toxicity, op9_token_counts, op10_substring_dedup]
     return {f.__name__: prepared(f) for f in own}
 
 
