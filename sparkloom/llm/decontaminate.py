@@ -29,13 +29,13 @@ LEAST_PASSAGE = 32
 #: Bytes of item text in one index; more items make more indexes, each broadcast by itself.
 INDEX_BYTES = 8_000_000
 
-#: Words are runs of ASCII letters, digits and bytes beyond ASCII; ASCII letters are lower-cased.
+#: Words are runs of ASCII letters, digits and all characters beyond ASCII, lower-cased.
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
 _ANSWER = re.compile(rb"^(.*[.!?:][\x20\x09-\x0D]+)([^\x20\x09-\x0D].*)$", re.S)
 
 
 def plain(text: bytes) -> bytes:
-    return text.lower().translate(_WORDS)
+    return text.decode("utf-8", "replace").lower().encode().translate(_WORDS)
 
 
 def parts(item: bytes) -> tuple[list[bytes], list[bytes]]:

@@ -22,7 +22,7 @@ from ..session import materialize
 from . import kernel
 
 WINDOW, GRAM = 13, 5
-BLOCK_CELLS, BUCKET_CELLS, LEAST_BUCKETS = 800_000, 1_000_000, 64
+BLOCK_CELLS, BUCKET_CELLS, LEAST_BUCKETS = 400_000, 500_000, 64
 
 
 def cells(docs: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
