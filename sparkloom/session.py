@@ -9,6 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Python workers live long; large arrays go back to the system when freed.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "16777216", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -18,7 +21,8 @@ def ensure_importable(spark: SparkSession) -> None:
     On a cluster the package is installed or shipped by ``--py-files``; this
     covers sessions started from another folder without a PYTHONPATH.
     """
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    for name, value in {"PYTHONPATH": ROOT, **WORKER_MEMORY}.items():
+        spark.sparkContext.environment.setdefault(name, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
