@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd hash base and of its inverse modulo 2**64."""
     if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(20, int(n).bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             x = np.full(size, base, np.uint64)
             x[0] = 1
@@ -126,7 +126,7 @@ def distinct_per_doc(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.nda
     return doc[keep], h[keep]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each slice holds at most ``most`` bytes of text,
     or one row. Memory then follows the longest text, not the batch."""
     for batch in batches:
