@@ -1,0 +1 @@
+"""Reserved for later rounds."""
