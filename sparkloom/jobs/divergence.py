@@ -72,7 +72,7 @@ ORACLE = {
     "qcut_deciles": f"WITH {_D1}, {_B}, {_EDGES} SELECT {_BIN.format('clade')} AS bin, count(*) AS n, min(clade) AS lo, max(clade) AS hi FROM b, e GROUP BY 1",
     "bin_event_thresholds": f"WITH {_D1}, {_B}, {_EDGES}, x AS (SELECT unnest([event_type, 'overall']) AS event_type, {_BIN.format('clade')} AS bin, score FROM b, e) SELECT event_type, bin, round(quantile_cont(score, {SHARE}), 4) AS threshold, count(*) AS n FROM x GROUP BY 1, 2",
     "adaptive_switch_calls": _CALLS + "SELECT event_type, CAST(count_if(is_switch) AS bigint) AS n_switches, count(*) AS n FROM c GROUP BY 1",
-    "dense_position_tally": _CALLS + f"SELECT CAST(g.p AS integer) AS position, CAST(count_if(c.is_switch) AS bigint) AS n_switches FROM range(1, {GRID_LAST + 1}) g(p) LEFT JOIN c ON c.position = g.p GROUP BY 1",
+    "dense_position_tally": _CALLS + f"SELECT CAST(g.p AS integer) AS position, CAST(coalesce(count_if(c.is_switch), 0) AS bigint) AS n_switches FROM range(1, {GRID_LAST + 1}) g(p) LEFT JOIN c ON c.position = g.p GROUP BY 1",
     "hard_threshold_sweep": f"WITH {_D1}, t AS (SELECT CAST(unnest({CUTOFFS}) AS double) AS threshold) SELECT threshold, count(*) AS n_calls, count(DISTINCT node) AS n_nodes FROM d1 JOIN t ON greatest(score_left, score_right) >= threshold GROUP BY 1",
 }
 
