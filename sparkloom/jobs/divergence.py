@@ -89,7 +89,7 @@ SHARED = {
     "domain_density": f"WITH {_D1}, dom AS (SELECT 'd1' AS domain, 1 AS lo, 5 AS hi UNION ALL SELECT 'd2', 6, 15 UNION ALL SELECT 'd3', 16, 25 UNION ALL SELECT 'd4', 26, 35 UNION ALL SELECT 'd5', 36, 45 UNION ALL SELECT 'd6', 46, 50) SELECT domain, event_type, count(*) AS n, count(CASE WHEN greatest(score_left, score_right) >= 80000 THEN 1 END) AS n_calls, count(DISTINCT position) AS n_positions FROM d1 JOIN dom ON position BETWEEN lo AND hi GROUP BY domain, event_type",
     "column_residues": f"WITH {_CHARS} SELECT lang, position, count(*) AS n, count(CASE WHEN residue BETWEEN 'a' AND 'z' THEN 1 END) AS n_occupied, count(DISTINCT residue) AS n_residues FROM m GROUP BY lang, position",
     "top_residue": f"WITH {_CHARS}, c AS (SELECT lang, position, residue, count(*) AS n FROM m WHERE residue BETWEEN 'a' AND 'z' GROUP BY lang, position, residue) SELECT lang, position, residue, n FROM (SELECT c.*, row_number() OVER (PARTITION BY lang, position ORDER BY n DESC, residue) AS rk FROM c) r WHERE rk = 1",
-    "column_entropy": f"WITH {_CHARS}, c AS (SELECT lang, position, residue, count(*) AS n FROM m WHERE residue BETWEEN 'a' AND 'z' GROUP BY lang, position, residue), s AS (SELECT lang, position, CAST(sum(n) AS double) AS total FROM c GROUP BY lang, position) SELECT c.lang, c.position, round(-sum(n / total * log2(n / total)), 6) AS entropy FROM c JOIN s ON c.lang = s.lang AND c.position = s.position GROUP BY c.lang, c.position",
+    "column_entropy": f"WITH {_CHARS}, c AS (SELECT lang, position, residue, count(*) AS n FROM m WHERE residue BETWEEN 'a' AND 'z' GROUP BY lang, position, residue), s AS (SELECT lang, position, CAST(sum(n) AS double) AS total FROM c GROUP BY lang, position) SELECT c.lang, c.position, round(0 - sum(n / total * log2(n / total)), 6) AS entropy FROM c JOIN s ON c.lang = s.lang AND c.position = s.position GROUP BY c.lang, c.position",
     "null_exceedances": f"WITH {_D1}, s AS (SELECT side, replicate, greatest(score_left, score_right) AS top FROM d1), t AS (SELECT DISTINCT CAST(p_size * 2000 AS double) AS threshold FROM {{part}}) SELECT threshold, count(CASE WHEN side = 'F' THEN 1 END) AS n_observed, count(CASE WHEN side = 'O' THEN 1 END) AS n_null, count(DISTINCT CASE WHEN side = 'O' THEN replicate END) AS n_replicates FROM s JOIN t ON top >= threshold GROUP BY threshold",
     "maxt_fwer": f"WITH {_D1}, n AS (SELECT replicate, max(greatest(score_left, score_right)) AS top FROM d1 WHERE side = 'O' GROUP BY replicate), o AS (SELECT node, position, event_type, max(greatest(score_left, score_right)) AS top FROM d1 WHERE side = 'F' GROUP BY node, position, event_type) SELECT o.event_type, count(*) AS n, count(CASE WHEN o.top > m.lo THEN 1 END) AS n_over_least, count(CASE WHEN o.top >= m.hi THEN 1 END) AS n_over_most FROM o CROSS JOIN (SELECT min(top) AS lo, max(top) AS hi FROM n) m GROUP BY o.event_type",
     "transfer_highways": "SELECT s.s_nationkey AS donor, c.c_nationkey AS recipient, count(*) AS n, count(DISTINCT o.o_orderkey) AS n_orders FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE s.s_nationkey <> c.c_nationkey GROUP BY s.s_nationkey, c.c_nationkey",
