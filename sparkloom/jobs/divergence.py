@@ -105,7 +105,7 @@ SHARED = {
 }
 
 
-def _shared(sql: str) -> Query:
+def shared(sql: str) -> Query:
     used = [t for t in TABLES if "{" + t + "}" in sql]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,11 +114,14 @@ def _shared(sql: str) -> Query:
     return run
 
 
+def shared_oracle(sql: str) -> str:
+    return sql.format(**{t: t for t in TABLES})
+
+
 def queries() -> dict[str, Query]:
     own = [melt_branches, qcut_deciles, bin_event_thresholds, adaptive_switch_calls, dense_position_tally, hard_threshold_sweep]
-    return {f.__name__: f for f in own} | {k: _shared(s) for k, s in SHARED.items()}
+    return {f.__name__: f for f in own} | {k: shared(s) for k, s in SHARED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    plain = lambda s: s.format(**{t: t for t in TABLES}) if "{" in s else s
-    return {k: plain(s) for k, s in {**ORACLE, **SHARED}.items()}
+    return {k: shared_oracle(s) for k, s in {**ORACLE, **SHARED}.items()}

@@ -1,20 +1,23 @@
 import duckdb
 import pytest
 
-from sparkloom.jobs import divergence
+from sparkloom.jobs import calibration, divergence
 
 SF = "/root/testdata/sf0.001"
 
+QUERIES = divergence.queries() | calibration.queries()
+ORACLE = divergence.oracle_sql() | calibration.oracle_sql()
+
 
 def rows(df, columns):
     return sorted(tuple(str(float(x)) if hasattr(x, "dtype") or isinstance(x, (int, float)) else str(x) for x in r) for r in df[columns].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(divergence.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in divergence.TABLES:
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    got, want = divergence.queries()[name](spark, SF).toPandas(), con.sql(divergence.oracle_sql()[name]).df()
+    got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
