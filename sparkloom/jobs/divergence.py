@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import switches
+from ..operators import columns, switches
 from ..session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,22 @@ def dense_position_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return switches.dense_tally(switches.adaptive_calls(facts(spark, sf_dir), BINS, SHARE), 1, GRID_LAST)
 
 
+def column_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.occupancy(_residues(spark, sf_dir), "lang")
+
+
+def top_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.top_residue(_residues(spark, sf_dir), "lang")
+
+
+def column_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.entropy(_residues(spark, sf_dir), "lang")
+
+
+def _residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return columns.residue_counts(table(spark, sf_dir, "documents"), "lang", "text")
+
+
 CUTOFFS = [20000.0, 40000.0, 60000.0, 80000.0, 90000.0]
 
 
@@ -67,7 +83,12 @@ _BIN = "greatest(len(list_filter(edges, lambda x: x < {0})), 1) - 1"
 _CALLS = f"""WITH {_D1}, {_B}, {_EDGES}, t AS (SELECT {_BIN.format('clade')} AS bin, quantile_cont(score, {SHARE}) AS threshold FROM b, e GROUP BY 1),
 c AS (SELECT d1.*, (score_left >= tl.threshold OR score_right >= tr.threshold) AS is_switch FROM d1 CROSS JOIN e JOIN t tl ON tl.bin = {_BIN.format('clade_left')} JOIN t tr ON tr.bin = {_BIN.format('clade_right')}) """
 
+_RESIDUES = "x AS (SELECT lang, regexp_extract_all(text, '(?s).') AS xs FROM documents), m AS (SELECT lang, unnest(xs) AS residue, CAST(generate_subscripts(xs, 1) AS integer) AS position FROM x), c AS (SELECT lang, position, residue, count(*) AS n FROM m GROUP BY ALL)"
+
 ORACLE = {
+    "column_residues": f"WITH {_RESIDUES} SELECT lang, position, CAST(sum(n) AS bigint) AS n, CAST(coalesce(sum(n) FILTER (residue BETWEEN 'a' AND 'z'), 0) AS bigint) AS n_occupied, count(*) AS n_residues FROM c GROUP BY ALL",
+    "top_residue": f"WITH {_RESIDUES} SELECT lang, position, residue, n FROM c WHERE residue BETWEEN 'a' AND 'z' QUALIFY row_number() OVER (PARTITION BY lang, position ORDER BY n DESC, residue) = 1",
+    "column_entropy": f"WITH {_RESIDUES}, s AS (SELECT lang, position, n / CAST(sum(n) OVER (PARTITION BY lang, position) AS double) AS p FROM c WHERE residue BETWEEN 'a' AND 'z') SELECT lang, position, round(0 - sum(p * log2(p)), 6) AS entropy FROM s GROUP BY ALL",
     "melt_branches": f"WITH {_D1}, {_B} SELECT branch, event_type, position, count(*) AS n, max(score) AS top_score, min(clade) AS least_clade FROM b GROUP BY 1, 2, 3",
     "qcut_deciles": f"WITH {_D1}, {_B}, {_EDGES} SELECT {_BIN.format('clade')} AS bin, count(*) AS n, min(clade) AS lo, max(clade) AS hi FROM b, e GROUP BY 1",
     "bin_event_thresholds": f"WITH {_D1}, {_B}, {_EDGES}, x AS (SELECT unnest([event_type, 'overall']) AS event_type, {_BIN.format('clade')} AS bin, score FROM b, e) SELECT event_type, bin, round(quantile_cont(score, {SHARE}), 4) AS threshold, count(*) AS n FROM x GROUP BY 1, 2",
@@ -78,7 +99,6 @@ ORACLE = {
 
 #: Queries whose text both engines run; {table} names a table.
 _POS = "p AS (SELECT position, count(*) AS n FROM d1 WHERE greatest(score_left, score_right) >= 80000 GROUP BY position)"
-_CHARS = "m AS (SELECT lang, CAST(position AS integer) AS position, substr(seq, CAST(position AS integer), 1) AS residue FROM (SELECT lang, substr(text, 1, 64) AS seq FROM {documents} WHERE n_chars >= 64) s CROSS JOIN (SELECT DISTINCT p_size AS position FROM {part} WHERE p_size <= 50) g)"
 _TREE = "tree AS (SELECT 'root' AS parent, concat('r', CAST(r_regionkey AS string)) AS node, CAST(r_regionkey + 1 AS double) AS len FROM {region} UNION ALL SELECT concat('r', CAST(n_regionkey AS string)), concat('n', CAST(n_nationkey AS string)), CAST(n_nationkey + 1 AS double) FROM {nation} UNION ALL SELECT concat('n', CAST(s_nationkey AS string)), concat('s', CAST(s_suppkey AS string)), CAST(s_suppkey % 7 + 1 AS double) FROM {supplier})"
 SHARED = {
     "percentile_threshold_stats": f"WITH {_D1}, q AS (SELECT event_type, max(score_left) AS top_left, min(score_left) AS low_left, count(*) AS n, count(DISTINCT node) AS n_nodes FROM d1 GROUP BY event_type) SELECT * FROM q",
@@ -87,9 +107,6 @@ SHARED = {
     "moving_average_5": f"WITH {_D1}, {_POS} SELECT position, n, CAST(sum(n) OVER w AS bigint) AS window_sum, count(*) OVER w AS window_n FROM p WINDOW w AS (ORDER BY position ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
     "contiguous_regions": f"WITH {_D1}, {_POS}, hot AS (SELECT position, position - row_number() OVER (ORDER BY position) AS island FROM p WHERE n >= (SELECT avg(n) FROM p)) SELECT min(position) AS first_position, max(position) AS last_position, count(*) AS size FROM hot GROUP BY island",
     "domain_density": f"WITH {_D1}, dom AS (SELECT 'd1' AS domain, 1 AS lo, 5 AS hi UNION ALL SELECT 'd2', 6, 15 UNION ALL SELECT 'd3', 16, 25 UNION ALL SELECT 'd4', 26, 35 UNION ALL SELECT 'd5', 36, 45 UNION ALL SELECT 'd6', 46, 50) SELECT domain, event_type, count(*) AS n, count(CASE WHEN greatest(score_left, score_right) >= 80000 THEN 1 END) AS n_calls, count(DISTINCT position) AS n_positions FROM d1 JOIN dom ON position BETWEEN lo AND hi GROUP BY domain, event_type",
-    "column_residues": f"WITH {_CHARS} SELECT lang, position, count(*) AS n, count(CASE WHEN residue BETWEEN 'a' AND 'z' THEN 1 END) AS n_occupied, count(DISTINCT residue) AS n_residues FROM m GROUP BY lang, position",
-    "top_residue": f"WITH {_CHARS}, c AS (SELECT lang, position, residue, count(*) AS n FROM m WHERE residue BETWEEN 'a' AND 'z' GROUP BY lang, position, residue) SELECT lang, position, residue, n FROM (SELECT c.*, row_number() OVER (PARTITION BY lang, position ORDER BY n DESC, residue) AS rk FROM c) r WHERE rk = 1",
-    "column_entropy": f"WITH {_CHARS}, c AS (SELECT lang, position, residue, count(*) AS n FROM m WHERE residue BETWEEN 'a' AND 'z' GROUP BY lang, position, residue), s AS (SELECT lang, position, CAST(sum(n) AS double) AS total FROM c GROUP BY lang, position) SELECT c.lang, c.position, round(0 - sum(n / total * log2(n / total)), 6) AS entropy FROM c JOIN s ON c.lang = s.lang AND c.position = s.position GROUP BY c.lang, c.position",
     "null_exceedances": f"WITH {_D1}, s AS (SELECT side, replicate, greatest(score_left, score_right) AS top FROM d1), t AS (SELECT DISTINCT CAST(p_size * 2000 AS double) AS threshold FROM {{part}}) SELECT threshold, count(CASE WHEN side = 'F' THEN 1 END) AS n_observed, count(CASE WHEN side = 'O' THEN 1 END) AS n_null, count(DISTINCT CASE WHEN side = 'O' THEN replicate END) AS n_replicates FROM s JOIN t ON top >= threshold GROUP BY threshold",
     "maxt_fwer": f"WITH {_D1}, n AS (SELECT replicate, max(greatest(score_left, score_right)) AS top FROM d1 WHERE side = 'O' GROUP BY replicate), o AS (SELECT node, position, event_type, max(greatest(score_left, score_right)) AS top FROM d1 WHERE side = 'F' GROUP BY node, position, event_type) SELECT o.event_type, count(*) AS n, count(CASE WHEN o.top > m.lo THEN 1 END) AS n_over_least, count(CASE WHEN o.top >= m.hi THEN 1 END) AS n_over_most FROM o CROSS JOIN (SELECT min(top) AS lo, max(top) AS hi FROM n) m GROUP BY o.event_type",
     "transfer_highways": "SELECT s.s_nationkey AS donor, c.c_nationkey AS recipient, count(*) AS n, count(DISTINCT o.o_orderkey) AS n_orders FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE s.s_nationkey <> c.c_nationkey GROUP BY s.s_nationkey, c.c_nationkey",
@@ -119,7 +136,7 @@ def shared_oracle(sql: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    own = [melt_branches, qcut_deciles, bin_event_thresholds, adaptive_switch_calls, dense_position_tally, hard_threshold_sweep]
+    own = [column_residues, top_residue, column_entropy, melt_branches, qcut_deciles, bin_event_thresholds, adaptive_switch_calls, dense_position_tally, hard_threshold_sweep]
     return {f.__name__: f for f in own} | {k: shared(s) for k, s in SHARED.items()}
 
 
