@@ -129,12 +129,13 @@ def segment_keys(doc: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den
 def sketches(doc: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
     """A parity bit sketch of each set, of the next power of two of four times
     its size in bits (64 at least), so that few differences cancel out; halves
-    fold onto each other by XOR."""
+    fold onto each other by XOR: a place's low six bits are the bit of its
+    word at every width, the next ones the word."""
     bits = 64 << np.maximum(0, np.ceil(np.log2(np.maximum(4 * size, 1))).astype(np.int64) - 6)
     base = np.append(0, np.cumsum(bits >> 6))
     place = (kernel.mix(h + np.uint64(0x3C6EF372FE94F82B)) & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
     words = np.zeros(base[-1], np.uint64)
-    np.bitwise_xor.at(words, base[doc] + (place & ((bits[doc] >> 6) - 1)), np.uint64(1) << (place >> np.log2(bits[doc] >> 6).astype(np.int64)).astype(np.uint64))
+    np.bitwise_xor.at(words, base[doc] + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
     return [words[i:j].tobytes() for i, j in zip(base[:-1], base[1:], strict=True)]
 
 
