@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies (five words, 0.8) the smallest doc_id;
     rows that share it stay together, and rows without one stay."""
     _ready(spark)
-    classes = ngram_jaccard.similar_classes(docs, k=5, num=80, den=100)
+    classes = ngram_jaccard.similar_classes(docs, k=5, num=80, den=100, count_links=False)
     gone = materialize(classes.where("component_id <> doc_id").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 

@@ -25,6 +25,8 @@ from .components import components
 BAND = 1.3
 #: Keys that a task gathers before it writes them, and about how many a bucket of the shuffle holds.
 BLOCK_KEYS, BUCKET_KEYS, LEAST_BUCKETS = 300_000, 500_000, 64
+#: Sets and shingles of a block whose links are counted in one task; distinct shingles taken at once.
+COUNT_SETS, COUNT_SHINGLES, COUNT_COLUMNS = 1024, 1_000_000, 1 << 14
 
 
 def shingles(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -336,17 +338,98 @@ def _rest(buckets: DataFrame, reps: DataFrame, comp: DataFrame, num: int, den: i
     return rows.groupBy(groups).applyInArrow(meet, "a long, b long").distinct()
 
 
-def similar_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", key: str = "doc_id", block: int = 4096, sample: int = 20_000, least: int = 4, most: int = 100_000) -> DataFrame:
-    """(key, n_shingles, component_id, class_id, n_links), a row for each of ``docs``.
+def link_counts(sets: list[np.ndarray], left: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many of the other sets (distinct hashes each) each one links with;
+    if any is not ``left``, only pairs of one ``left`` and one that isn't."""
+    size = np.array([len(x) for x in sets])
+    who = np.repeat(np.arange(len(sets)), size)
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # a shingle that one set holds adds to no intersection
+    place = np.cumsum(held > 1) - 1
+    on = held[column] > 1
+    who, column = who[on], place[column[on]]
+    order = np.argsort(column, kind="stable")
+    who, column = who[order], column[order]
+    a, b = (np.flatnonzero(left), np.flatnonzero(~left)) if not left.all() else (np.arange(len(sets)),) * 2
+    both = np.zeros((len(a), len(b)), np.int64)
+    n = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, n, COUNT_COLUMNS):
+        i, j = np.searchsorted(column, (lo, lo + COUNT_COLUMNS))
+        dense = np.zeros((len(sets), -(-min(COUNT_COLUMNS, n - lo) // 64) * 64), bool)
+        dense[who[i:j], column[i:j] - lo] = True
+        bits = np.packbits(dense, axis=1).view(np.uint64)
+        other = bits[b]
+        for row, x in enumerate(a):
+            both[row] += np.bitwise_count(other & bits[x]).sum(axis=1, dtype=np.int64)
+    linked = den * both >= num * (size[a][:, None] + size[b][None, :] - both)
+    out = np.zeros(len(sets), np.int64)
+    if left.all():
+        np.fill_diagonal(linked, False)
+        return linked.sum(axis=1)
+    out[a], out[b] = linked.sum(axis=1), linked.sum(axis=0)
+    return out
+
+
+def _degrees(docs: DataFrame, reps: DataFrame, comp: DataFrame, k: int, num: int, den: int, text: str, key: str) -> DataFrame:
+    """(fp, fp2, n, n_links): all links of each class. Linked classes are in
+    one component, so all pairs of a component are compared exactly, in
+    blocks if they are many; a block gives each of its sets one row."""
+    label = _labels(reps.select("fp", "fp2", "n", "rep"), comp)
+    many = label.groupBy("comp").agg(F.count("*").alias("_sets"), F.sum("n").alias("_shingles")).where("_sets > 1")
+    many = many.withColumn("_blocks", F.ceil(F.greatest(F.col("_sets") / COUNT_SETS, F.col("_shingles") / COUNT_SHINGLES)))
+    many = materialize(many)
+    n_groups = LEAST_BUCKETS + int(many.agg(F.sum(F.col("_shingles") * F.col("_blocks"))).first()[0] or 0) // COUNT_SHINGLES
+    wanted = label.join(many, "comp").select("fp", "fp2", "n", "rep", "comp", "_blocks")
+    some = docs.withColumn(key, F.col(key).cast("long")).join(wanted.select(F.col("rep").alias(key)).distinct(), key, "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernel.slices(batches, text):
+            doc, h = shingles(kernel.raw(batch.column(text)), k)
+            size, fp, fp2 = prints(doc, h, batch.num_rows)
+            cut = np.append(0, np.cumsum(size))
+            held = [h[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(size), _as_long(fp), _as_long(fp2), pa.array(held, pa.binary())], names=["rep", "n", "fp", "fp2", "h"])
+
+    held = some.select(key, text).mapInArrow(run, "rep long, n long, fp long, fp2 long, h binary")
+    rows = held.join(wanted, ["rep", "n", "fp", "fp2"]).withColumn("_own", F.pmod(F.xxhash64("fp", "fp2"), F.col("_blocks")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    rows = rows.select("comp", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), (F.col("_own") <= F.col("_other")).alias("left"), "fp", "fp2", "n", "h")
+
+    def count(table: pa.Table) -> pa.Table:
+        order = ["comp", "x", "y", "fp", "fp2", "n"]
+        table = table.sort_by([(c, "ascending") for c in order])
+        ids = [table.column(c).to_numpy() for c in order]
+        # rows of one document repeat their set
+        new = np.append(True, np.any([x[1:] != x[:-1] for x in ids], axis=0))
+        ids, left, h = [x[new] for x in ids], table.column("left").to_numpy()[new], table.column("h").filter(pa.array(new))
+        cut = np.append(np.flatnonzero(np.append(True, np.any([x[1:] != x[:-1] for x in ids[:3]], axis=0))), len(left))
+        links = [np.zeros(0, np.int64)]
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            x = ids[1][i] != ids[2][i]
+            if x and (left[i:j].all() or not left[i:j].any()):
+                links.append(np.zeros(j - i, np.int64))
+                continue
+            sets = [np.frombuffer(v, np.uint64) for v in h.slice(i, j - i).to_pylist()]
+            links.append(link_counts(sets, left[i:j], num, den))
+        return pa.table({"fp": ids[3], "fp2": ids[4], "n": ids[5], "n_links": np.concatenate(links)})
+
+    groups = F.pmod(F.xxhash64("comp", "x", "y"), F.lit(n_groups)).alias("_group")
+    parts = rows.groupBy(groups).applyInArrow(count, "fp long, fp2 long, n long, n_links long")
+    return parts.groupBy("fp", "fp2", "n").agg(F.sum("n_links").alias("n_links"))
+
+
+def similar_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, text: str = "text", key: str = "doc_id", block: int = 4096, sample: int = 20_000, least: int = 4, most: int = 100_000, count_links: bool = True) -> DataFrame:
+    """(key, n_shingles, component_id, class_id, n_links), a row for each of
+    ``docs``; n_links only if ``count_links``.
 
     Documents link when den * |intersection| >= num * |union| of their sets of
     distinct k-word shingles; class_id is the smallest key with the same set,
     component_id the smallest reachable by links, n_links the number of other
-    classes that were compared and linked. Null or empty texts have no
+    classes that link with it, all counted. Null or empty texts have no
     shingle and link with nothing; so every key stands for itself there.
     Repeated rows each get a row; other columns are ignored; an empty table
-    gives an empty one. Within a bucket only components matter: sets that are
-    joined already are not compared again, all others are: first each set with
+    gives an empty one. For components, sets that are joined already are not
+    compared again, all others are: first each set with
     the hub that it shares most segments with, then with its other hubs in
     other components, then the sets of buckets that are not one component yet.
     """
@@ -376,7 +459,11 @@ def similar_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
     if not more.isEmpty():
         links = links.union(more)
         comp = components(links)
-    degree = links.union(links.select("b", "a")).distinct().groupBy("a").agg(F.count("*").alias("n_links")).withColumnRenamed("a", "rep")
-    classes = reps.select("fp", "fp2", "n", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    out = sets.drop("sketch").join(classes, ["fp", "fp2", "n"], "left")
-    return out.select(key, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", key).alias("component_id"), F.coalesce("rep", key).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    names = ["fp", "fp2", "n"]
+    classes = reps.select(*names, "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
+    out = sets.drop("sketch").join(classes, names, "left")
+    known = [key, F.col("n").alias("n_shingles"), F.coalesce("component", "rep", key).alias("component_id"), F.coalesce("rep", key).alias("class_id")]
+    if not count_links:
+        return out.select(*known)
+    out = out.join(_degrees(docs, reps, comp, k, num, den, text, key), names, "left")
+    return out.select(*known, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

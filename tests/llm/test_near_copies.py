@@ -72,3 +72,29 @@ def test_links_across_powers_of_two(spark, k, num, den):
     rows = near_rows(k)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["class_id"]) for r in ngram_jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), k, num, den).collect()}
     assert got == {d: x[:3] for d, x in brute(rows, k, num, den).items()}
+
+
+def test_all_links_counted(spark, monkeypatch):
+    """Near copies that all link with each other, in one block and in several."""
+    w = [f"w{i}" for i in range(400)]
+    rows = [(1 + j, " ".join(w[:j] + [f"x{j}"] + w[j + 1 :])) for j in range(0, 400, 40)] + near_rows(3)[:6]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)] + [(100, rows[0][1]), (101, None)]
+    want = brute(rows, 3, 90, 100)
+    assert want[0][3] == 9
+    docs = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string")
+    for block in (1024, 3):
+        monkeypatch.setattr(ngram_jaccard, "COUNT_SETS", block)
+        got = {tuple(r) for r in ngram_jaccard.similar_classes(docs).collect()}
+        assert got == {(d, *x) for d, x in want.items()}
+
+
+def test_link_counts_by_columns(monkeypatch):
+    rng = np.random.default_rng(1)
+    base = np.arange(300, dtype=np.uint64)
+    sets = [np.unique(np.append(rng.choice(base, 290, replace=False), rng.integers(1000, 1010, 3).astype(np.uint64))) for _ in range(40)]
+    link = np.array([[100 * len(np.intersect1d(x, y)) >= 92 * len(np.union1d(x, y)) for y in sets] for x in sets]) & ~np.eye(40, dtype=bool)
+    monkeypatch.setattr(ngram_jaccard, "COUNT_COLUMNS", 64)
+    assert 0 < link.sum() < 1560
+    assert ngram_jaccard.link_counts(sets, np.ones(40, bool), 92, 100).tolist() == link.sum(axis=1).tolist()
+    left = np.arange(40) % 3 == 0
+    assert ngram_jaccard.link_counts(sets, left, 92, 100).tolist() == (link & (left[:, None] ^ left[None, :])).sum(axis=1).tolist()
