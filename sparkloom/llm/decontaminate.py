@@ -191,7 +191,8 @@ def search(index: Index, docs: list[bytes]) -> list[list[dict]]:
                 have = _shingles(around) if index.sizes[item] >= SHINGLE else {tuple(around[j : j + index.sizes[item]]) for j in range(len(around))}
                 short = {tuple(around[j : j + n]) for n in (1, 2) for j in range(len(around))}
                 q, w = index.question[item], index.answer[item]
-                asked, answered = len(q & (have | short)) / max(1, len(q)), len(w & (have | short)) / max(1, len(w))
+                # an item of one word has no answer: a part without words is covered
+                asked, answered = (len(x & (have | short)) / len(x) if x else 1.0 for x in (q, w))
                 if asked >= LEAST_QUESTION and answered >= LEAST_ANSWER:
                     found[doc][item] = {"item_id": index.ids[item], "score": round(score, 9), "question": asked, "answer": answered, "first_word": first}
     return [sorted(x.values(), key=lambda r: r["item_id"]) for x in found]
