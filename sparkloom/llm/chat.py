@@ -4,7 +4,10 @@ A log of events per conversation (messages, streamed deltas, edits,
 regenerations, deletions) is folded into final messages, each rendered with
 a template whose control strings are escaped inside texts, with a loss mask
 over the assistant's texts. Everything streams over sorted partitions; a
-conversation of any length needs the memory of one message.
+conversation of any length needs the memory of a few copies of one message.
+Events are partitioned by conversation and turn, since a turn's fold needs no
+other turn: one conversation may hold a third of all rows. Only what must be
+read in conversation order is partitioned by conversation alone.
 """
 
 from __future__ import annotations
@@ -43,7 +46,8 @@ def render(role: str, text: str) -> tuple[str, int, int]:
     return f"{head}{body}{CLOSE}", *((a, b) if role == LOSS_ROLE else (0, 0))
 
 
-_TURN = re.compile(rf"{re.escape(OPEN)}((?:\\.|[^\\:])*){re.escape(AFTER_ROLE)}((?:\\.|[^\\<])*){re.escape(CLOSE)}", re.S)
+# possessive, so that a long text leaves no trail of places to go back to; the text takes the first character of CLOSE with it
+_TURN = re.compile(rf"{re.escape(OPEN)}([^\\:]*+(?:\\.[^\\:]*+)*+){re.escape(AFTER_ROLE)}([^\\<]*+(?:\\.[^\\<]*+)*+){re.escape(CLOSE[1:])}", re.S)
 
 
 def read_back(formatted: str) -> list[tuple[str, str]]:
@@ -51,9 +55,9 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     out, at = [], 0
     while at < len(formatted):
         m = _TURN.match(formatted, at)
-        if not m:
+        if not m or not m[2].endswith(CLOSE[0]):
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
+        out.append((unescape(m[1]), unescape(m[2][:-1])))
         at = m.end()
     return out
 
@@ -132,7 +136,8 @@ def format_turns(events: DataFrame) -> DataFrame:
 
 def digests(turns: DataFrame) -> DataFrame:
     """Per conversation, read back from its formatted turns: n_turns,
-    turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    turns_sha256, loss_chars, loss_sha256, formatted_chars. A null conv_id is
+    a conversation of its own; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

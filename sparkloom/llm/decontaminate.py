@@ -8,6 +8,7 @@ their question and of their answer with the text around the passage.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -18,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize
 from . import kernel
 
 K1, B = 1.2, 0.75
@@ -26,8 +28,10 @@ BLOCK, COARSE = 16, 64
 LEAST_SCORE, LEAST_QUESTION, LEAST_ANSWER = 0.5, 0.6, 0.5
 SHINGLE = 3
 LEAST_PASSAGE = 32
-#: Bytes of item text in one index; more items make more indexes, each broadcast by itself.
-INDEX_BYTES = 8_000_000
+#: Bytes of item text in one index; more items make more indexes, broadcast one after the other.
+INDEX_BYTES = 4_000_000
+#: Items of at most so many words share an index, longer ones those of at most LONGER times as many, and so on: an index's longest item sets the size of its passages.
+SHORT_ITEM, LONGER = 256, 8
 
 #: Words are runs of ASCII letters, digits and all characters beyond ASCII, lower-cased.
 _WORDS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(128)) + bytes(range(128, 256))
@@ -76,17 +80,34 @@ class Index:
         return max([LEAST_PASSAGE, *self.sizes])
 
 
-def build(items: list[tuple[int, bytes]]) -> Index:
+@dataclass
+class Corpus:
+    """What BM25 takes from all items, however they are split: how many there
+    are, their mean length, and by term hash how many hold the term."""
+
+    n: int
+    mean: float
+    df: dict[int, int]
+
+
+def corpus_of(items: list[tuple[int, bytes]]) -> Corpus:
+    bags = [kernel.Texts([plain(x)]).word_hashes() for _, x in items]
+    bags = [x for x in bags if len(x)]
+    return Corpus(len(bags), sum(map(len, bags)) / max(1, len(bags)), Counter(x for b in bags for x in set(b.tolist())))
+
+
+def build(items: list[tuple[int, bytes]], corpus: Corpus | None = None) -> Index:
+    """The index of ``items``, a part of ``corpus`` (without one, all of it)."""
+    corpus = corpus or corpus_of(items)
     items = sorted((i, t) for i, t in items if plain(t).split())
     words = [plain(t).split() for _, t in items]
     t = kernel.Texts([plain(x) for _, x in items]) if items else None
     hashes = t.word_hashes() if items else np.zeros(0, np.uint64)
     bags = [Counter(hashes[t.offset[i] : t.offset[i + 1]].tolist()) for i in range(len(items))]
-    df = Counter(x for b in bags for x in b)
-    mean = sum(map(len, words)) / max(1, len(words))
+    n_items, mean, df = corpus.n, corpus.mean, corpus.df
     raw: dict[int, list[tuple[int, float]]] = defaultdict(list)
     for i, bag in enumerate(bags):
-        each = {x: np.log(1 + (len(items) - df[x] + 0.5) / (df[x] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words[i]) / mean)) for x, n in bag.items()}
+        each = {x: np.log(1 + (n_items - df[x] + 0.5) / (df[x] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words[i]) / mean)) for x, n in bag.items()}
         whole = sum(each.values())
         for x, s in each.items():
             raw[x].append((i, float(s / whole)))
@@ -201,25 +222,64 @@ def search(index: Index, docs: list[bytes]) -> list[list[dict]]:
 _LEAK = "array<struct<item_id:bigint,score:double,question:double,answer:double,first_word:bigint>>"
 
 
+def _measured(items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """(i, t, n) of the items that have words: id, bytes, number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernel.slices(batches, "t"):
+            n = [len(plain(x).split()) for x in kernel.raw(batch.column("t"))]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("t"), pa.array(n, pa.int64())], names=["i", "t", "n"])
+
+    some = items.select(F.col(item_key).cast("long").alias("i"), F.encode(F.col(item_text), "utf-8").alias("t")).where("i is not null and t is not null")
+    return some.mapInArrow(run, "i long, t binary, n long").where("n > 0")
+
+
+def _frequencies(items: DataFrame) -> DataFrame:
+    """(part, h, df): the terms of each part, and how many of all items hold each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernel.slices(batches, "t"):
+            t = kernel.Texts([plain(x) for x in kernel.raw(batch.column("t"))])
+            doc, h = kernel.distinct_per_doc(t.doc, t.word_hashes())
+            yield pa.RecordBatch.from_arrays([batch.column("part").take(pa.array(doc)), pa.array(h.view(np.int64))], names=["part", "h"])
+
+    each = items.select("part", "t").mapInArrow(run, "part string, h long").groupBy("part", "h").agg(F.count("*").alias("n"))
+    return each.join(each.groupBy("h").agg(F.sum("n").alias("df")), "h").select("part", "h", "df")
+
+
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``leaks``: the test items that each whole text contains.
 
     Items without words match nothing; repeated items are found under each
-    id; null or empty texts hold none; a column named ``leaks`` is replaced.
-    The items are split by hash into indexes of at most about
-    ``INDEX_BYTES`` of text, whatever their number; each is broadcast and
-    meets all texts in one pass, without a shuffle.
+    id; null or empty texts hold none, null items are left out; repeated rows
+    are searched one by one; empty tables give empty results; a column named
+    ``leaks`` is replaced. Items are split by length and by hash into indexes
+    of about ``INDEX_BYTES`` of text, whatever their number; the frequencies
+    behind the scores are those of all items, so a score does not depend on
+    the split. One index meets all texts in one pass without a shuffle; of
+    several, each is broadcast, met and let go before the next.
     """
     spark = docs.sparkSession
-    items = items.select(F.col(item_key).cast("long").alias("i"), F.encode(F.col(item_text), "utf-8").alias("t")).where("i is not null and t is not null")
-    size = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    parts_ = 1 + int(size) // INDEX_BYTES
+    items = materialize(_measured(items, item_key, item_text))
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.col("n") / SHORT_ITEM) / math.log(LONGER))).cast("int")
+    sizes = items.groupBy(level.alias("level")).agg(F.sum(F.length("t")).alias("size"), F.count("*").alias("items"), F.sum("n").alias("words")).orderBy("level").collect()
+    n, words = sum(r["items"] for r in sizes), sum(r["words"] for r in sizes)
+    n_parts = {r["level"]: 1 + int(r["size"]) // INDEX_BYTES for r in sizes}
+    split = F.element_at(F.create_map(*(F.lit(x) for p in n_parts.items() for x in p)), level) if n_parts else F.lit(1)
+    items = items.withColumn("part", F.concat_ws("-", level, F.pmod(F.xxhash64("i"), split)))
+    parts_ = [f"{k}-{j}" for k, m in n_parts.items() for j in range(m)]
+    frequencies = materialize(_frequencies(items)) if parts_ else None
     out = docs.drop("leaks").withColumn("leaks", F.array().cast(_LEAK))
     schema = out.schema
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("first_word", pa.int64())]))
-    for k in range(parts_):
-        some = items.where(F.pmod(F.xxhash64("i"), F.lit(parts_)) == k).collect()
-        index = spark.sparkContext.broadcast(build([(r["i"], bytes(r["t"])) for r in some]))
+    held = None
+    for k in parts_:
+        if held is not None:
+            out = materialize(out)
+            held.unpersist()
+        some = items.where(F.col("part") == k).collect()
+        df = {r["h"] & 0xFFFFFFFFFFFFFFFF: r["df"] for r in frequencies.where(F.col("part") == k).collect()}
+        held = index = spark.sparkContext.broadcast(build([(r["i"], bytes(r["t"])) for r in some], Corpus(n, words / n, df)))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in kernel.slices(batches, text):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +29,8 @@ UNLIKELY = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrum
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 CHAR_POINTS, COMMA_POINTS, DECAY = 0.01, 1.0, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+# the last but one part is a tag with a quote that never ends: up to the next ">"
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|$)|[^<]+|<", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -47,52 +49,70 @@ def parse(source: str) -> Node:
     block ends an open paragraph, an unknown closing tag is ignored."""
     root = here = Node("html", None, False)
     opened: list[Node] = [root]
+    count: Counter = Counter(("html",))
+
+    def close(i: int) -> None:
+        nonlocal here
+        for x in opened[i:]:
+            count[x.tag] -= 1
+        del opened[i:]
+        here = opened[-1]
+
     at, n = 0, len(source)
     while at < n:
         m = _TOKEN.match(source, at)
         at = m.end()
-        tag = m[2]
+        tag = m["tag"] or m["tag2"]
+        rest = m["rest"] if m["tag"] else m["rest2"]
         if tag is None:
             if (s := m[0])[0] != "<" or s == "<":
                 here.children.append(s)
             continue
         tag = tag.lower()
-        if m[1]:
-            for i in range(len(opened) - 1, 0, -1):
+        if m["end"] or m["end2"]:
+            # the count spares a search of all open elements for a tag that is not open
+            for i in range(len(opened) - 1, 0, -1) if count[tag] else ():
                 if opened[i].tag == tag:
-                    del opened[i:]
-                    here = opened[-1]
+                    close(i)
                     break
             continue
         if tag in RAW:
-            if not m[3].endswith("/") or tag in ("script", "style", "title", "textarea"):
+            if not rest.endswith("/") or tag in ("script", "style", "title", "textarea"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
                 at = end.end() if end else n
             continue
         if tag in CLOSES_P:
             inner = "li" if tag == "li" else "p"
-            for i in range(len(opened) - 1, 0, -1):
+            for i in range(len(opened) - 1, 0, -1) if count[inner] else ():
                 if opened[i].tag == inner:
-                    del opened[i:]
-                    here = opened[-1]
+                    close(i)
                     break
                 if opened[i].tag in CONTAINERS or opened[i].tag in ("table", "ul", "ol"):
                     break
         if tag in ("html", "body") and here is root:
             continue
         skip = here.skip or tag in BOILERPLATE
-        if m[3] and not skip:
-            kept = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(m[3])}
+        if rest and not skip:
+            kept = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(rest)}
             marks = f"{kept.get('class', '')} {kept.get('id', '')}"
             skip = bool(tag not in ("html", "body", "article", "main") and marks.strip() and UNLIKELY.search(marks)) or "hidden" in kept or kept.get("role", "").lower() in ROLES or kept.get("aria-hidden", "") == "true" or bool(re.search(r"display\s*:\s*none", kept.get("style", "")))
         node = Node(tag, here, skip)
         here.children.append(node)
         if tag not in VOID:
             opened.append(node)
+            count[tag] += 1
             here = node
     return root
 
 
+def _all(root: Node) -> list[Node]:
+    """All nodes, parents before children."""
+    out = [root]
+    for x in out:
+        out += [y for y in x.children if not isinstance(y, str)]
+    return out
+
+
 def blocks(top: Node) -> list[tuple[Node, str, int]]:
     """Blocks of text below ``top`` in page order: the block element that
     holds each, its text, its characters inside links."""
@@ -141,22 +161,22 @@ def blocks(top: Node) -> list[tuple[Node, str, int]]:
 def extract(source: str) -> str:
     """The main text of a page, its blocks joined by newlines."""
     root = parse(source)
-    scored: dict[int, Node] = {}
     for owner, text, linked in blocks(root):
         points = (1 + COMMA_POINTS * text.count(",") + CHAR_POINTS * len(text)) * (1 - min(1.0, linked / len(text)))
         node = owner if owner.tag in CONTAINERS else owner.parent or owner
-        share = 1.0
-        while node is not None:
-            if node.tag in CONTAINERS:
-                node.score += points * share
-                node.text += len(text)
-                node.linked += linked
-                scored[id(node)] = node
-                share *= DECAY
-            node = node.parent
+        node.score += points
+        node.text += len(text)
+        node.linked += linked
+    nodes = _all(root)
+    for x in reversed(nodes):  # each passes on what it has got from below
+        if x.parent is not None:
+            x.parent.score += x.score * (DECAY if x.tag in CONTAINERS else 1.0)
+            x.parent.text += x.text
+            x.parent.linked += x.linked
+    scored = [x for x in nodes if x.tag in CONTAINERS and x.text]
     if not scored:
         return ""
-    best = max(scored.values(), key=lambda x: x.score * (1 - x.linked / max(1, x.text)))
+    best = max(scored, key=lambda x: x.score * (1 - x.linked / max(1, x.text)))
     up = best
     while up is not None:  # a part of an article or of the main element stands for the whole of it
         if up.tag in ("article", "main"):

@@ -82,11 +82,12 @@ class Texts:
 
 
 def grams(words: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k words from each of ``starts``."""
-    h = words[starts]
-    for j in range(1, k):
-        h = mix(h * np.uint64(0x2545F4914F6CDD1D) + words[starts + j])
-    return h
+    """Rolling hashes of the k words from each of ``starts``: differences of
+    one prefix sum of a polynomial, so any k costs the same."""
+    up, down = powers(len(words) + 1)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(mix(words) * up[: len(words)], out=total[1:])
+    return mix((total[starts + k] - total[starts]) * down[starts] + np.uint64(k * int(_STEP) % 2**64))
 
 
 def per_doc(values: np.ndarray, bounds_start: np.ndarray, bounds_end: np.ndarray) -> np.ndarray:
@@ -147,6 +148,17 @@ def raw(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column has it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def extended(schema: T.StructType, **added: str) -> T.StructType:
     """``schema`` with more columns, itself left as it is."""
     return T.StructType([*schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in added.items())])

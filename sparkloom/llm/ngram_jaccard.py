@@ -16,6 +16,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
@@ -25,6 +26,8 @@ from .components import components
 BAND = 1.3
 #: Keys that a task gathers before it writes them, and about how many a bucket of the shuffle holds.
 BLOCK_KEYS, BUCKET_KEYS, LEAST_BUCKETS = 300_000, 500_000, 64
+#: Sketches that a task compares, in one or several groups.
+GROUP_SETS = 10_000
 #: Sets and shingles of a block whose links are counted in one task; distinct shingles taken at once.
 COUNT_SETS, COUNT_SHINGLES, COUNT_COLUMNS = 1024, 1_000_000, 1 << 14
 
@@ -245,8 +248,16 @@ def _sketch_filter(pairs: DataFrame, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [close_enough(*x, num, den) for x in zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            wa, wb = (pc.binary_length(batch.column(c)).to_numpy() // 8 for c in ("sa", "sb"))
+            keep = den * np.minimum(na, nb) >= num * np.maximum(na, nb)
+            # pairs of equal widths at once
+            for a, b in sorted(set(zip(wa[keep].tolist(), wb[keep].tolist(), strict=True))):
+                at = np.flatnonzero(keep & (wa == a) & (wb == b))
+                sa, sb = (np.frombuffer(b"".join(batch.column(c).take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1, min(a, b)) for c in ("sa", "sb"))
+                gap = np.bitwise_count(np.bitwise_xor.reduce(sa, axis=1) ^ np.bitwise_xor.reduce(sb, axis=1)).sum(axis=1)
+                keep[at] = gap <= (na[at] + nb[at]) * (den - num) // (den + num)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -303,6 +314,8 @@ def _rest(buckets: DataFrame, reps: DataFrame, comp: DataFrame, num: int, den: i
     least = rows.groupBy("key").agg(F.min("fp").alias("least"))
     rows = materialize(rows.join(least, "key").select("least", "fp").distinct())
     size = rows.groupBy("least").agg(F.count("*").alias("_size")).where("_size > 2").withColumn("_blocks", F.ceil(F.col("_size") / block))
+    size = materialize(size)
+    n_groups = LEAST_BUCKETS + int(size.agg(F.sum(F.col("_size") * F.col("_blocks"))).first()[0] or 0) // GROUP_SETS
     rows = rows.join(size, "least").withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_blocks")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     rows = rows.join(label, "fp").select("least", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), (F.col("_own") <= F.col("_other")).alias("left"), "rep", "n", "sketch", "comp")
@@ -334,7 +347,7 @@ def _rest(buckets: DataFrame, reps: DataFrame, comp: DataFrame, num: int, den: i
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    groups = F.pmod(F.xxhash64("least", "x", "y"), F.lit(1 << 12)).alias("_group")
+    groups = F.pmod(F.xxhash64("least", "x", "y"), F.lit(n_groups)).alias("_group")
     return rows.groupBy(groups).applyInArrow(meet, "a long, b long").distinct()
 
 

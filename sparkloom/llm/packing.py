@@ -3,9 +3,10 @@
 The pieces' length histogram (at most ``capacity`` numbers, whatever the
 input) gives a configuration linear program: how often to use each multiset
 of lengths that fits a sequence. Multiplicative weights solve it, a knapsack
-dynamic programme prices configurations; the solution is rounded down, the
-rest solved again and, once small, packed best fit. Spark then deals every
-piece, by its rank within its length, to a place in the plan.
+dynamic programme prices configurations, whole copies are placed round by
+round; what rounding leaves, at most as many pieces as there are lengths, is
+packed best fit. Spark then deals every piece, by its rank within its length,
+to a place in the plan.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ def encoder(vocabulary: str):
     """text -> ids of the byte-level BPE vocabulary at ``vocabulary`` (json).
 
     The ranks beside it (.tiktoken) hold the same vocabulary for a faster
-    encoder, equal in ids; texts with the special token's string go through
-    the json file's own tokenizer.
+    encoder, equal in ids; texts with the special token's string, and those
+    that the faster encoder gives up on (a million spaces in a row), go
+    through the json file's own tokenizer.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -51,7 +53,13 @@ def encoder(vocabulary: str):
     def encode(text: str) -> list[int]:
         if SPECIAL in text:
             return slow.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+        try:
+            return fast.encode_ordinary(text)
+        except BaseException as e:
+            # the encoder's panic is no Exception; anything else goes on
+            if type(e).__name__ != "PanicException":
+                raise
+            return slow.encode(text, add_special_tokens=False).ids
 
     return encode
 
@@ -65,7 +73,12 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, piece, start, length, ids_crc32) of every document."""
+    """(key, piece, start, length, ids_crc32) of every row of ``docs``.
+
+    A null text is empty: one piece with the end id alone. Texts of any
+    length are encoded whole; repeated rows each give their pieces; other
+    columns are ignored, of whatever name; an empty table gives no piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(vocabulary)
@@ -79,76 +92,84 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, text: str
     return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"`{key}` long, piece int, start long, length long, ids_crc32 long")
 
 
-def priced(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best value for each capacity, and the length
-    that reaches it last (0: one token stays empty)."""
-    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def priced(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Unbounded knapsack: the best value for each capacity."""
+    best = np.zeros(capacity + 1)
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
         best[c] = best[c - 1]
         if k := fits[c]:
-            v = best[c - lengths[:k]] + weights[:k]
-            j = int(v.argmax())
-            if v[j] > best[c]:
-                best[c], last[c] = v[j], lengths[j]
-    return best, last
-
-
-def fractional(left: dict[int, int], capacity: int, rounds: int = 60, step: float = 0.08, rate: float = 12.0, wide: int = 96) -> dict[tuple[int, ...], float]:
-    """Multiplicative weights over the configuration program: configuration
-    -> how often. Lengths that lag behind in coverage gain weight; each
-    pricing serves every configuration within 0.2 % of the best."""
-    lengths = np.array(sorted(left), np.int64)
-    need = np.array([left[x] for x in lengths.tolist()], float)
-    place = {x: i for i, x in enumerate(lengths.tolist())}
-    done = np.zeros(len(lengths))
-    out: Counter = Counter()
-    for _ in range(rounds):
-        share = done / need
-        w = lengths * np.exp(-rate * (share - share.min()) * 0.25)
-        best, last = priced(w, lengths, capacity)
-        value = w + best[capacity - lengths]
-        near = np.flatnonzero(value >= 0.998 * value.max())
-        for i in near[np.argsort(-w[near] / lengths[near], kind="stable")][:wide].tolist():
-            config, c = [int(lengths[i])], capacity - int(lengths[i])
-            while c > 0:
-                if last[c]:
-                    config.append(int(last[c]))
-                    c -= int(last[c])
-                else:
-                    c -= 1
-            used = Counter(config)
-            amount = step * min(need[place[x]] / n for x, n in used.items())
-            out[tuple(sorted(config, reverse=True))] += amount
-            for x, n in used.items():
-                done[place[x]] += amount * n
-        if (done / need).min() >= 1:
-            break
-    over = max(1.0, float((done / need).max()))
-    return {c: x / over for c, x in out.items()}
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, tries: int = 12) -> list[tuple[tuple[int, ...], int]]:
-    """(configuration, how often) for exactly the pieces of the histogram."""
-    left = Counter({x: n for x, n in histogram.items() if n > 0})
-    out: Counter = Counter()
-    if left[capacity]:
-        out[(capacity,)] = left.pop(capacity)
-    left = +left
-    for _ in range(tries):
-        if sum(left.values()) <= 4000:
-            break
-        before = sum(left.values())
-        for config, x in sorted(fractional(left, capacity).items(), key=lambda p: -p[1]):
-            used = Counter(config)
-            n = min(int(x), min(left[y] // k for y, k in used.items()))
-            if n > 0:
-                out[config] += n
-                for y, k in used.items():
-                    left[y] -= n * k
+            best[c] = max(best[c], float((best[c - lengths[:k]] + weights[:k]).max()))
+    return best
+
+
+def priced_configurations(weights: np.ndarray, lengths: np.ndarray, have: np.ndarray, budget: np.ndarray, capacity: int, slack: float) -> Iterator[tuple[dict[int, int], int]]:
+    """Configurations (length number -> copies) whose value lies within the
+    share ``slack`` of the best, with how many copies of each the budget
+    allows; ``budget`` shrinks accordingly. Longest pieces first, and the
+    longest that keep the value, so that short ones stay for later."""
+    best = priced(weights, lengths, capacity)
+    least = (1 - slack) * best[capacity]
+    value = weights + best[capacity - lengths]
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    for i in np.flatnonzero(value >= least)[::-1].tolist():
+        while budget[i] > 0:
+            used, c, spare = {i: 1}, capacity - int(lengths[i]), value[i] - least
+            while k := fits[c]:
+                v = weights[:k] + best[c - lengths[:k]]
+                free = budget[:k] > 0
+                for j, n in used.items():
+                    if j < k:
+                        free[j] = budget[j] > n
+                good = np.flatnonzero(free & (v >= best[c] - spare))
+                if not len(good):
+                    break
+                j = int(good[-1])
+                spare -= best[c] - v[j]
+                used[j] = used.get(j, 0) + 1
+                c -= int(lengths[j])
+            if sum(weights[j] * n for j, n in used.items()) < least - 1e-9:
+                break
+            copies = int(min(budget[j] // n for j, n in used.items()))
+            for j, n in used.items():
+                budget[j] -= n * copies
+            yield used, copies
+
+
+def programme(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 3, rate: float = 0.3, slack: float = 0.001, slow: float = 0.1) -> tuple[Counter, Counter]:
+    """(configuration -> how often, lengths left over): the configuration
+    program by multiplicative weights, rounded to whole sequences.
+
+    A length's weight is its size times exp(-rate * share placed), so that
+    lengths that lag behind gain weight; each round prices configurations by
+    a knapsack dynamic programme over the weights and places whole copies of
+    all within ``slack`` of the best, at most a ``steps``-th of what is left
+    of a length. A round that places less than the share ``slow`` widens the
+    slack. It ends once no more pieces are left than the histogram has
+    lengths: rounds grow with the logarithm of the pieces, memory with the
+    number of lengths, whatever the counts.
+    """
+    need = Counter({x: n for x, n in histogram.items() if n > 0})
+    left, out = Counter(need), Counter()
+    while left.total() > len(need):
+        lengths = np.array(sorted(left), np.int64)
+        have = np.array([left[x] for x in lengths.tolist()], np.int64)
+        share = 1 - have / np.array([need[x] for x in lengths.tolist()], float)
+        weights = lengths * np.exp(-rate * (share - share.min()))
+        budget = -(-have // steps)
+        for used, copies in priced_configurations(weights, lengths, have, budget, capacity, slack):
+            config = tuple(int(lengths[j]) for j, n in used.items() for _ in range(n))
+            out[tuple(sorted(config, reverse=True))] += copies
+            for j, n in used.items():
+                left[int(lengths[j])] -= n * copies
         left = +left
-        if sum(left.values()) > 0.98 * before:
-            break
+        if have.sum() - left.total() < slow * have.sum():
+            slack = min(1.0, slack * 1.4)
+    return out, left
+
+
+def best_fit(left: Counter, capacity: int) -> Counter:
+    """Best fit, longest first, of a few pieces (length -> how many)."""
     room: list[int] = []
     open_at: dict[int, list[list[int]]] = {}
     for x in sorted(left.elements(), reverse=True):
@@ -161,8 +182,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, tries: int = 12) -
         bin_.append(x)
         insort(room, r - x)
         open_at.setdefault(r - x, []).append(bin_)
-    out.update(Counter(tuple(b) for bins in open_at.values() for b in bins))
-    return sorted(out.items())
+    return Counter(tuple(b) for bins in open_at.values() for b in bins)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(configuration, how often) for exactly the pieces of the histogram:
+    the program's sequences, then best fit for what its rounding leaves, at
+    most as many pieces as there are lengths."""
+    out, left = programme(histogram, capacity)
+    return sorted((out + best_fit(left, capacity)).items())
 
 
 def slots(configs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

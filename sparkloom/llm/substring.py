@@ -7,7 +7,9 @@ meet at their anchor. An equal cell of a smaller document settles a whole
 cell. Where cells of one anchor differ, their words are the reference shard
 of that anchor: a suffix automaton takes them in the order of their
 documents, and each is streamed through it first; matching statistics of n
-words and more mark the windows that smaller documents hold.
+words and more mark the windows that smaller documents hold. An anchor with
+very many different cells (a passage that stands in many surroundings) would
+be one long automaton: its windows are dealt by their own hashes instead.
 """
 
 from __future__ import annotations
@@ -16,13 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
 from . import kernel
 
 WINDOW, GRAM = 13, 5
 BLOCK_CELLS, BUCKET_CELLS, LEAST_BUCKETS = 400_000, 500_000, 64
+#: Different cells of one anchor that still go through one automaton, and contested cells of a task.
+HOT_CELLS, SHARD_CELLS = 512, 20_000
+#: Documents sampled, by the hash of their id, to see which anchors stand in many surroundings, different cells that say so there, and the most anchors so marked: it affects the work, never the result.
+SAMPLE, SAMPLE_CELLS, MOST_ANCHORS = 50_000, 24, 100_000
 
 
 def cells(docs: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -55,13 +61,40 @@ def _u(x: list[bytes], kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(x), kind)
 
 
-def _settle(docs: DataFrame, text: str, key: str, window: int, gram: int, n_buckets: int) -> DataFrame:
-    """(anchor, id, first, size): a null anchor marks a covered cell, the
+def _spread(docs: DataFrame, window: int, gram: int) -> np.ndarray:
+    """Sorted anchors that many different cells of a sample name."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernel.slices(batches, "text"):
+            _, _, _, anchor, content = cells(kernel.raw(batch.column("text")), window, gram)
+            if len(anchor):
+                anchor, content = kernel.distinct_per_doc(anchor, content)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (anchor, content)], names=["anchor", "content"])
+
+    some = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
+    seen = some.mapInArrow(run, "anchor long, content long").distinct().groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= SAMPLE_CELLS)
+    rows = seen.orderBy(F.desc("n"), "anchor").limit(MOST_ANCHORS).select("anchor").toArrow()
+    return np.sort(rows.column("anchor").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _among(known: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in sorted ``known``."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def _settle(docs: DataFrame, window: int, gram: int, n_buckets: int, spread: np.ndarray) -> DataFrame:
+    """(anchor, id, first, size, hot): a null anchor marks a covered cell, the
     others are cells whose anchor has other contents as well, each content by
-    its smallest document. Per task and content only the smallest document's
-    cells go to the anchor's bucket; the rest are covered by it already."""
+    its smallest document, ``hot`` where there are many. Per task and content
+    only the smallest document's cells go to the anchor's bucket (those of
+    ``spread`` anchors to one of the anchor and content); the rest are covered
+    by it already."""
     layout = ["bucket", "anchor", "content", "id", "first", "size"]
     types = [pa.int64(), *[pa.binary()] * 5]
+    known = docs.sparkSession.sparkContext.broadcast(spread)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -75,7 +108,8 @@ def _settle(docs: DataFrame, text: str, key: str, window: int, gram: int, n_buck
             new = np.append(True, (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1]))
             least = ident[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             own = ident == least
-            bucket = np.where(own, anchor % np.uint64(n_buckets), kernel.mix(anchor + ident.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+            home = np.where(_among(known.value, anchor), kernel.mix(anchor ^ kernel.mix(content)), anchor)
+            bucket = (np.where(own, home, kernel.mix(anchor + ident.view(np.uint64))) % np.uint64(n_buckets)).astype(np.int64)
             order = np.lexsort((~own, bucket))
             bucket, own, ident, first, size, anchor, content = (x[order] for x in (bucket, own, ident, first, size, anchor, content))
             cut = np.searchsorted(bucket, np.arange(n_buckets + 1))
@@ -88,10 +122,11 @@ def _settle(docs: DataFrame, text: str, key: str, window: int, gram: int, n_buck
                     out.append((i, anchor[a:c].tobytes(), content[a:c].tobytes(), ident[a:b].tobytes(), first[a:b].astype(np.uint32).tobytes(), size[a:b].astype(np.uint8).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types, strict=True)], names=layout)
 
-        for batch in kernel.slices(batches, text):
-            doc, first, size, anchor, content = cells(kernel.raw(batch.column(text)), window, gram)
+        for batch in kernel.slices(batches, "text"):
+            doc, first, size, anchor, content = cells(kernel.raw(batch.column("text")), window, gram)
             if len(doc):
-                held.append((batch.column(key).to_numpy(zero_copy_only=False)[doc], first, size, anchor, content))
+                base = batch.column("base").to_numpy(zero_copy_only=False)[doc]
+                held.append((batch.column("id").to_numpy(zero_copy_only=False)[doc], base + first, size, anchor, content))
                 count += len(doc)
             if count >= BLOCK_CELLS:
                 count = 0
@@ -116,14 +151,16 @@ def _settle(docs: DataFrame, text: str, key: str, window: int, gram: int, n_buck
         group = np.cumsum(new_a) - 1
         contents = np.bincount(group, new) if len(group) else np.zeros(0)
         covered = ident > least
-        contested = ~covered & (contents[group] > 1)
+        many = _among(known.value, anchor)
+        contested = ~covered & (many | (contents[group] > 1))
+        hot = (many | (contents[group] > HOT_CELLS))[contested]
         done = [np.concatenate([x[covered], y]) for x, y in zip((ident, first, size), far, strict=True)]
         rows = [np.concatenate([x, y[contested]]).astype(np.int64) for x, y in zip(done, (ident, first, size), strict=True)]
         marks = pa.concat_arrays([pa.nulls(len(done[0]), pa.int64()), pa.array(anchor[contested].view(np.int64))])
-        return pa.table({"anchor": marks, "id": rows[0], "first": rows[1], "size": rows[2]})
+        return pa.table({"anchor": marks, "id": rows[0], "first": rows[1], "size": rows[2], "hot": np.append(np.zeros(len(done[0]), bool), hot)})
 
-    packed = docs.select(key, text).mapInArrow(emit, "bucket long, anchor binary, content binary, id binary, first binary, size binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "anchor long, id long, first long, size long")
+    packed = docs.select("id", "base", "text").mapInArrow(emit, "bucket long, anchor binary, content binary, id binary, first binary, size binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "anchor long, id long, first long, size long, hot boolean")
 
 
 class SuffixAutomaton:
@@ -211,18 +248,29 @@ def spans_in_shard(rows: list[tuple[int, int, list[bytes]]], window: int) -> lis
     return out
 
 
-def _shards(contested: DataFrame, docs: DataFrame, text: str, key: str, window: int) -> DataFrame:
+def _with_words(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``docs`` (id, base, text) that have some of ``rows``, with ``cells``,
+    their (first, size, anchor)."""
+    lists = rows.groupBy("id").agg(F.collect_list(F.struct("first", "size", "anchor")).alias("cells"))
+    return docs.join(lists, "id")
+
+
+def _own_cells(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes], list[dict]]]:
+    """(id, base, words, cells) of each row; cells of other rows of its id are left out."""
+    for ident, base, doc, cell in zip(batch.column("id").to_pylist(), batch.column("base").to_pylist(), kernel.raw(batch.column("text")), batch.column("cells").to_pylist(), strict=True):
+        words = doc.split()
+        yield ident, base, words, [c for c in cell if 0 <= c["first"] - base < len(words)]
+
+
+def _shards(contested: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """(id, first, size) of the covered runs among contested cells."""
-    lists = contested.groupBy("id").agg(F.collect_list(F.struct("first", "size", "anchor")).alias("cells"))
-    joined = docs.select(F.col(key).alias("id"), text).join(lists, "id")
+    n_groups = LEAST_BUCKETS + contested.count() // SHARD_CELLS
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in kernel.slices(batches, text):
-            out = []
-            for ident, doc, cell in zip(batch.column("id").to_pylist(), kernel.raw(batch.column(text)), batch.column("cells").to_pylist(), strict=True):
-                all_words = doc.split()
-                out += [(c["anchor"], ident, c["first"], b" ".join(all_words[c["first"] : c["first"] + c["size"] + window - 1])) for c in cell]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "id", "first", "words"])
+        for batch in kernel.slices(batches, "text"):
+            out = [(c["anchor"], ident, c["first"], b" ".join(held[c["first"] - base : c["first"] - base + c["size"] + window - 1])) for ident, base, held, own in _own_cells(batch) for c in own]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "id", "first", "words"])
 
     def shard(table: pa.Table) -> pa.Table:
         table = table.sort_by([("anchor", "ascending")])
@@ -235,8 +283,52 @@ def _shards(contested: DataFrame, docs: DataFrame, text: str, key: str, window:
         x = list(zip(*out)) if out else [(), (), ()]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("id", "first", "size"), x, strict=True)})
 
-    rows = joined.mapInArrow(words, "anchor long, id long, first long, words binary")
-    return rows.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(1 << 10)).alias("_shard")).applyInArrow(shard, "id long, first long, size long")
+    rows = _with_words(contested, docs).mapInArrow(words, "anchor long, id long, first long, words binary")
+    return rows.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n_groups)).alias("_shard")).applyInArrow(shard, "id long, first long, size long")
+
+
+def _windows(contested: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """(id, first, size) of the covered windows among cells of hot anchors:
+    each window goes by its own hash. Of a task's equal windows only the
+    smallest document's travel; the others are covered by them already."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernel.slices(batches, "text"):
+            at = [(ident, base, c["first"], c["size"], held) for ident, base, held, own in _own_cells(batch) for c in own]
+            if not at:
+                continue
+            ident = np.repeat(np.array([x[0] for x in at], np.int64), [x[3] for x in at])
+            first = np.concatenate([np.arange(x[2], x[2] + x[3]) for x in at])
+            t = kernel.Texts([b" ".join(held[a - base : a - base + n + window - 1]) for _, base, a, n, held in at])
+            h = kernel.grams(t.word_hashes(), t.gram_starts(window), window)
+            order = np.lexsort((ident, h))
+            h, ident, first = h[order], ident[order], first[order]
+            new = np.append(True, h[1:] != h[:-1])
+            least = ident[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), mask=ident > least), pa.array(ident), pa.array(first)], names=["h", "id", "first"])
+
+    rows = materialize(_with_words(contested, docs).mapInArrow(split, "h long, id long, first long"))
+    mine = rows.where("h is not null")
+    least = mine.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
+    later = mine.join(least, "h").where("id > least").select("id", "first")
+    return rows.where("h is null").select("id", "first").union(later).withColumn("size", F.lit(1).cast("long"))
+
+
+def _parts(rows: DataFrame) -> DataFrame | None:
+    """(id, text_hash, base): where the words of each text begin among all
+    words of its id, for ids that have several texts; None if none has."""
+    several = rows.groupBy("id").agg(F.count_distinct("text_hash").alias("n")).where("n > 1").select("id")
+    if several.isEmpty():
+        return None
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in kernel.slices(batches, "text"):
+            n = [len(x.split()) for x in kernel.raw(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(n, pa.int64())], names=["id", "text_hash", "n"])
+
+    sizes = rows.join(several, "id", "left_semi").mapInArrow(count, "id long, text_hash long, n long").groupBy("id", "text_hash").agg(F.max("n").alias("n"))
+    before = Window.partitionBy("id").orderBy("text_hash").rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(sizes.select("id", "text_hash", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -245,37 +337,47 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
 
     A window of ``window`` words is repeated if a document with a smaller key
     holds it; all are judged on the input. Null or empty texts have no words,
-    texts of fewer words no window. Rows of one key are one document: a
-    window that only they hold is no repeat. A null key is never smaller and
-    keeps all its words. Columns of these names are replaced.
+    texts of fewer words no window. Rows of one key are one document, its
+    texts differ or not: a window that only they hold is no repeat, and no
+    window spans two of them. A null key is never smaller and keeps all its
+    words. Columns of these names are replaced, any others stay, whatever
+    their name; an empty table gives an empty one.
     """
+    if not gram <= window < gram + 255:
+        raise ValueError(f"a window of {window} words and anchors of {gram} don't fit together")
     base = docs.drop("n_words", "n_removed", "kept_text")
-    known = base.where(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("long"))
-    size = F.length(F.coalesce(text, F.lit("")))
-    total = base.agg(F.sum(size)).first()[0] or 0
-    settled = materialize(_settle(known, text, key, window, gram, LEAST_BUCKETS + int(total) // 25 // BUCKET_CELLS))
-    covered = settled.where("anchor is null").select("id", "first", "size")
-    runs = covered.union(_shards(settled.where("anchor is not null"), known, text, key, window))
-    lists = runs.groupBy("id").agg(F.collect_list(F.struct("first", "size")).alias("_runs")).withColumnRenamed("id", "_id")
-    joined = base.join(lists, base[key].cast("long") == lists["_id"], "left").drop("_id")
-
     names = base.columns
+    ident, hashed, start, runs = kernel.fresh([*names, "n_words", "n_removed", "kept_text"], "id_", "text_hash_", "base_", "runs_")
+    base = base.withColumn(ident, F.col(f"`{key}`").cast("long")).withColumn(hashed, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    parts = _parts(base.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.col(f"`{text}`").alias("text"), F.col(hashed).alias("text_hash")))
+    if parts is None:
+        base = base.withColumn(start, F.lit(0).cast("long"))
+    else:
+        base = base.join(parts.toDF(ident, hashed, start), [ident, hashed], "left").withColumn(start, F.coalesce(start, F.lit(0)))
+    known = base.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.col(start).alias("base"), F.col(f"`{text}`").alias("text"))
+    total = known.agg(F.sum(F.length(F.coalesce("text", F.lit(""))))).first()[0] or 0
+    settled = materialize(_settle(known, window, gram, LEAST_BUCKETS + int(total) // 25 // BUCKET_CELLS, _spread(known, window, gram)))
+    covered = settled.where("anchor is null").select("id", "first", "size")
+    contested = settled.where("anchor is not null")
+    found = covered.union(_shards(contested.where("not hot"), known, window)).union(_windows(contested.where("hot"), known, window))
+    lists = found.groupBy("id").agg(F.collect_list(F.struct("first", "size")).alias(runs)).withColumnRenamed("id", ident)
+    joined = base.join(lists, ident, "left").select(*(F.col(f"`{c}`") for c in names), start, runs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.slices(batches, text):
             out = []
-            for doc, run in zip(kernel.raw(batch.column(text)), batch.column("_runs").to_pylist(), strict=True):
+            for doc, at, run in zip(kernel.raw(batch.column(text)), batch.column(start).to_pylist(), batch.column(runs).to_pylist(), strict=True):
                 words = doc.split()
+                kept = words
                 if run:
                     edge = np.zeros(len(words) + 1, np.int64)
                     for r in run:
-                        edge[r["first"]] += 1
-                        edge[r["first"] + r["size"] + window - 1] -= 1
+                        if 0 <= r["first"] - at < len(words):
+                            edge[r["first"] - at] += 1
+                            edge[r["first"] - at + r["size"] + window - 1] -= 1
                     keep = np.cumsum(edge[:-1]) == 0
                     kept = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                else:
-                    kept = words
                 out.append((len(words), len(words) - len(kept), b" ".join(kept).decode()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string()), strict=True))], names=[*names, "n_words", "n_removed", "kept_text"])
 
-    return joined.mapInArrow(cut, kernel.extended(base.schema, n_words="long", n_removed="long", kept_text="string"))
+    return joined.mapInArrow(cut, kernel.extended(docs.select(*(F.col(f"`{c}`") for c in names)).schema, n_words="long", n_removed="long", kept_text="string"))

@@ -13,15 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
 from . import kernel
 
 BITS = 18
 PREFIXES = (4, 5, 6, 7, 8)
-#: The largest number of labelled documents that a model is fitted on, and of features that it keeps.
-SAMPLE, FEATURES = 20_000, 6_000
+#: The largest number of labelled documents that a model is fitted on, of their bytes, and of features that it keeps.
+SAMPLE, SAMPLE_BYTES, FEATURES = 20_000, 128_000_000, 6_000
 FOLDS = 5
 
 _ENDS = np.zeros(256, bool)
@@ -71,10 +71,12 @@ class Model:
         t, start, stop, doc, p = self.instances(docs)
         out = 1 - np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=t.n_docs))
         found: list[list[dict]] = [[] for _ in docs]
-        for i in np.flatnonzero(p >= 0.5).tolist():
-            text = bytes(t.buf[t.doc_start[doc[i]] : stop[i]]).decode("utf-8", "replace")
-            begin = len(bytes(t.buf[t.doc_start[doc[i]] : start[i]]).decode("utf-8", "replace")) if start[i] > t.doc_start[doc[i]] else 0
-            found[doc[i]].append({"start": begin, "end": len(text), "score": float(p[i])})
+        points = np.zeros(len(t.buf) + 1, np.int64)
+        np.cumsum((t.buf & 0xC0) != 0x80, out=points[1:])
+        hit = np.flatnonzero(p >= 0.5)
+        first = points[t.doc_start[doc[hit]]]
+        for d, a, b, x in zip(doc[hit].tolist(), (points[np.maximum(start[hit], t.doc_start[doc[hit]])] - first).tolist(), (points[stop[hit]] - first).tolist(), p[hit].tolist(), strict=True):
+            found[d].append({"start": a, "end": b, "score": x})
         return np.clip(out, 0.0, 1.0), found
 
 
@@ -82,13 +84,19 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, text: str = "text") -> DataFrame:
-    """(text, toxic) of at most ``most`` labelled documents outside the
-    held-out fold, by the hash of their id. The ids' size is bounded by
-    ``most``, so they are broadcast and no text is shuffled."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, text: str = "text") -> DataFrame:
+    """(text, toxic) of labelled documents outside the held-out fold, in the
+    order of a hash of their id: at most ``most`` of them and of ``most_bytes``
+    bytes in all, each text whole. The ids' size is bounded by ``most``, so
+    they are broadcast and no text is shuffled. Null labels are no labels;
+    of several for one id the largest counts; a null text is empty."""
     ids = labels.where(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return materialize(docs.select("doc_id", text).join(F.broadcast(ids), "doc_id").select(F.coalesce(text, F.lit("")).alias("text"), F.col("_toxic").cast("int").alias("toxic")))
+    some = materialize(docs.select("doc_id", F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id"))
+    # one row for each of at most ``most`` ids: the window is as bounded as they are
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = some.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("_bytes")).withColumn("_upto", F.sum("_bytes").over(order)).where(F.col("_upto") <= most_bytes)
+    return some.join(F.broadcast(fits.select("doc_id")), "doc_id").select("text", F.col("_toxic").cast("int").alias("toxic"))
 
 
 def fit(sample: DataFrame, features: int = FEATURES, steps: int = 160, rate: float = 0.15, decay: float = 2e-4) -> Model:
