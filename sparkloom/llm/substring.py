@@ -248,29 +248,47 @@ def spans_in_shard(rows: list[tuple[int, int, list[bytes]]], window: int) -> lis
     return out
 
 
-def _with_words(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """``docs`` (id, base, text) that have some of ``rows``, with ``cells``,
-    their (first, size, anchor)."""
-    lists = rows.groupBy("id").agg(F.collect_list(F.struct("first", "size", "anchor")).alias("cells"))
-    return docs.join(lists, "id")
+def _contested(settled: DataFrame, docs: DataFrame, window: int) -> DataFrame:
+    """(anchor, h, id, first, words): the words of each contested cell, or,
+    where its anchor is hot, without anchor and words, the hash of each of its
+    windows. Of a task's equal windows only the smallest document's have one;
+    the others are covered by them already. Texts are joined once for both."""
+    lists = settled.where("anchor is not null").groupBy("id").agg(F.collect_list(F.struct("first", "size", "anchor", "hot")).alias("cells"))
+    names, types = ["anchor", "h", "id", "first", "words"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
-
-def _own_cells(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes], list[dict]]]:
-    """(id, base, words, cells) of each row; cells of other rows of its id are left out."""
-    for ident, base, doc, cell in zip(batch.column("id").to_pylist(), batch.column("base").to_pylist(), kernel.raw(batch.column("text")), batch.column("cells").to_pylist(), strict=True):
-        words = doc.split()
-        yield ident, base, words, [c for c in cell if 0 <= c["first"] - base < len(words)]
-
-
-def _shards(contested: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """(id, first, size) of the covered runs among contested cells."""
-    n_groups = LEAST_BUCKETS + contested.count() // SHARD_CELLS
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in kernel.slices(batches, "text"):
-            out = [(c["anchor"], ident, c["first"], b" ".join(held[c["first"] - base : c["first"] - base + c["size"] + window - 1])) for ident, base, held, own in _own_cells(batch) for c in own]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "id", "first", "words"])
+            cold, hot = [], []
+            for ident, base, doc, own in zip(batch.column("id").to_pylist(), batch.column("base").to_pylist(), kernel.raw(batch.column("text")), batch.column("cells").to_pylist(), strict=True):
+                held = doc.split()
+                for c in own:
+                    a = c["first"] - base
+                    if 0 <= a < len(held):  # another text of this id has the other cells
+                        content = b" ".join(held[a : a + c["size"] + window - 1])
+                        if c["hot"]:
+                            hot.append((ident, c["first"], c["size"], content))
+                        else:
+                            cold.append((c["anchor"], None, ident, c["first"], content))
+            if cold:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*cold), types, strict=True)], names=names)
+            if hot:
+                ident = np.repeat(np.array([x[0] for x in hot], np.int64), [x[2] for x in hot])
+                first = np.concatenate([np.arange(x[1], x[1] + x[2]) for x in hot])
+                t = kernel.Texts([x[3] for x in hot])
+                h = kernel.grams(t.word_hashes(), t.gram_starts(window), window)
+                order = np.lexsort((ident, h))
+                h, ident, first = h[order], ident[order], first[order]
+                new = np.append(True, h[1:] != h[:-1])
+                least = ident[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64), mask=ident > least), pa.array(ident), pa.array(first), pa.nulls(len(h), pa.binary())], names=names)
+
+    return materialize(docs.join(lists, "id").mapInArrow(split, "anchor long, h long, id long, first long, words binary"))
+
+
+def _shards(rows: DataFrame, window: int) -> DataFrame:
+    """(id, first, size) of the covered runs among cells that share an anchor."""
+    cold = rows.where("anchor is not null").select("anchor", "id", "first", "words")
+    n_groups = LEAST_BUCKETS + cold.count() // SHARD_CELLS
 
     def shard(table: pa.Table) -> pa.Table:
         table = table.sort_by([("anchor", "ascending")])
@@ -283,35 +301,16 @@ def _shards(contested: DataFrame, docs: DataFrame, window: int) -> DataFrame:
         x = list(zip(*out)) if out else [(), (), ()]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("id", "first", "size"), x, strict=True)})
 
-    rows = _with_words(contested, docs).mapInArrow(words, "anchor long, id long, first long, words binary")
-    return rows.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n_groups)).alias("_shard")).applyInArrow(shard, "id long, first long, size long")
+    return cold.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(n_groups)).alias("_shard")).applyInArrow(shard, "id long, first long, size long")
 
 
-def _windows(contested: DataFrame, docs: DataFrame, window: int) -> DataFrame:
-    """(id, first, size) of the covered windows among cells of hot anchors:
-    each window goes by its own hash. Of a task's equal windows only the
-    smallest document's travel; the others are covered by them already."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in kernel.slices(batches, "text"):
-            at = [(ident, base, c["first"], c["size"], held) for ident, base, held, own in _own_cells(batch) for c in own]
-            if not at:
-                continue
-            ident = np.repeat(np.array([x[0] for x in at], np.int64), [x[3] for x in at])
-            first = np.concatenate([np.arange(x[2], x[2] + x[3]) for x in at])
-            t = kernel.Texts([b" ".join(held[a - base : a - base + n + window - 1]) for _, base, a, n, held in at])
-            h = kernel.grams(t.word_hashes(), t.gram_starts(window), window)
-            order = np.lexsort((ident, h))
-            h, ident, first = h[order], ident[order], first[order]
-            new = np.append(True, h[1:] != h[:-1])
-            least = ident[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), mask=ident > least), pa.array(ident), pa.array(first)], names=["h", "id", "first"])
-
-    rows = materialize(_with_words(contested, docs).mapInArrow(split, "h long, id long, first long"))
-    mine = rows.where("h is not null")
+def _windows(rows: DataFrame) -> DataFrame:
+    """(id, first, size) of the covered windows among those that go by hash."""
+    hot = rows.where("anchor is null").select("h", "id", "first")
+    mine = hot.where("h is not null")
     least = mine.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least")
     later = mine.join(least, "h").where("id > least").select("id", "first")
-    return rows.where("h is null").select("id", "first").union(later).withColumn("size", F.lit(1).cast("long"))
+    return hot.where("h is null").select("id", "first").union(later).withColumn("size", F.lit(1).cast("long"))
 
 
 def _parts(rows: DataFrame) -> DataFrame | None:
@@ -358,8 +357,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     total = known.agg(F.sum(F.length(F.coalesce("text", F.lit(""))))).first()[0] or 0
     settled = materialize(_settle(known, window, gram, LEAST_BUCKETS + int(total) // 25 // BUCKET_CELLS, _spread(known, window, gram)))
     covered = settled.where("anchor is null").select("id", "first", "size")
-    contested = settled.where("anchor is not null")
-    found = covered.union(_shards(contested.where("not hot"), known, window)).union(_windows(contested.where("hot"), known, window))
+    rows = _contested(settled, known, window)
+    found = covered.union(_shards(rows, window)).union(_windows(rows))
     lists = found.groupBy("id").agg(F.collect_list(F.struct("first", "size")).alias(runs)).withColumnRenamed("id", ident)
     joined = base.join(lists, ident, "left").select(*(F.col(f"`{c}`") for c in names), start, runs)
 
