@@ -3,11 +3,13 @@
 Each stage works on all rows that the one before it kept; between stages the
 rows are written as Parquet and read again, so a lost executor costs no more
 than the tasks of one stage. Every stage but the last returns the columns of
-``documents``.
+``documents``, also those a user has added, under whatever name.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkloom.llm import decontaminate, ngram_jaccard, packing, quality, secret_scan
@@ -20,15 +22,23 @@ def _ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def _apart(docs: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` over ``docs`` under numbered column names but for the ones it
+    works on, so that none of a user's columns bears a name the step adds."""
+    names = {c: c if c in ("doc_id", "text", "n_chars") else f"_{i}" for i, c in enumerate(docs.columns)}
+    return step(docs.toDF(*names.values())).select(*(F.col(v).alias(k) for k, v in names.items()))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null and empty texts go."""
     _ready(spark)
-    return quality.quality_rules(docs).where("kept").select(*docs.columns)
+    return _apart(docs, lambda d: quality.quality_rules(d).where("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) the smallest doc_id;
-    rows that share it stay together, and rows without one stay."""
+    rows that share it stay together, and rows without one stay, as do null
+    and empty texts, which are near nothing."""
     _ready(spark)
     classes = ngram_jaccard.similar_classes(docs, k=5, num=80, den=100, count_links=False)
     gone = materialize(classes.where("component_id <> doc_id").select("doc_id").distinct())
@@ -36,14 +46,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; all, if there are no items."""
     _ready(spark)
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return _apart(docs, lambda d: decontaminate.leaks(d, items).where(F.size("leaks") == 0))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets masked; n_chars follows the text."""
+    """All documents, their secrets masked; n_chars follows the text, null
+    texts stay null."""
     _ready(spark)
     clean = secret_scan.mask_secrets(docs)
     return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
