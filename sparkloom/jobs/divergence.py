@@ -101,23 +101,11 @@ ORACLE = {
 _POS = "p AS (SELECT position, count(*) AS n FROM d1 WHERE greatest(score_left, score_right) >= 80000 GROUP BY position)"
 _TREE = "tree AS (SELECT 'root' AS parent, concat('r', CAST(r_regionkey AS string)) AS node, CAST(r_regionkey + 1 AS double) AS len FROM {region} UNION ALL SELECT concat('r', CAST(n_regionkey AS string)), concat('n', CAST(n_nationkey AS string)), CAST(n_nationkey + 1 AS double) FROM {nation} UNION ALL SELECT concat('n', CAST(s_nationkey AS string)), concat('s', CAST(s_suppkey AS string)), CAST(s_suppkey % 7 + 1 AS double) FROM {supplier})"
 SHARED = {
-    "percentile_threshold_stats": f"WITH {_D1}, q AS (SELECT event_type, max(score_left) AS top_left, min(score_left) AS low_left, count(*) AS n, count(DISTINCT node) AS n_nodes FROM d1 GROUP BY event_type) SELECT * FROM q",
     "pivot_event_position": f"WITH {_D1} SELECT position, count(CASE WHEN event_type = 'A' THEN 1 END) AS n_a, count(CASE WHEN event_type = 'N' THEN 1 END) AS n_n, count(CASE WHEN event_type = 'R' THEN 1 END) AS n_r FROM d1 GROUP BY position",
     "node_tally_topk": f"WITH {_D1}, t AS (SELECT node, count(*) AS n_calls FROM d1 WHERE greatest(score_left, score_right) >= 80000 GROUP BY node) SELECT node, n_calls, rk FROM (SELECT node, n_calls, CAST(row_number() OVER (ORDER BY n_calls DESC, node) AS bigint) AS rk FROM t) r WHERE rk <= 20",
     "moving_average_5": f"WITH {_D1}, {_POS} SELECT position, n, CAST(sum(n) OVER w AS bigint) AS window_sum, count(*) OVER w AS window_n FROM p WINDOW w AS (ORDER BY position ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)",
     "contiguous_regions": f"WITH {_D1}, {_POS}, hot AS (SELECT position, position - row_number() OVER (ORDER BY position) AS island FROM p WHERE n >= (SELECT avg(n) FROM p)) SELECT min(position) AS first_position, max(position) AS last_position, count(*) AS size FROM hot GROUP BY island",
-    "domain_density": f"WITH {_D1}, dom AS (SELECT 'd1' AS domain, 1 AS lo, 5 AS hi UNION ALL SELECT 'd2', 6, 15 UNION ALL SELECT 'd3', 16, 25 UNION ALL SELECT 'd4', 26, 35 UNION ALL SELECT 'd5', 36, 45 UNION ALL SELECT 'd6', 46, 50) SELECT domain, event_type, count(*) AS n, count(CASE WHEN greatest(score_left, score_right) >= 80000 THEN 1 END) AS n_calls, count(DISTINCT position) AS n_positions FROM d1 JOIN dom ON position BETWEEN lo AND hi GROUP BY domain, event_type",
-    "null_exceedances": f"WITH {_D1}, s AS (SELECT side, replicate, greatest(score_left, score_right) AS top FROM d1), t AS (SELECT DISTINCT CAST(p_size * 2000 AS double) AS threshold FROM {{part}}) SELECT threshold, count(CASE WHEN side = 'F' THEN 1 END) AS n_observed, count(CASE WHEN side = 'O' THEN 1 END) AS n_null, count(DISTINCT CASE WHEN side = 'O' THEN replicate END) AS n_replicates FROM s JOIN t ON top >= threshold GROUP BY threshold",
-    "maxt_fwer": f"WITH {_D1}, n AS (SELECT replicate, max(greatest(score_left, score_right)) AS top FROM d1 WHERE side = 'O' GROUP BY replicate), o AS (SELECT node, position, event_type, max(greatest(score_left, score_right)) AS top FROM d1 WHERE side = 'F' GROUP BY node, position, event_type) SELECT o.event_type, count(*) AS n, count(CASE WHEN o.top > m.lo THEN 1 END) AS n_over_least, count(CASE WHEN o.top >= m.hi THEN 1 END) AS n_over_most FROM o CROSS JOIN (SELECT min(top) AS lo, max(top) AS hi FROM n) m GROUP BY o.event_type",
     "transfer_highways": "SELECT s.s_nationkey AS donor, c.c_nationkey AS recipient, count(*) AS n, count(DISTINCT o.o_orderkey) AS n_orders FROM {lineitem} l JOIN {orders} o ON l.l_orderkey = o.o_orderkey JOIN {supplier} s ON l.l_suppkey = s.s_suppkey JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE s.s_nationkey <> c.c_nationkey GROUP BY s.s_nationkey, c.c_nationkey",
-    "confusion_kappa": "WITH t AS (SELECT CAST(count(*) AS double) AS n, CAST(count(CASE WHEN quality = toxic THEN 1 END) AS double) AS same, CAST(sum(quality) AS double) AS q1, CAST(sum(toxic) AS double) AS t1 FROM {labels}) SELECT n, same, round(same / n, 9) AS agreement, round((same / n - (q1 * t1 + (n - q1) * (n - t1)) / (n * n)) / (1 - (q1 * t1 + (n - q1) * (n - t1)) / (n * n)), 9) AS kappa FROM t",
-    "majority_vote": "WITH v AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS seen FROM {events} GROUP BY user_id, event_type) SELECT user_id, event_type, n FROM (SELECT v.*, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, seen) AS rk FROM v) r WHERE rk = 1",
-    "root_distance": f"WITH {_TREE} SELECT s.node, r.node AS clade, n.node AS parent, r.len + n.len + s.len AS distance FROM tree s JOIN tree n ON s.parent = n.node JOIN tree r ON n.parent = r.node WHERE r.parent = 'root'",
-    "tree_closure": f"WITH {_TREE}, pairs AS (SELECT parent AS node, node AS leaf FROM tree WHERE node LIKE 's%' UNION ALL SELECT n.parent, s.node FROM tree s JOIN tree n ON s.parent = n.node WHERE s.node LIKE 's%' UNION ALL SELECT r.parent, s.node FROM tree s JOIN tree n ON s.parent = n.node JOIN tree r ON n.parent = r.node WHERE s.node LIKE 's%') SELECT node, count(*) AS clade_size, min(leaf) AS first_leaf, max(leaf) AS last_leaf FROM pairs GROUP BY node",
-    "co_switch_jaccard": f"WITH {_D1}, s AS (SELECT DISTINCT node, position FROM d1 WHERE greatest(score_left, score_right) >= 85000), c AS (SELECT position, count(*) AS n FROM s GROUP BY position), x AS (SELECT a.position AS p1, b.position AS p2, count(*) AS both_n FROM s a JOIN s b ON a.node = b.node AND a.position < b.position GROUP BY a.position, b.position) SELECT p1, p2, both_n, round(both_n / CAST(c1.n + c2.n - both_n AS double), 9) AS jaccard FROM x JOIN c c1 ON c1.position = p1 JOIN c c2 ON c2.position = p2",
-    "ks_statistic": "WITH v AS (SELECT d.n_chars AS x, l.quality AS g FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id), u AS (SELECT x, count(CASE WHEN g = 1 THEN 1 END) AS a, count(CASE WHEN g = 0 THEN 1 END) AS b FROM v GROUP BY x), t AS (SELECT CAST(sum(a) AS double) AS na, CAST(sum(b) AS double) AS nb FROM u), f AS (SELECT x, CAST(sum(a) OVER (ORDER BY x) AS double) AS ca, CAST(sum(b) OVER (ORDER BY x) AS double) AS cb FROM u) SELECT round(max(abs(ca / na - cb / nb)), 9) AS d, max(na) AS n1, max(nb) AS n0 FROM f CROSS JOIN t",
-    "mann_whitney_u": "WITH v AS (SELECT d.n_chars AS x, l.quality AS g FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id), u AS (SELECT x, count(CASE WHEN g = 1 THEN 1 END) AS a, count(CASE WHEN g = 0 THEN 1 END) AS b FROM v GROUP BY x), f AS (SELECT a, b, CAST(sum(b) OVER (ORDER BY x) AS double) AS cb FROM u) SELECT sum(a * (cb - b) + a * b / CAST(2 AS double)) AS u_statistic, CAST(sum(a) AS bigint) AS n1, CAST(sum(b) AS bigint) AS n0 FROM f",
-    "temporal_rates": f"WITH {_D1}, z AS (SELECT event_type, CAST(floor(depth / 50000) AS bigint) AS era, greatest(score_left, score_right) AS top FROM d1) SELECT event_type, era, count(*) AS n, count(CASE WHEN top >= 80000 THEN 1 END) AS n_calls FROM z GROUP BY event_type, era",
     "header_parse": "SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS host, split_part(url, '://', 1) AS scheme, CASE WHEN url LIKE '%?%' THEN 1 ELSE 0 END AS has_query FROM {pages}",
 }
 
