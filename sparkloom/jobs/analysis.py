@@ -31,7 +31,7 @@ _UP = f"{_TREE}, up AS (SELECT s.node AS leaf, s.node AS a0, n.node AS a1, r.nod
 
 def query(sql: str) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
-        Q[f.__name__], SQL[f.__name__] = f, sql
+        Q[f.__name__], SQL[f.__name__] = f, sql.replace("count_if(", "count(*) FILTER (")
         return f
 
     return register

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import columns, switches
-from ..session import table
+from ..session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,30 +27,36 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FACTS, **{t: table(spark, sf_dir, t) for t in ("lineitem", "part", "orders")})
 
 
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What calls need of the score table, joined once and written, as
+    thresholds and calls read it several times."""
+    return materialize(facts(spark, sf_dir).select("node", "position", "event_type", "score_left", "score_right", "clade_left", "clade_right"))
+
+
 def melt_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return switches.melt_branches(facts(spark, sf_dir)).groupBy("branch", "event_type", "position").agg(F.count("*").alias("n"), F.max("score").alias("top_score"), F.min("clade").alias("least_clade"))
 
 
 def qcut_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    branches = switches.melt_branches(facts(spark, sf_dir))
+    branches = switches.melt_branches(_written(spark, sf_dir))
     edges = switches.quantile_edges(branches, "clade", BINS)
     binned = branches.crossJoin(F.broadcast(edges)).withColumn("bin", switches.bin_of(F.col("clade"), F.col("edges")).cast("long"))
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.min("clade").alias("lo"), F.max("clade").alias("hi"))
 
 
 def bin_event_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    branches = switches.melt_branches(facts(spark, sf_dir))
+    branches = switches.melt_branches(_written(spark, sf_dir))
     out = switches.bin_thresholds(branches, switches.quantile_edges(branches, "clade", BINS), SHARE)
     return out.select("event_type", F.col("bin").cast("long").alias("bin"), F.round("threshold", 4).alias("threshold"), "n")
 
 
 def adaptive_switch_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = switches.adaptive_calls(facts(spark, sf_dir), BINS, SHARE)
+    calls = switches.adaptive_calls(_written(spark, sf_dir), BINS, SHARE)
     return calls.groupBy("event_type").agg(F.count_if("is_switch").alias("n_switches"), F.count("*").alias("n"))
 
 
 def dense_position_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return switches.dense_tally(switches.adaptive_calls(facts(spark, sf_dir), BINS, SHARE), 1, GRID_LAST)
+    return switches.dense_tally(switches.adaptive_calls(_written(spark, sf_dir), BINS, SHARE), 1, GRID_LAST)
 
 
 def column_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +92,9 @@ c AS (SELECT d1.*, (score_left >= tl.threshold OR score_right >= tr.threshold) A
 _RESIDUES = "x AS (SELECT lang, regexp_extract_all(text, '(?s).') AS xs FROM documents), m AS (SELECT lang, unnest(xs) AS residue, CAST(generate_subscripts(xs, 1) AS integer) AS position FROM x), c AS (SELECT lang, position, residue, count(*) AS n FROM m GROUP BY ALL)"
 
 ORACLE = {
-    "column_residues": f"WITH {_RESIDUES} SELECT lang, position, CAST(sum(n) AS bigint) AS n, CAST(coalesce(sum(n) FILTER (residue BETWEEN 'a' AND 'z'), 0) AS bigint) AS n_occupied, count(*) AS n_residues FROM c GROUP BY ALL",
-    "top_residue": f"WITH {_RESIDUES} SELECT lang, position, residue, n FROM c WHERE residue BETWEEN 'a' AND 'z' QUALIFY row_number() OVER (PARTITION BY lang, position ORDER BY n DESC, residue) = 1",
-    "column_entropy": f"WITH {_RESIDUES}, s AS (SELECT lang, position, n / CAST(sum(n) OVER (PARTITION BY lang, position) AS double) AS p FROM c WHERE residue BETWEEN 'a' AND 'z') SELECT lang, position, round(0 - sum(p * log2(p)), 6) AS entropy FROM s GROUP BY ALL",
+    "column_residues": f"WITH {_RESIDUES} SELECT lang, position, CAST(sum(n) AS bigint) AS n, CAST(coalesce(sum(n) FILTER (regexp_matches(residue, '[letter]')), 0) AS bigint) AS n_occupied, count(*) AS n_residues FROM c GROUP BY ALL",
+    "top_residue": f"WITH {_RESIDUES} SELECT lang, position, residue, n FROM c WHERE regexp_matches(residue, '[letter]') QUALIFY row_number() OVER (PARTITION BY lang, position ORDER BY n DESC, residue) = 1",
+    "column_entropy": f"WITH {_RESIDUES}, s AS (SELECT lang, position, n / CAST(sum(n) OVER (PARTITION BY lang, position) AS double) AS p FROM c WHERE regexp_matches(residue, '[letter]')) SELECT lang, position, round(0 - sum(p * log2(p)), 6) AS entropy FROM s GROUP BY ALL",
     "melt_branches": f"WITH {_D1}, {_B} SELECT branch, event_type, position, count(*) AS n, max(score) AS top_score, min(clade) AS least_clade FROM b GROUP BY 1, 2, 3",
     "qcut_deciles": f"WITH {_D1}, {_B}, {_EDGES} SELECT {_BIN.format('clade')} AS bin, count(*) AS n, min(clade) AS lo, max(clade) AS hi FROM b, e GROUP BY 1",
     "bin_event_thresholds": f"WITH {_D1}, {_B}, {_EDGES}, x AS (SELECT unnest([event_type, 'overall']) AS event_type, {_BIN.format('clade')} AS bin, score FROM b, e) SELECT event_type, bin, round(quantile_cont(score, {SHARE}), 4) AS threshold, count(*) AS n FROM x GROUP BY 1, 2",
@@ -120,7 +126,7 @@ def shared(sql: str) -> Query:
 
 
 def shared_oracle(sql: str) -> str:
-    return sql.format(**{t: t for t in TABLES})
+    return sql.format(**{t: t for t in TABLES}).replace("[letter]", columns.LETTER)
 
 
 def queries() -> dict[str, Query]:

@@ -15,14 +15,18 @@ def residue_counts(texts: DataFrame, by: str, text: str) -> DataFrame:
     return at.groupBy(by, "position", "residue").agg(F.count("*").alias("n"))
 
 
+#: What counts as a residue: a letter of any script, in either case.
+LETTER = r"^\p{L}$"
+
+
 def _letters(counts: DataFrame) -> DataFrame:
-    return counts.where(F.col("residue").between("a", "z"))
+    return counts.where(F.col("residue").rlike(LETTER))
 
 
 def occupancy(counts: DataFrame, by: str) -> DataFrame:
     """(by, position, n, n_occupied, n_residues): texts that reach the place,
     those with a letter there, and distinct characters."""
-    letter = F.when(F.col("residue").between("a", "z"), F.col("n")).otherwise(0)
+    letter = F.when(F.col("residue").rlike(LETTER), F.col("n")).otherwise(0)
     return counts.groupBy(by, "position").agg(F.sum("n").alias("n"), F.sum(letter).alias("n_occupied"), F.count("*").alias("n_residues"))
 
 
@@ -39,3 +43,34 @@ def entropy(counts: DataFrame, by: str) -> DataFrame:
     total = F.sum("n").cast("double")
     bits = F.log2(total) - F.sum(F.col("n") * F.log2("n")) / total
     return _letters(counts).groupBy(by, "position").agg((F.round(bits, 6) + 0.0).alias("entropy"))
+
+
+def gap_occupancy(residues: DataFrame, position: str = "position", gaps: tuple[str, ...] = ("-", ".")) -> DataFrame:
+    """(position, occupancy): the share of sequences without a gap at a place,
+    of (sequence, position, residue) rows; a null residue is a gap."""
+    full = F.when(F.col("residue").isNull() | F.col("residue").isin(*gaps), 0.0).otherwise(1.0)
+    return residues.groupBy(position).agg(F.avg(full).alias("occupancy"))
+
+
+def entropies(counts: DataFrame, by: list[str], alphabet: str) -> DataFrame:
+    """(by, nats, bits, relative, top_share) of the residues of ``alphabet``:
+    Shannon entropy in nats and bits, over its largest value, and the share of
+    the commonest residue."""
+    some = counts.where(F.instr(F.lit(alphabet), F.upper("residue")) > 0).groupBy(*by, F.upper("residue").alias("r")).agg(F.sum("n").cast("double").alias("n"))
+    t = F.sum("n")
+    nats = F.ln(t) - F.sum(F.col("n") * F.ln("n")) / t
+    return some.groupBy(*by).agg((nats + 0.0).alias("nats"), (nats / F.ln(F.lit(2.0))).alias("bits"), (nats / F.ln(F.lit(float(len(alphabet))))).alias("relative"), (F.max("n") / t).alias("top_share"))
+
+
+def shrunk_frequencies(counts: DataFrame, reference: DataFrame, strength: float, least: int, position: str = "position") -> DataFrame:
+    """(position, residue, frequency): (1 - strength) times a place's own
+    shares plus strength times the reference (residue, frequency), adding up
+    to 1; the reference alone where fewer than ``least`` residues stand."""
+    own = counts.join(F.broadcast(reference.select("residue")), "residue", "left_semi")
+    total = own.groupBy(position).agg(F.sum("n").alias("_t"))
+    places = counts.select(position).distinct().join(total, position, "left").na.fill(0, ["_t"])
+    grid = places.crossJoin(F.broadcast(reference)).join(own.select(position, "residue", "n"), [position, "residue"], "left").na.fill(0, ["n"])
+    mixed = F.when(F.col("_t") >= least, (1 - strength) * F.col("n") / F.nullif(F.col("_t"), F.lit(0)) + strength * F.col("frequency")).otherwise(F.col("frequency"))
+    mixed_rows = grid.select(position, "residue", mixed.alias("f"))
+    whole = mixed_rows.groupBy(position).agg(F.sum("f").alias("_s"))
+    return mixed_rows.join(whole, position).select(position, "residue", (F.col("f") / F.col("_s")).alias("frequency"))

@@ -45,15 +45,16 @@ def _same(keys: list[str]) -> Column:
     return out
 
 
-def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by, share, percentile, n): exact, linear between neighbours.
+def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """(by, share, percentile, n): exact, linear between neighbours; rows
+    count ``weight`` times.
 
     Nulls are left out; a group without values has no row. Values are counted
     first, so a group with most rows is no larger than its distinct values,
     and even these are spread over ranges.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     upto = materialize(running_sums(counts, value, ["n"], by))
     total = upto.groupBy(*by).agg(F.max("n_upto").alias("_total")) if by else upto.agg(F.max("n_upto").alias("_total"))
     # the value of rank r (from 0) is the least one with n_upto > r

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
+from . import ranks
+
 LEFT, RIGHT = ("score_left", "clade_left"), ("score_right", "clade_right")
 
 
@@ -15,8 +18,8 @@ def melt_branches(facts: DataFrame, keep: tuple[str, ...] = ("node", "position",
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """One row: ``edges``, the distinct inner and outer quantile edges."""
-    shares = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    return df.agg(F.array_sort(F.array_distinct(F.percentile(value, shares))).alias("edges"))
+    edges = ranks.percentiles(df, value, [i / bins for i in range(bins + 1)])
+    return edges.agg(F.array_sort(F.collect_set("percentile")).alias("edges"))
 
 
 def bin_of(value: Column, edges: Column) -> Column:
@@ -26,10 +29,13 @@ def bin_of(value: Column, edges: Column) -> Column:
 
 def bin_thresholds(branches: DataFrame, edges: DataFrame, share: float, event: str = "event_type") -> DataFrame:
     """(event, bin, threshold, n): percentile of the score inside each clade
-    bin, by event and overall ('overall'), as grouping sets in one pass."""
+    bin, by event and overall ('overall'). Scores are counted by event and
+    bin before they are doubled; no group's values are held in one place."""
     binned = branches.crossJoin(F.broadcast(edges)).withColumn("bin", bin_of(F.col("clade"), F.col("edges")))
-    rows = binned.select("bin", "score", F.explode(F.array(F.col(event), F.lit("overall"))).alias(event))
-    return rows.groupBy(event, "bin").agg(F.percentile("score", F.lit(share)).alias("threshold"), F.count("*").alias("n"))
+    counts = binned.where("score is not null").groupBy("bin", "score", event).agg(F.count("*").alias("n"))
+    rows = counts.select("bin", "score", "n", F.explode(F.array(F.col(event), F.lit("overall"))).alias(event))
+    out = ranks.percentiles(rows, "score", [share], [event, "bin"], "n")
+    return out.select(event, "bin", F.col("percentile").alias("threshold"), "n")
 
 
 def adaptive_calls(facts: DataFrame, bins: int = 10, share: float = 0.99, left: tuple[str, str] = LEFT, right: tuple[str, str] = RIGHT) -> DataFrame:
@@ -37,8 +43,9 @@ def adaptive_calls(facts: DataFrame, bins: int = 10, share: float = 0.99, left:
     threshold of its clade bin. The edges are one row and the thresholds at
     most ``bins`` rows, so both are broadcast; no fact row is shuffled twice."""
     branches = melt_branches(facts, ("event_type",), left, right)
-    edges = quantile_edges(branches, "clade", bins)
-    cut = bin_thresholds(branches, edges, share).where("event_type = 'overall'").select("bin", "threshold")
+    edges = materialize(quantile_edges(branches, "clade", bins))
+    binned = branches.crossJoin(F.broadcast(edges)).withColumn("bin", bin_of(F.col("clade"), F.col("edges")))
+    cut = ranks.percentiles(binned, "score", [share], ["bin"]).select("bin", F.col("percentile").alias("threshold"))
     lookup = cut.agg(F.map_from_entries(F.collect_list(F.struct("bin", "threshold"))).alias("cuts")).crossJoin(edges)
     joined = facts.crossJoin(F.broadcast(lookup))
     hit = [F.coalesce(F.col(s) >= F.element_at("cuts", bin_of(F.col(c), F.col("edges"))), F.lit(False)) for s, c in (left, right)]

@@ -28,11 +28,14 @@ def ensure_importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, which executors share.
 
-    Only where that setting is unset (tests, local runs) a temporary folder
-    takes its place.
+    Only where that setting is unset and everything runs in one process
+    (tests, local runs) a temporary folder takes its place; on a cluster a
+    missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that executors share")
         base = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
