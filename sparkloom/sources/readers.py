@@ -280,7 +280,7 @@ def alpha_carbons(spark: SparkSession, path: str) -> DataFrame:
     """(file, chain, residue, name, x, y, z) of the alpha carbons of the first
     model of fixed-column structure files; of alternates the first. Lines keep
     their order inside a file, which is read whole."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.split("value", "\nENDMDL")[0].alias("v"))
+    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.substring_index("value", "\nENDMDL", 1).alias("v"))
     line = raw.select("file", F.posexplode(F.split("v", "\r?\n")).alias("i", "l")).where(F.col("l").startswith("ATOM") & (F.trim(F.substring("l", 13, 4)) == "CA"))
     cut = lambda a, n: F.trim(F.substring("l", a, n))
     rows = line.select("file", "i", cut(22, 1).alias("chain"), cut(23, 4).cast("int").alias("residue"), cut(18, 3).alias("name"), *(cut(a, 8).cast("double").alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))))
