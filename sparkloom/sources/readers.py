@@ -214,7 +214,7 @@ def losses(spark: SparkSession, path: str) -> DataFrame:
                             rows.append((name, place, kind, ",".join(sorted(below))))
             yield pd.DataFrame(rows, columns=["file", "branch", "kind", "survivors"])
 
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), "value")
     return raw.mapInPandas(run, "file string, branch string, kind string, survivors string")
 
 
@@ -240,7 +240,7 @@ def fields(spark: SparkSession, path: str, schema: dict[str, str]) -> DataFrame:
 
 def parameters(spark: SparkSession, path: str) -> DataFrame:
     """(file, parameters): a header line and its first row, as a map."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.split(F.trim("value"), "\r?\n").alias("l"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.split(F.trim("value"), "\r?\n").alias("l"))
     cells = lambda i: F.split(F.trim(F.col("l")[i]), r"[\s,]+")
     return raw.where((F.size("l") > 1) & (F.size(cells(0)) == F.size(cells(1)))).select("file", F.map_from_arrays(cells(0), cells(1)).alias("parameters"))
 
@@ -280,7 +280,7 @@ def alpha_carbons(spark: SparkSession, path: str) -> DataFrame:
     """(file, chain, residue, name, x, y, z) of the alpha carbons of the first
     model of fixed-column structure files; of alternates the first. Lines keep
     their order inside a file, which is read whole."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.substring_index("value", "\nENDMDL", 1).alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.substring_index("value", "\nENDMDL", 1).alias("v"))
     line = raw.select("file", F.posexplode(F.split("v", "\r?\n")).alias("i", "l")).where(F.col("l").startswith("ATOM") & (F.trim(F.substring("l", 13, 4)) == "CA"))
     cut = lambda a, n: F.trim(F.substring("l", a, n))
     rows = line.select("file", "i", cut(22, 1).alias("chain"), cut(23, 4).cast("int").alias("residue"), cut(18, 3).alias("name"), *(cut(a, 8).cast("double").alias(c) for a, c in ((31, "x"), (39, "y"), (47, "z"))))
