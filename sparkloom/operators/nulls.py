@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
 from . import ranks
 
 
@@ -37,7 +38,8 @@ def sweep(observed: DataFrame, null: DataFrame, stat: str, replicate: str = "rep
     obs = ranks.running_sums(down, "_d", ["n"]).select("t", F.col("n_upto").alias("n_observed"))
     reps = null.select(F.col(replicate).alias("r")).where("r is not null").distinct()
     cells = _counts(null.where(F.col(replicate).isNotNull()), stat, [replicate]).withColumnRenamed(replicate, "r")
-    edges = grid.agg(F.percentile_approx("t", [i / 256 for i in range(1, 256)], 10_000).alias("_e"))
+    grid, cells = materialize(grid), materialize(cells)
+    edges = grid.agg(F.percentile_approx("t", ranks.range_shares(grid.count() + cells.count()), 10_000).alias("_e"))
     at = lambda df: df.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_e", lambda e: e <= F.col("t")))).drop("_e")
     # a null value counts for all grid points of its range at or below it, and for all lower ranges
     cells, points = at(cells), at(obs)

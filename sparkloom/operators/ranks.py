@@ -11,8 +11,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 
-#: Ranges that the values of a running sum are split into, at most.
-RANGES = 256
+#: Ranges that the values of a running sum are split into, at most, and rows of one.
+RANGES, RANGE_ROWS = 256, 200_000
+
+
+def range_shares(rows: int, ranges: int = RANGES) -> list[float]:
+    """Shares at which so many rows are cut into ranges."""
+    n = max(2, min(ranges, rows // RANGE_ROWS))
+    return [i / n for i in range(1, n)]
 
 
 def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
@@ -25,7 +31,7 @@ def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] |
     """
     by = by or []
     counts = materialize(counts.where(F.col(value).isNotNull()))
-    edges = counts.agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10_000).alias("_edges"))
+    edges = counts.agg(F.percentile_approx(value, range_shares(counts.count(), ranges), 10_000).alias("_edges"))
     rows = counts.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
     part = rows.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -1 +1 @@
-"""Reserved for later rounds."""
+"""Replicates that arrive over time."""
