@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import nulls, ranks, scoring, stats, summaries, trees
+from ..operators import nulls, ranks, residues, scoring, stats, summaries, trees
 from ..session import materialize, table
 from .divergence import FACTS, facts
 
@@ -387,6 +387,57 @@ def lineage_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = held.unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), (-F.col("r_regionkey")).cast("long").alias("value")))
     return trees.nearest_with(paths, held).where(F.col("node").startswith("s"))
 
+MOTIF = "TATNAA"
+
+
+@query("WITH q AS (SELECT doc_id, string_split(upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')), '') AS x FROM documents), p AS (SELECT doc_id, x, unnest(range(0, greatest(len(x) - 5, 0)))::int AS hit_position FROM q), h AS (SELECT doc_id, hit_position, array_to_string(x[hit_position + 1:hit_position + 6], '') AS hit_sequence, (x[hit_position + 1] <> 'T')::int + (x[hit_position + 2] <> 'A')::int + (x[hit_position + 3] <> 'T')::int + (x[hit_position + 5] <> 'A')::int + (x[hit_position + 6] <> 'A')::int AS mismatches FROM p) SELECT * FROM h WHERE mismatches <= 1 AND length(hit_sequence) = 6")
+def motif_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("sequence"))
+    return residues.motif_hits(d, "sequence", MOTIF, 1)
+
+
+def _consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, position, letter): the most frequent letter by language."""
+    top = F.min_by("residue", F.struct(-F.col("n"), F.col("residue")))
+    return _alignment(spark, sf_dir).groupBy("node", "position").agg(top.alias("letter"))
+
+
+_IUPAC = "iu AS (SELECT * FROM (VALUES " + ", ".join(str(x) for x in residues.IUPAC.items()) + ") v(letter, allowed))"
+
+
+@query(f"WITH {_LETTERS}, t AS (SELECT node, position, arg_min(residue, (-n, residue)) AS letter FROM c GROUP BY ALL), {_IUPAC}, w AS (SELECT node, position, unnest(['A', 'C', 'G', 'T']) AS base, coalesce(allowed, '') AS al FROM t LEFT JOIN iu USING (letter)), m AS (SELECT node, position, base, (CASE WHEN contains(al, base) THEN 1.0::double ELSE 0.1::double END) / (length(al) + (4 - length(al)) * 0.1::double) AS p FROM w) SELECT a.node AS motif_a, b.node AS motif_b, count(DISTINCT position) AS n, round(sqrt(sum((a.p - b.p) ** 2)) / count(DISTINCT position), 9) AS frobenius, round(sum((a.p - b.p) * (ln(a.p + 1e-10) - ln(b.p + 1e-10))) / 2 / count(DISTINCT position), 9) AS divergence FROM m a JOIN m b USING (position, base) WHERE a.node < b.node GROUP BY ALL")
+def motif_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = residues.matrix_distances(residues.weight_matrices(_consensus(spark, sf_dir), "node"), "node")
+    return out.withColumns({c: F.round(c, 9) for c in ("frobenius", "divergence")})
+
+
+_SCALES = "sc AS (SELECT * FROM (VALUES " + ", ".join(str((k, h, residues.CHARGE.get(k, 0.0), residues.VOLUME[k], *residues.GRANTHAM[k])) for k, h in residues.HYDROPATHY.items()) + ") v(aa, h, q, vol, gc, gp, gv))"
+
+
+@query(f"WITH {_LETTERS}, t AS (SELECT node, position, arg_min(residue, (-n, residue)) AS a FROM c GROUP BY ALL), {_SCALES}, pr AS (SELECT t.node, t.position, t.a AS ancestral, c.residue AS target, c.n FROM t JOIN c USING (node, position)) SELECT node, position, ancestral, target, n, coalesce(round(sqrt(1.833::double * (x.gc::double - y.gc) ** 2 + 0.1018::double * (x.gp::double - y.gp) ** 2 + 0.000399::double * (x.gv::double - y.gv) ** 2) * 50.723::double), 0) AS distance, round(coalesce(y.q::double, 0) - coalesce(x.q::double, 0), 6) AS charge_shift, round(coalesce(y.h::double, 0) - coalesce(x.h::double, 0), 6) AS hydropathy_shift, round(coalesce(y.vol::double, 0) - coalesce(x.vol::double, 0), 6) AS volume_shift FROM pr LEFT JOIN sc x ON x.aa = ancestral LEFT JOIN sc y ON y.aa = target")
+def property_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _alignment(spark, sf_dir)
+    rows = a.join(_consensus(spark, sf_dir).withColumnRenamed("letter", "ancestral"), ["node", "position"]).withColumnRenamed("residue", "target")
+    out = residues.annotate_shifts(rows, "ancestral", "target")
+    return out.select("node", "position", "ancestral", "target", "n", "distance", *(F.round(f"{c}_shift", 6).alias(f"{c}_shift") for c in ("charge", "hydropathy", "volume")))
+
+
+@query(f"WITH {_S}, m AS (SELECT DISTINCT node, position FROM s WHERE top >= 90000), z AS (SELECT node, count(*) AS size FROM m GROUP BY 1), i AS (SELECT a.node AS x, b.node AS y, count(*) AS met FROM m a JOIN m b ON a.position = b.position AND a.node <> b.node GROUP BY ALL) SELECT i.x AS inner_node, i.y AS outer_node FROM i JOIN z p ON p.node = i.x JOIN z q ON q.node = i.y WHERE met = p.size AND p.size < q.size")
+def contained_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _facts(spark, sf_dir, "node", "position", "top").where("top >= 90000")
+    return residues.contained_sets(f, "node", "position").select(F.col("inner").alias("inner_node"), F.col("outer").alias("outer_node"))
+
+
+METHODS = ("inverted_cdf", "linear")
+
+
+@query(f"WITH {_S} SELECT event_type, 'inverted_cdf' AS method, round(quantile_disc(top, 0.95), 6) AS q FROM s GROUP BY 1 UNION ALL SELECT event_type, 'linear', round(quantile_cont(top, 0.95), 6) FROM s GROUP BY 1")
+def quantile_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _facts(spark, sf_dir, "event_type", "top")
+    outs = [ranks.percentiles(f, "top", [0.95], ["event_type"], method=m).select("event_type", F.lit(m).alias("method"), F.round("percentile", 6).alias("q")) for m in METHODS]
+    return outs[0].unionByName(outs[1])
+
+
 
 def queries() -> dict[str, Query]:
     return dict(Q)

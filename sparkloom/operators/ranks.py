@@ -51,9 +51,35 @@ def _same(keys: list[str]) -> Column:
     return out
 
 
-def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, weight: str | None = None) -> DataFrame:
-    """(by, share, percentile, n): exact, linear between neighbours; rows
-    count ``weight`` times.
+#: Plotting positions (alpha, beta) of the methods that go linearly between ranks.
+BETWEEN = {"linear": (1, 1), "weibull": (0, 0), "hazen": (0.5, 0.5), "interpolated_inverted_cdf": (0, 1), "median_unbiased": (1 / 3, 1 / 3), "normal_unbiased": (3 / 8, 3 / 8)}
+
+
+def quantile_rank(share: Column, total: Column, method: str = "linear") -> Column:
+    """Rank from 0, perhaps between two, of a share of ``total`` values;
+    ``ValueError`` for an unknown method."""
+    even, np_ = (total - 1) * share, total * share
+    at = {
+        "lower": lambda: F.floor(even),
+        "higher": lambda: F.ceil(even),
+        "nearest": lambda: F.bround(even, 0),
+        "midpoint": lambda: (F.floor(even) + F.ceil(even)) / 2,
+        "inverted_cdf": lambda: F.ceil(np_) - 1,
+        "averaged_inverted_cdf": lambda: F.when(np_ == F.floor(np_), np_ - 0.5).otherwise(F.floor(np_)),
+    }
+    if method in BETWEEN:
+        a, b = BETWEEN[method]
+        rank = np_ + (a + share * (1 - a - b)) - 1 if method != "linear" else even
+    elif method in at:
+        rank = at[method]()
+    else:
+        raise ValueError(f"{method} is none of {sorted([*BETWEEN, *at])}")
+    return F.least(F.greatest(rank.cast("double"), F.lit(0.0)), (total - 1).cast("double"))
+
+
+def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, weight: str | None = None, method: str = "linear") -> DataFrame:
+    """(by, share, percentile, n): exact, by default linear between
+    neighbours (see ``quantile_rank``); rows count ``weight`` times.
 
     Nulls are left out; a group without values has no row. Values are counted
     first, so a group with most rows is no larger than its distinct values,
@@ -64,7 +90,7 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
     upto = materialize(running_sums(counts, value, ["n"], by))
     total = upto.groupBy(*by).agg(F.max("n_upto").alias("_total")) if by else upto.agg(F.max("n_upto").alias("_total"))
     # the value of rank r (from 0) is the least one with n_upto > r
-    wanted = total.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("_rank", F.col("share") * (F.col("_total") - 1))
+    wanted = total.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("_rank", quantile_rank(F.col("share"), F.col("_total"), method))
     wanted = wanted.where("_total > 0").withColumn("_lo", F.floor("_rank")).withColumn("_hi", F.ceil("_rank"))
     wanted = wanted.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(by)), "share", "_total", "_rank", "_lo", "_hi")
     first = F.col("n_upto") - F.col("n")
