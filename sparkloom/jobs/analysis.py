@@ -422,9 +422,9 @@ def property_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("node", "position", "ancestral", "target", "n", "distance", *(F.round(f"{c}_shift", 6).alias(f"{c}_shift") for c in ("charge", "hydropathy", "volume")))
 
 
-@query(f"WITH {_S}, m AS (SELECT DISTINCT node, position FROM s WHERE top >= 90000), z AS (SELECT node, count(*) AS size FROM m GROUP BY 1), i AS (SELECT a.node AS x, b.node AS y, count(*) AS met FROM m a JOIN m b ON a.position = b.position AND a.node <> b.node GROUP BY ALL) SELECT i.x AS inner_node, i.y AS outer_node FROM i JOIN z p ON p.node = i.x JOIN z q ON q.node = i.y WHERE met = p.size AND p.size < q.size")
+@query(f"WITH {_S}, m AS (SELECT DISTINCT node, position FROM s WHERE top >= 100000), z AS (SELECT node, count(*) AS size FROM m GROUP BY 1), i AS (SELECT a.node AS x, b.node AS y, count(*) AS met FROM m a JOIN m b ON a.position = b.position AND a.node <> b.node GROUP BY ALL) SELECT i.x AS inner_node, i.y AS outer_node FROM i JOIN z p ON p.node = i.x JOIN z q ON q.node = i.y WHERE met = p.size AND p.size < q.size")
 def contained_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _facts(spark, sf_dir, "node", "position", "top").where("top >= 90000")
+    f = _facts(spark, sf_dir, "node", "position", "top").where("top >= 100000")
     return residues.contained_sets(f, "node", "position").select(F.col("inner").alias("inner_node"), F.col("outer").alias("outer_node"))
 
 
