@@ -7,12 +7,12 @@ of bytes outside ``\\x20\\x09-\\x0D``; every text counts whole, null as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, types as T
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -162,3 +162,21 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 def extended(schema: T.StructType, **added: str) -> T.StructType:
     """``schema`` with more columns, itself left as it is."""
     return T.StructType([*schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in added.items())])
+
+
+def with_columns(docs: DataFrame, text: str, measure: Callable[[list[bytes]], list[pa.Array]], **added: str) -> DataFrame:
+    """``docs`` with the columns ``added`` (name and type), which ``measure``
+    makes of the texts of a slice. Columns of these names are replaced; others
+    stay, whatever their names (dots, equal names but for case)."""
+    taken = {k.lower() for k in added}
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in taken or c == text]
+    plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns)))).select(*(f"_{i}" for i in kept))
+    at = kept.index(docs.columns.index(text))
+    names = [docs.columns[i] for i in kept if docs.columns[i].lower() not in taken]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, at):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *measure(raw(batch.column(at)))], names=[*batch.schema.names, *added])
+
+    out = plain.mapInArrow(run, extended(plain.schema, **added))
+    return out.select(*(f"_{i}" for i in kept if docs.columns[i].lower() not in taken), *added).toDF(*names, *added)
