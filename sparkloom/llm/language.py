@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
 from . import kernel
@@ -23,7 +23,7 @@ LENGTHS = (5, 4, 3, 2, 1)
 #: Words seen less often are left to their n-grams.
 LEAST_SEEN = 2
 #: The model's size, whatever the corpus: so many words, n-grams, and cells (entries times languages) of either, the most frequent ones.
-WORDS, GRAMS, CELLS = 1 << 18, 1 << 18, 1 << 22
+WORDS, GRAMS, CELLS = 1 << 17, 1 << 17, 1 << 21
 #: Log frequency of what a language has never shown, below that of what it has shown once.
 UNSEEN = 2.0
 #: Sets apart n-grams of different lengths.
@@ -182,14 +182,19 @@ def _found(table: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == h
 
 
-def _table(counts: DataFrame, languages: list[str], most: int, group: Column, names: tuple[str, ...]) -> tuple[list, np.ndarray]:
-    """The ``most`` most frequent entries and their counts by language; the
-    driver gets no more than that many rows."""
-    key = F.struct(*names)
-    each = counts.groupBy(key.alias("key")).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by"))
-    best = each.where(group).orderBy(F.desc("total"), "key").limit(most)
-    got = best.select("key", F.array(*(F.coalesce(F.col("by")[x], F.lit(0)) for x in languages)).alias("n")).collect()
-    return [r["key"] for r in got], np.array([r["n"] for r in got], np.float64).reshape(len(got), len(languages))
+def _table(counts: DataFrame, languages: list[str], most: int, least: int, *key: str) -> tuple[pa.Table, np.ndarray]:
+    """Entries and their counts by language: all that are seen as often as
+    the rarest frequency at which no more than ``most`` are left."""
+    each = counts.groupBy(*key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("l", "n"))).alias("by"))
+    seen = {r["total"]: r["entries"] for r in each.where(F.col("total") >= least).groupBy("total").agg(F.count("*").alias("entries")).collect()}
+    left, cut = most, max(seen, default=0) + 1
+    for total in sorted(seen, reverse=True):
+        left -= seen[total]
+        if left < 0:
+            break
+        cut = total
+    got = each.where(F.col("total") >= cut).select(*key, *(F.coalesce(F.col("by")[x], F.lit(0)).alias(f"_{i}") for i, x in enumerate(languages))).toArrow()
+    return got, np.stack([got.column(f"_{i}").to_numpy() for i in range(len(languages))], axis=1).astype(np.float64)
 
 
 def _log(n: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -212,15 +217,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", words: int
     counts = materialize(word_counts(some, text, lang))
     total = {r["l"]: r["n"] for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     most = max(1, cells // len(languages))
-    key, n = _table(counts, languages, min(words, most), F.col("total") >= LEAST_SEEN, ("w",))
-    h = kernel.Texts([bytes(r["w"]) for r in key]).word_hashes() if key else np.zeros(0, np.uint64)
+    got, n = _table(counts, languages, min(words, most), LEAST_SEEN, "w")
+    h = kernel.Texts(got.column("w").to_pylist()).word_hashes() if len(n) else np.zeros(0, np.uint64)
     order = np.argsort(h)
     known = h[order], _log(n, np.array([total.get(x, 0) for x in languages], float))[order]
     parts = materialize(gram_counts(counts))
     by_size = {(r["size"], r["l"]): r["n"] for r in parts.groupBy("size", "l").agg(F.sum("n").alias("n")).collect()}
-    key, n = _table(parts, languages, min(grams, most), F.lit(True), ("k", "size"))
-    h = np.array([r["k"] for r in key], np.int64).view(np.uint64)
-    whole = np.array([[by_size.get((r["size"], x), 0) for x in languages] for r in key], float).reshape(n.shape)
+    got, n = _table(parts, languages, min(grams, most), 1, "k", "size")
+    h = got.column("k").to_numpy().astype(np.int64).view(np.uint64)
+    whole = np.array([[by_size.get((size, x), 0) for x in languages] for size in range(max(LENGTHS) + 1)], float)[got.column("size").to_numpy()]
     order = np.argsort(h)
     share = np.array([rows[x] for x in languages], float)
     return Model(languages, np.log(share / share.sum()), known, (h[order], _log(n, whole)[order]))
