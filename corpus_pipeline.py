@@ -40,9 +40,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows that share it stay together, and rows without one stay, as do null
     and empty texts, which are near nothing."""
     _ready(spark)
-    classes = ngram_jaccard.similar_classes(docs, k=5, num=80, den=100, count_links=False)
-    gone = materialize(classes.where("component_id <> doc_id").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+    def step(d: DataFrame) -> DataFrame:
+        classes = ngram_jaccard.similar_classes(d, k=5, num=80, den=100, count_links=False)
+        gone = materialize(classes.where("component_id <> doc_id").select("doc_id").distinct())
+        return d.join(gone, "doc_id", "left_anti")
+
+    return _apart(docs, step)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +60,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents, their secrets masked; n_chars follows the text, null
     texts stay null."""
     _ready(spark)
-    clean = secret_scan.mask_secrets(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    kind = docs.schema["n_chars"].dataType
+    return _apart(docs, lambda d: secret_scan.mask_secrets(d).withColumn("n_chars", F.char_length("text").cast(kind)))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

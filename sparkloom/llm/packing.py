@@ -136,9 +136,10 @@ def priced_configurations(weights: np.ndarray, lengths: np.ndarray, have: np.nda
             yield used, copies
 
 
-def programme(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 3, rate: float = 0.3, slack: float = 0.001, slow: float = 0.1) -> tuple[Counter, Counter]:
-    """(configuration -> how often, lengths left over): the configuration
-    program by multiplicative weights, rounded to whole sequences.
+def rounds(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = 3, rate: float = 0.3, slack: float = 0.001, slow: float = 0.1) -> Iterator[tuple[Counter, Counter]]:
+    """(configuration -> how often, lengths left over) before the first round
+    and after each: the configuration program by multiplicative weights,
+    rounded to whole sequences.
 
     A length's weight is its size times exp(-rate * share placed), so that
     lengths that lag behind gain weight; each round prices configurations by
@@ -151,6 +152,7 @@ def programme(histogram: dict[int, int], capacity: int = CAPACITY, steps: int =
     """
     need = Counter({x: n for x, n in histogram.items() if n > 0})
     left, out = Counter(need), Counter()
+    yield Counter(), Counter(need)
     while left.total() > len(need):
         lengths = np.array(sorted(left), np.int64)
         have = np.array([left[x] for x in lengths.tolist()], np.int64)
@@ -165,32 +167,60 @@ def programme(histogram: dict[int, int], capacity: int = CAPACITY, steps: int =
         left = +left
         if have.sum() - left.total() < slow * have.sum():
             slack = min(1.0, slack * 1.4)
-    return out, left
+        yield Counter(out), Counter(left)
+
+
+def programme(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, Counter]:
+    """What the last of the rounds has placed and left."""
+    *_, last = rounds(histogram, capacity)
+    return last
 
 
 def best_fit(left: Counter, capacity: int) -> Counter:
-    """Best fit, longest first, of a few pieces (length -> how many)."""
+    """Best fit, longest first (length -> how many), over groups of equal
+    sequences: work follows the different lengths and configurations, not
+    the pieces."""
     room: list[int] = []
-    open_at: dict[int, list[list[int]]] = {}
-    for x in sorted(left.elements(), reverse=True):
-        i = bisect_left(room, x)
-        if i < len(room):
-            r = room.pop(i)
-            bin_ = open_at[r].pop()
-        else:
-            r, bin_ = capacity, []
-        bin_.append(x)
-        insort(room, r - x)
-        open_at.setdefault(r - x, []).append(bin_)
-    return Counter(tuple(b) for bins in open_at.values() for b in bins)
+    open_at: dict[int, Counter] = {}
+
+    def add(r: int, config: tuple[int, ...], n: int) -> None:
+        if r not in open_at:
+            insort(room, r)
+            open_at[r] = Counter()
+        open_at[r][config] += n
+
+    for x, n in sorted(left.items(), reverse=True):
+        while n > 0:
+            i = bisect_left(room, x)
+            if i < len(room):
+                r = room[i]
+                config, copies = next(iter(open_at[r].items()))
+                k, used = min(n, copies), 1
+                if k == copies:
+                    del open_at[r][config]
+                    if not open_at[r]:
+                        del open_at[r], room[i]
+                else:
+                    open_at[r][config] -= k
+            else:
+                used = min(n, capacity // x)
+                r, config, k = capacity, (), n // used
+            add(r - used * x, (*config, *(x,) * used), k)
+            n -= used * k
+    return Counter({c: n for at in open_at.values() for c, n in at.items()})
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(configuration, how often) for exactly the pieces of the histogram:
-    the program's sequences, then best fit for what its rounding leaves, at
-    most as many pieces as there are lengths."""
-    out, left = programme(histogram, capacity)
-    return sorted((out + best_fit(left, capacity)).items())
+    sequences of the program, and best fit for what its rounding leaves. How
+    much that is follows from the pieces: of all rounds, the program stops
+    after the one with which both together need fewest sequences."""
+    best = None
+    for out, left in rounds(histogram, capacity):
+        whole = out + best_fit(left, capacity)
+        if best is None or whole.total() <= best.total():
+            best = whole
+    return sorted(best.items())
 
 
 def slots(configs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

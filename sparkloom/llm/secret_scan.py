@@ -154,7 +154,9 @@ def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def mask_secrets(docs: DataFrame, text: str = "text", by: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced by ``by``; spans that overlap or
-    touch become one. Texts without secrets, null ones too, stay as they are."""
+    touch become one. Texts without secrets, null ones too, stay as they are;
+    repeated rows are masked one by one; other columns stay, whatever their
+    names; an empty table gives an empty one. One pass, no shuffle."""
     base = docs
 
     def clean(raw: bytes, spans: list[Span]) -> str:

@@ -225,7 +225,7 @@ def test_pipeline(spark, tmp_path, rows):
     full = spark.read.parquet(f"{SF}/documents.parquet")
     near = rows[-1][1].split()
     rows = [*rows, (5001, " ".join([*near[:3], *near[4:]])), (5002, LONG + " secret = " + "x1" * 12)]
-    table = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "mine", "own") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, leaks string")
+    table = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "mine", "own", "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, leaks string, `a.b` string")
     assert set(full.columns) <= set(table.columns)
     table.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -241,3 +241,41 @@ def test_pipeline(spark, tmp_path, rows):
     for r in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: (r["doc_id"], r["piece"])):
         got[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
     assert got == {d: brute.pieces([*slow.encode(t, add_special_tokens=False).ids, 2]) for d, t in clean}
+
+
+def test_stages_on_hard_tables(spark, tmp_path):
+    """Rows without an id or a text, repeated rows, dotted names, no rows."""
+    spark.createDataFrame([(1, "what is the name of the oldest tree in the park. it is the old oak by the gate")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(None, good + " alone here"), (None, None), (4, good), (4, good), (7, good), (8, " ".join(f"other{i}" for i in range(60)) + " token=abcdefghijkl12"), (None, good + " alone here")]
+    table = spark.createDataFrame([(d, t, len(t or ""), "x", "y") for d, t in rows], "doc_id long, text string, n_chars int, `a.b` string, Text_ string")
+    kept = [0, 2, 3, 4, 5, 6]
+    out = corpus_pipeline.keep_quality(spark, table, str(tmp_path))
+    assert sorted(map(repr, out.collect())) == sorted(repr(r) for i, r in enumerate(table.collect()) if i in kept)
+    near = corpus_pipeline.drop_near_copies(spark, out, str(tmp_path))
+    assert sorted(repr(r["doc_id"]) for r in near.collect()) == ["4", "4", "8", "None", "None"]
+    clean = corpus_pipeline.mask_secrets(spark, corpus_pipeline.drop_leaks(spark, near, str(tmp_path)), str(tmp_path))
+    assert clean.schema == table.schema and clean.count() == 5
+    assert all(r["n_chars"] == len(r["text"]) and r["a.b"] == "x" and "abcdefghijkl12" not in r["text"] for r in clean.collect())
+    assert corpus_pipeline.pack_sequences(spark, clean, str(tmp_path)).count() == 5
+    none = table.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        none = stage(spark, none, str(tmp_path))
+        assert none.schema == table.schema and none.count() == 0
+    assert corpus_pipeline.pack_sequences(spark, none, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["sf0.001", "sf0.01", "uniform", "narrow", "triplets", "exponential", "lognormal", "long"])
+def test_no_more_sequences_than_best_fit(spark, shape):
+    """The plan against best fit of all pieces, and by how much it may lie above the bound of length."""
+    rng = np.random.default_rng(7)
+    if shape.startswith("sf"):
+        docs = spark.read.parquet(f"/root/testdata/{shape}/documents.parquet")
+        need = Counter(r["length"] for r in packing.pieces(docs, queries.vocabulary()).collect())
+    else:
+        a, b = rng.integers(260, 420, 700), rng.integers(260, 420, 700)
+        made = {"uniform": rng.uniform(200, 600, 2000), "narrow": rng.uniform(300, 600, 2000), "triplets": np.concatenate([a, b, 1024 - a - b]), "exponential": rng.exponential(300, 3000), "lognormal": rng.lognormal(5.5, 0.8, 3000), "long": rng.uniform(500, 1024, 2000)}
+        need = Counter(np.clip(made[shape], 1, 1024).astype(int).tolist())
+    used, plainly = sum(n for _, n in packing.plan(need)), packing.best_fit(need, 1024).total()
+    assert used <= plainly
+    assert shape not in ("uniform", "narrow", "triplets") or used < 0.99 * plainly
