@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import nulls, ranks, residues, scoring, stats, summaries, trees
+from ..operators import columns, nulls, ranks, residues, scoring, stats, summaries, trees
 from ..session import materialize, table
 from .divergence import FACTS, facts
 
@@ -262,14 +262,16 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.majority(table(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
 
 
-_LETTERS = "l AS (SELECT lang AS node, unnest(range(1, 65)) AS position, substr(text, 1, 64) AS t FROM documents WHERE n_chars >= 64), c AS (SELECT node, CAST(position AS integer) AS position, upper(substr(t, position, 1)) AS residue, count(*) AS n FROM l WHERE regexp_matches(substr(t, position, 1), '^[A-Za-z]$') GROUP BY ALL)"
+_LETTERS = "texts AS (SELECT lang AS node, regexp_extract_all(text, '(?s).') AS xs FROM documents), chars AS (SELECT node, unnest(xs) AS x, CAST(generate_subscripts(xs, 1) AS integer) AS position FROM texts), c AS (SELECT node, position, CASE WHEN x BETWEEN 'a' AND 'z' THEN upper(x) ELSE x END AS residue, count(*) AS n FROM chars WHERE regexp_matches(x, '^\\p{L}$') GROUP BY ALL)"
 VOWELS = "AEIOU"
 
 
 def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, position, residue, n): letters of the first 64 places by language."""
-    d = table(spark, sf_dir, "documents").where("n_chars >= 64").select(F.col("lang").alias("node"), F.posexplode(F.split(F.substring("text", 1, 64), "")).alias("p", "residue"))
-    return materialize(d.where(F.col("residue").rlike("^[A-Za-z]$")).groupBy("node", (F.col("p") + 1).alias("position"), F.upper("residue").alias("residue")).agg(F.count("*").alias("n")))
+    """(node, position, residue, n): letters of the whole texts by language,
+    A to Z in either case, others as they are."""
+    c = columns.residue_counts(table(spark, sf_dir, "documents"), "lang", "text").where(F.col("residue").rlike(columns.LETTER))
+    letter = F.when(F.col("residue").between("a", "z"), F.upper("residue")).otherwise(F.col("residue"))
+    return materialize(c.groupBy(F.col("lang").alias("node"), "position", letter.alias("residue")).agg(F.sum("n").alias("n")))
 
 
 def _matrix(spark: SparkSession) -> DataFrame:
@@ -279,7 +281,7 @@ def _matrix(spark: SparkSession) -> DataFrame:
     return a.crossJoin(a.toDF("b")).withColumn("value", F.when(F.col("a") == F.col("b"), 4.0).when(v("a") & v("b"), 1.0).otherwise(-1.0))
 
 
-@query(f"WITH {_LETTERS}, s AS (SELECT node, position, sum(n) AS n FROM c GROUP BY ALL), p AS (SELECT x.node, x.position, sum(CASE WHEN x.residue = y.residue THEN 4.0::double * x.n * (x.n - 1) WHEN x.residue IN ('A','E','I','O','U') AND y.residue IN ('A','E','I','O','U') THEN 1.0::double * x.n * y.n ELSE -1.0::double * x.n * y.n END) AS v FROM c x JOIN c y ON x.node = y.node AND x.position = y.position GROUP BY ALL) SELECT node, position, CAST(n AS bigint) AS n, round(CASE WHEN n = 1 THEN 1 ELSE greatest(0, least(1, (v / (CAST(n AS double) * (n - 1)) + 4) / 15)) END, 9) AS rc FROM s JOIN p USING (node, position)")
+@query(f"WITH {_LETTERS}, s AS (SELECT node, position, sum(n) AS n FROM c GROUP BY ALL), p AS (SELECT x.node, x.position, sum(CASE WHEN NOT (x.residue BETWEEN 'A' AND 'Z' AND y.residue BETWEEN 'A' AND 'Z') THEN 0 WHEN x.residue = y.residue THEN 4.0::double * x.n * (x.n - 1) WHEN x.residue IN ('A','E','I','O','U') AND y.residue IN ('A','E','I','O','U') THEN 1.0::double * x.n * y.n ELSE -1.0::double * x.n * y.n END) AS v FROM c x JOIN c y ON x.node = y.node AND x.position = y.position GROUP BY ALL) SELECT node, position, CAST(n AS bigint) AS n, round(CASE WHEN n = 1 THEN 1 ELSE greatest(0, least(1, (v / (CAST(n AS double) * (n - 1)) + 4) / 15)) END, 9) AS rc FROM s JOIN p USING (node, position)")
 def recent_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rc = scoring.recent_conservation(_alignment(spark, sf_dir), _matrix(spark))
     return rc.select("node", "position", "n", F.round("rc", 9).alias("rc"))

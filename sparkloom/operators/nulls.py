@@ -231,6 +231,7 @@ def self_calibration(null: DataFrame, stat: str, held: Column, share: float, rep
 def expected_ratio(observed: DataFrame, null: DataFrame, stat: str, alphas: list[float]) -> DataFrame:
     """(alpha, threshold, rate, ratio): observed exceedances of the null's
     upper quantiles over what the null says."""
-    cuts = ranks.percentiles(null, stat, [1 - a for a in alphas]).select((1 - F.col("share")).alias("alpha"), F.col("percentile").alias("threshold"))
+    of = F.create_map(*(F.lit(x) for a in alphas for x in (1 - a, a)))
+    cuts = ranks.percentiles(null, stat, [1 - a for a in alphas]).select(of[F.col("share")].alias("alpha"), F.col("percentile").alias("threshold"))
     o = observed.where(F.col(stat).isNotNull()).crossJoin(F.broadcast(cuts)).groupBy("alpha", "threshold").agg(F.avg(F.when(F.col(stat) >= F.col("threshold"), 1.0).otherwise(0.0)).alias("rate"))
     return o.withColumn("ratio", F.col("rate") / F.col("alpha"))

@@ -51,6 +51,13 @@ def _same(keys: list[str]) -> Column:
     return out
 
 
+def joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``, one row for each of its
+    groups ``by``; a null group meets itself. Spark chooses how to join."""
+    keyed = right.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(by)), *(c for c in right.columns if c not in by))
+    return left.join(keyed, _same(by)).drop(*(f"_key{i}" for i in range(len(by))))
+
+
 #: Plotting positions (alpha, beta) of the methods that go linearly between ranks.
 BETWEEN = {"linear": (1, 1), "weibull": (0, 0), "hazen": (0.5, 0.5), "interpolated_inverted_cdf": (0, 1), "median_unbiased": (1 / 3, 1 / 3), "normal_unbiased": (3 / 8, 3 / 8)}
 
@@ -94,7 +101,7 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
     wanted = wanted.where("_total > 0").withColumn("_lo", F.floor("_rank")).withColumn("_hi", F.ceil("_rank"))
     wanted = wanted.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(by)), "share", "_total", "_rank", "_lo", "_hi")
     first = F.col("n_upto") - F.col("n")
-    near = upto.join(F.broadcast(wanted), _same(by) & (first <= F.col("_hi")) & (F.col("n_upto") > F.col("_lo")))
+    near = upto.join(wanted, _same(by) & (first <= F.col("_hi")) & (F.col("n_upto") > F.col("_lo")))
     ends = near.groupBy(*by, "share", "_total", "_rank", "_lo").agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
     at = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.col("_lo"))
     return ends.select(*by, "share", at.cast("double").alias("percentile"), F.col("_total").alias("n"))

@@ -29,9 +29,15 @@ def property_shift(ancestral: Column, target: Column, scale: dict[str, float]) -
     return F.when(ancestral.isNotNull() & target.isNotNull(), value(target) - value(ancestral))
 
 
-def grantham_distance(ancestral: Column, target: Column) -> Column:
-    """Grantham's formula, rounded; 0 for equal or unknown residues, null if
-    either is null. The printed table rounds some pairs otherwise by one."""
+def grantham_distance(ancestral: Column, target: Column, table: dict[tuple[str, str], float] | None = None) -> Column:
+    """Distance of two residues; 0 for equal or unknown ones, null if either
+    is null. By ``table`` (pair -> distance, either way round), as printed
+    tables differ from each other and from the formula; without one by
+    Grantham's formula, rounded."""
+    if table is not None:
+        both = {a + b: float(v) for (x, y), v in table.items() for a, b in ((y.upper(), x.upper()), (x.upper(), y.upper()))}
+        at = F.coalesce(F.try_element_at(_scale(both), F.upper(F.concat(ancestral, target))), F.lit(0.0))
+        return F.when(ancestral.isNotNull() & target.isNotNull(), F.when(F.upper(ancestral) == F.upper(target), 0.0).otherwise(at))
     total = F.lit(0.0)
     for i, w in enumerate(GRANTHAM_WEIGHTS):
         at = lambda c: F.try_element_at(_scale({k: v[i] for k, v in GRANTHAM.items()}), F.upper(c))  # noqa: E731, B023
@@ -40,12 +46,13 @@ def grantham_distance(ancestral: Column, target: Column) -> Column:
     return F.when(ancestral.isNotNull() & target.isNotNull(), known)
 
 
-def annotate_shifts(df: DataFrame, ancestral: str, target: str) -> DataFrame:
-    """``df`` with ``distance``, ``charge_shift``, ``hydropathy_shift`` and
-    ``volume_shift``; a projection, nothing is shuffled."""
+def annotate_shifts(df: DataFrame, ancestral: str, target: str, table: dict[tuple[str, str], float] | None = None) -> DataFrame:
+    """``df`` with ``distance`` (by ``table``, see ``grantham_distance``),
+    ``charge_shift``, ``hydropathy_shift`` and ``volume_shift``; a projection,
+    nothing is shuffled."""
     a, t = F.col(ancestral), F.col(target)
     shifts = {f"{name}_shift": property_shift(a, t, s) for name, s in (("charge", CHARGE), ("hydropathy", HYDROPATHY), ("volume", VOLUME))}
-    return df.withColumns({"distance": grantham_distance(a, t), **shifts})
+    return df.withColumns({"distance": grantham_distance(a, t, table), **shifts})
 
 
 def motif_hits(df: DataFrame, sequence: str, motif: str, mismatches: int = 2, wild: str = WILD, bases: str = BASES) -> DataFrame:

@@ -36,11 +36,15 @@ def recent_conservation(counts: DataFrame, matrix: DataFrame, shift: float = 4.0
     column, however many leaves. A pair the matrix lacks counts 0."""
     b = matrix.select(F.upper("a").alias("a"), F.upper("b").alias("b"), F.col("value").cast("double").alias("value"))
     b = b.union(b.where("a <> b").select("b", "a", "value")).distinct()
+    # the matrix as a square array over its letters, so a lookup costs the same for any alphabet
+    square = b.agg(F.array_sort(F.collect_set("a")).alias("_l"), F.map_from_entries(F.collect_list(F.struct(F.concat("a", "b"), "value"))).alias("_m"))
+    cell = lambda i: F.coalesce(F.try_element_at("_m", F.concat(F.get("_l", F.floor(i / F.size("_l")).cast("int")), F.get("_l", (i % F.size("_l")).cast("int")))), F.lit(0.0))
+    square = square.select("_l", F.transform(F.sequence(F.lit(0), F.size("_l") * F.size("_l") - 1), cell).alias("_t"))
     # one row a column: its residues and counts, at most as many as the alphabet
-    col = counts.groupBy("node", "position").agg(F.collect_list(F.struct("residue", "n")).alias("r"), F.sum("n").alias("n"))
-    table = b.agg(F.map_from_entries(F.collect_list(F.struct(F.concat("a", "b"), "value"))).alias("m"))
-    rows = col.crossJoin(F.broadcast(table))
-    value = lambda x, y: F.coalesce(F.try_element_at("m", F.concat(x["residue"], y["residue"])), F.lit(0.0))
+    at = F.array_position("_l", F.col("residue")).cast("int") - 1
+    col = counts.crossJoin(F.broadcast(square.select("_l"))).groupBy("node", "position").agg(F.collect_list(F.when(at >= 0, F.struct(at.alias("i"), "n"))).alias("r"), F.sum("n").alias("n"))
+    rows = col.crossJoin(F.broadcast(square.select("_t", F.size("_l").alias("_k"))))
+    value = lambda x, y: F.get("_t", x["i"] * F.col("_k") + y["i"])
     add = lambda s, v: s + v
     pairs = F.aggregate("r", F.lit(0.0), lambda s, x: s + F.aggregate("r", F.lit(0.0), lambda t, y: t + x["n"] * y["n"] * value(x, y)))
     own = F.aggregate(F.transform("r", lambda x: x["n"] * value(x, x)), F.lit(0.0), add)
@@ -105,9 +109,16 @@ def rebuilt_sequences(states: DataFrame, n_sites: int) -> DataFrame:
 
 def legacy_scores(pairs: DataFrame, states: DataFrame, entropy_rc: DataFrame, matrix: DataFrame, alphabet: str = ALPHABET) -> DataFrame:
     """(left, right, position, score): rc * ac * p_ac of the older rule, with
-    ac = max(0, -p1' B p2) and p_ac the product of the largest probabilities."""
+    ac = max(0, -p1' B p2) and p_ac the product of the largest probabilities.
+    Of ``matrix`` (a, b, value) the pairs of the alphabet count, at most its
+    square; a pair that is there one way round only counts both ways."""
     pos = {c: i for i, c in enumerate(alphabet)}
-    cells = {(r["a"].upper(), r["b"].upper()): float(r["value"]) for r in matrix.select("a", "b", "value").limit(2000).collect()}
+    known = F.col("a").isin(*alphabet) & F.col("b").isin(*alphabet)
+    some = matrix.select(F.upper("a").alias("a"), F.upper("b").alias("b"), F.col("value").cast("double").alias("value")).where(known)
+    table = some.groupBy("a", "b").agg(F.min("value").alias("value"), F.max("value").alias("other")).collect()
+    if any(r["value"] != r["other"] for r in table):
+        raise ValueError("a pair of the matrix has several values")
+    cells = {(r["a"], r["b"]): r["value"] for r in table}
     flat = [cells.get((a, b), cells.get((b, a), 0.0)) for a in pos for b in pos]
     side = lambda x: states.select(F.col("node").alias(x), "position", F.col("probs").alias(f"_{x}"))
     n = len(alphabet)

@@ -101,16 +101,16 @@ def two_samples(df: DataFrame, value: str, group: Column) -> DataFrame:
     n = F.col("a") + F.col("b")
     out = upto.agg(
         F.max("n1").alias("n1"), F.max("n0").alias("n0"),
-        F.max(F.abs(F.col("a_upto") / F.col("n1") - F.col("b_upto") / F.col("n0"))).alias("ks"),
+        F.max(F.abs(F.col("a_upto") / F.nullif(F.col("n1"), F.lit(0.0)) - F.col("b_upto") / F.nullif(F.col("n0"), F.lit(0.0)))).alias("ks"),
         F.sum(F.col("a") * (below + F.col("b") / 2.0)).alias("u"),
         F.sum(n.cast("double") * n * n - n).alias("_ties"),
     )
     n1, n0 = F.col("n1"), F.col("n0")
     all_n = n1 + n0
-    sd = F.sqrt(n1 * n0 / 12 * (all_n + 1 - F.col("_ties") / (all_n * (all_n - 1))))
+    sd = F.sqrt(n1 * n0 / 12 * (all_n + 1 - F.col("_ties") / F.nullif(all_n * (all_n - 1), F.lit(0.0))))
     gap = F.abs(F.col("u") - n1 * n0 / 2)
     z = F.greatest(gap - 0.5, F.lit(0.0)) / F.nullif(sd, F.lit(0.0))
-    return out.select(n1.cast("long").alias("n1"), n0.cast("long").alias("n0"), "ks", "u", normal_two_sided(z).alias("u_p"), (2 * F.col("u") / (n1 * n0) - 1).alias("delta"))
+    return out.select(n1.cast("long").alias("n1"), n0.cast("long").alias("n0"), "ks", F.when(n1 * n0 > 0, F.col("u")).alias("u"), normal_two_sided(z).alias("u_p"), (2 * F.col("u") / F.nullif(n1 * n0, F.lit(0.0)) - 1).alias("delta"))
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:

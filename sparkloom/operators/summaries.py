@@ -21,7 +21,7 @@ def described(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by, n, mean, deviation, q25, median, q75) of each group."""
     q = ranks.percentiles(df, value, [0.25, 0.5, 0.75], by).groupBy(*by).agg(*(F.max(F.when(F.col("share") == s, F.col("percentile"))).alias(n) for s, n in ((0.25, "q25"), (0.5, "median"), (0.75, "q75"))))
     a = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
-    return a.join(q, by) if by else a.crossJoin(q)
+    return ranks.joined(a, q, by)
 
 
 def filtered_and_not(df: DataFrame, keep: Column, value: str, by: str) -> DataFrame:
@@ -75,7 +75,7 @@ def temporal_rates(calls: DataFrame, flag: str, node: str, era: str, event: str)
     event and 'Overall'."""
     both = calls.withColumn(event, F.explode(F.array(F.col(event), F.lit("Overall"))))
     out = both.groupBy(era, event).agg(F.count_if(flag).alias("n_calls"), F.count_distinct(node).alias("n_nodes"))
-    return out.withColumn("rate", F.col("n_calls") / F.col("n_nodes"))
+    return out.withColumn("rate", F.col("n_calls") / F.nullif(F.col("n_nodes"), F.lit(0)))
 
 
 def labelled_tertiles(df: DataFrame, value: str, labels: list[str], name: str = "era") -> DataFrame:
@@ -149,21 +149,21 @@ def flat_and_adjusted(df: DataFrame, stat: str, share: float, event: str) -> Dat
     calls by one percentile for all and by each event's own."""
     flat = ranks.percentiles(df, stat, [share]).select(F.col("percentile").alias("flat_threshold"))
     own = ranks.percentiles(df, stat, [share], [event]).select(event, F.col("percentile").alias("adjusted_threshold"))
-    j = df.join(F.broadcast(own), event).crossJoin(F.broadcast(flat))
+    j = ranks.joined(df, own, [event]).crossJoin(F.broadcast(flat))
     return j.groupBy(event, "flat_threshold", "adjusted_threshold").agg(F.count("*").alias("n"), F.count_if(F.col(stat) >= F.col("flat_threshold")).alias("n_flat"), F.count_if(F.col(stat) >= F.col("adjusted_threshold")).alias("n_adjusted"))
 
 
 def without_outliers(df: DataFrame, value: str, by: list[str], reach: float = 1.5) -> DataFrame:
     """Rows within ``reach`` interquartile ranges of the quartiles of their group."""
     q = described(df, value, by).select(*by, (F.col("q25") - reach * (F.col("q75") - F.col("q25"))).alias("_lo"), (F.col("q75") + reach * (F.col("q75") - F.col("q25"))).alias("_hi"))
-    j = df.join(F.broadcast(q), by) if by else df.crossJoin(F.broadcast(q))
+    j = ranks.joined(df, q, by)
     return j.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def first_rows(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row of each key, the first by ``order``; a grouped minimum."""
-    row = F.struct(*(o.alias(f"_o{i}") for i, o in enumerate(order)), F.struct(*df.columns).alias("_row"))
-    return df.groupBy(*key).agg(F.min(row).alias("_m")).select("_m._row.*")
+    place = F.struct(*(o.alias(f"_o{i}") for i, o in enumerate(order)))
+    return df.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key))).agg(F.min_by(F.struct(*df.columns), place).alias("_row")).select("_row.*")
 
 
 def pairwise_distances(points: DataFrame, key: str, axes: list[str]) -> DataFrame:

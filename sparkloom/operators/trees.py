@@ -7,9 +7,12 @@ by. A forest is a tree table with several roots.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
+from . import ranks
 
 
 def ancestors(nodes: DataFrame, most: int = 64) -> DataFrame:
@@ -171,23 +174,22 @@ def swappable(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent is not null").join(a, "node", "left_semi").join(a.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node", "parent")
 
 
-def depth_cut(deep: DataFrame, nodes: DataFrame, k: int, rounds: int = 50) -> float:
-    """The least depth at which at least ``k`` branches are cut, by bisection
-    over one count each; infinity if there is none."""
-    span = nodes.join(deep.select(F.col("node").alias("parent"), F.col("distance").alias("_up")), "parent").join(deep.select("node", "distance"), "node").select("_up", "distance")
-    span = materialize(span)
-    cut = lambda t: span.where((F.col("_up") < t) & (F.col("distance") >= t)).count()
-    ends = [r["distance"] for r in span.select("distance").distinct().orderBy("distance").limit(1).collect()]
-    top = span.agg(F.max("distance")).first()[0]
-    if not ends or cut(top) < k and max(cut(top * i / 64) for i in range(1, 65)) < k:
-        return float("inf")
-    lo, hi = 0.0, next(top * i / 64 for i in range(1, 65) if cut(top * i / 64) >= k)
-    for _ in range(rounds):
-        mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if cut(mid) >= k else (mid, hi)
-        if hi - lo < 1e-9:
-            break
-    return hi
+def depth_cut(deep: DataFrame, nodes: DataFrame, k: int) -> float:
+    """The least depth of a node at which a cut leaves at least ``k`` clades;
+    infinity if the tree has fewer leaves.
+
+    A cut at t leaves a clade for each branch that starts above t and ends at
+    t or below, and for each leaf above t. So between two depths the number
+    changes by what starts and ends at the upper one, and all cuts come from
+    one running sum over the depths; one number reaches the driver."""
+    arms = nodes.where("parent is not null").join(deep.select(F.col("node").alias("parent"), F.col("distance").alias("_up")), "parent").join(deep.select("node", "distance"), "node")
+    ends = leaves(nodes).select("node").join(deep.select("node", "distance"), "node")
+    steps = arms.select(F.col("_up").alias("depth"), F.lit(1).alias("n")).unionByName(arms.select(F.col("distance").alias("depth"), F.lit(-1).alias("n"))).unionByName(ends.select(F.col("distance").alias("depth"), F.lit(1).alias("n")))
+    upto = ranks.running_sums(steps.groupBy("depth").agg(F.sum("n").alias("n")), "depth", ["n"])
+    found = upto.agg(F.min(F.when(F.col("n_upto") - F.col("n") >= k, F.col("depth"))).alias("at"), F.max("depth").alias("last"), F.max_by("n_upto", "depth").alias("n_leaves")).first()
+    if found["at"] is not None:
+        return found["at"]
+    return math.nextafter(found["last"], math.inf) if found["n_leaves"] is not None and found["n_leaves"] >= k else math.inf
 
 
 def majority(votes: DataFrame, key: str, label: str, order: Column | str) -> DataFrame:

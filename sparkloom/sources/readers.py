@@ -36,21 +36,30 @@ def states(spark: SparkSession, path: str, nodes: DataFrame | None = None, toler
     return df.select(F.col("Node").alias("node"), F.col("Site").alias("position"), F.col("State").alias("state"), F.array(*STATE_COLUMNS[3:]).alias("probs"))
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
+def fasta(spark: SparkSession, path: str, places: bool = False) -> DataFrame:
     """(id, header, sequence) of FASTA records, split at every '>' that starts
-    a line, so a large file is read by many tasks. A sequence without a header
-    is an error; white space inside sequences goes."""
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", r"^\s*>?", "").alias("v")).where(F.trim("v") != "")
-    head = F.trim(F.split("v", "\r?\n", 2)[0])
-    rows = raw.select(head.alias("header"), F.regexp_replace(F.coalesce(F.get(F.split("v", "\r?\n", 2), F.lit(1)), F.lit("")), r"\s", "").alias("sequence"))
+    a line, so a large file is read by many tasks. A record without a name and
+    a sequence before the first header are errors; white space inside
+    sequences goes. ``places`` adds ``place``, ordered as in the files."""
+    file = F.col("_metadata.file_path")
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", file.alias("file"), F.struct(file, F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    # only a file's first record keeps its '>'; blank lines may stand before it
+    named = F.col("value").startswith(">") | (F.trim(F.regexp_replace("value", r"\s", "")) == "")
+    headless = [r["file"] for r in raw.groupBy("file").agg(F.count_if(named).alias("n")).where("n = 0").select("file").limit(3).collect()]
+    if headless:
+        raise ValueError(f"a sequence before the first header in {', '.join(headless)}")
+    raw = raw.withColumn("v", F.regexp_replace("value", "^>", "")).where(F.col("value").startswith(">") | (F.regexp_replace("v", r"\s", "") != ""))
+    part = F.split("v", "\r?\n", 2)
+    rows = raw.select(F.trim(part[0]).alias("header"), F.regexp_replace(F.coalesce(F.get(part, F.lit(1)), F.lit("")), r"\s", "").alias("sequence"), "place")
     rows = require(rows, F.col("header") == "", "a FASTA record without a name")
-    return rows.select(F.split("header", r"\s+")[0].alias("id"), "header", "sequence")
+    return rows.select(F.split("header", r"\s+")[0].alias("id"), "header", "sequence", *(["place"] if places else []))
 
 
-def last_wins(records: DataFrame, key: str = "id") -> DataFrame:
-    """One record per id; of repeated ids the longest, then the last in order
-    of its text, as files read in parallel have no last line."""
-    return records.groupBy(key).agg(F.max(F.struct(F.length("sequence").alias("n"), "sequence", "header")).alias("r")).select(key, "r.header", "r.sequence")
+def last_wins(records: DataFrame, key: str = "id", place: str = "place") -> DataFrame:
+    """One record per id: of repeated ids the last, by ``place`` (see
+    ``fasta``), so files in order of name, records as they stand."""
+    rest = [c for c in records.columns if c not in (key, place)]
+    return records.groupBy(key).agg(F.max_by(F.struct(*rest), place).alias("_r")).select(key, "_r.*")
 
 
 def alignment(records: DataFrame) -> DataFrame:
@@ -183,39 +192,67 @@ def leaf_names(text: Column) -> Column:
 
 
 def losses(spark: SparkSession, path: str) -> DataFrame:
-    """(file, branch, kind, survivors): loss events of reconciled trees, one
-    XML file each; ``survivors`` are the leaves below the branch, sorted. An
-    unreadable file gives no row."""
+    """(file, kind, survivors): the losses of reconciled gene trees, one XML
+    file each. A loss is a clade named 'loss'; ``survivors`` are the sorted
+    leaf names of its first sibling, which say on which branch it lies, and
+    ``kind`` is TL if the parent's events have a transfer, else SL. Losses
+    without a surviving sibling are left out. A file without losses has one
+    row with kind '', one that can't be read has kind null."""
     import pandas as pd
 
     def run(frames):
         import xml.etree.ElementTree as ET
 
-        strip = lambda e: e.tag.rsplit("}", 1)[-1]
+        tag = lambda e: e.tag.rsplit("}", 1)[-1]
+        under = lambda e, kind: [c for c in e if tag(c) == kind]
+        named = lambda e: next((n.text for n in under(e, "name")), None)
+
+        def survivors(top) -> list[str]:
+            out, todo = [], [top]
+            while todo:
+                e = todo.pop()
+                if named(e) != "loss":
+                    below = under(e, "clade")
+                    todo += below
+                    if not below and named(e) not in (None, "NULL"):
+                        out.append(named(e))
+            return sorted(out)
+
+        def events(text: str) -> list[tuple[str, list[str]]]:
+            out = []
+            for tree in [e for e in ET.fromstring(text).iter() if tag(e) == "recGeneTree"][:1]:
+                for parent in tree.iter():
+                    clades = under(parent, "clade")
+                    for lost in [c for c in clades if named(c) == "loss"]:
+                        left = survivors(sibling) if (sibling := next((c for c in clades if c is not lost), None)) is not None else []
+                        happened = {tag(v) for r in under(parent, "eventsRec")[:1] for v in r}
+                        if left:
+                            out.append(("TL" if happened & {"transferBack", "branchingOut"} else "SL", left))
+            return out or [("", [])]
+
         for f in frames:
             rows = []
             for name, text in zip(f["file"], f["value"], strict=True):
                 try:
-                    root = ET.fromstring(text)
+                    rows += [(name, *x) for x in events(text)]
                 except ET.ParseError:
-                    continue
-                stack = [e for e in root.iter() if strip(e) == "clade"]
-                kids = lambda e: [c for c in e if strip(c) == "clade"]
-                for e in stack:
-                    events = [(strip(v), v.get("speciesLocation")) for r in e if strip(r) == "eventsRec" for v in r]
-                    for kind, place in events:
-                        if kind.lower() in ("loss", "speciationloss", "branchingoutloss", "sl", "tl"):
-                            below, todo = [], [e]
-                            while todo:
-                                x = todo.pop()
-                                todo += kids(x)
-                                if not kids(x):
-                                    below += [n.text.strip() for n in x if strip(n) == "name" and n.text and n.text.strip().upper() != "LOSS"]
-                            rows.append((name, place, kind, ",".join(sorted(below))))
-            yield pd.DataFrame(rows, columns=["file", "branch", "kind", "survivors"])
+                    rows.append((name, None, None))
+            yield pd.DataFrame(rows, columns=["file", "kind", "survivors"])
 
     raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), "value")
-    return raw.mapInPandas(run, "file string, branch string, kind string, survivors string")
+    return raw.mapInPandas(run, "file string, kind string, survivors array<string>")
+
+
+def loss_frequencies(found: DataFrame, branches: DataFrame) -> DataFrame:
+    """(node, speciation_losses, transfer_losses, total_losses and a
+    ``_frequency`` of each): losses of ``losses`` on the branches (node,
+    survivors: sorted leaf names), over the files that could be read; branches
+    without a loss have no row. Losses on no branch are left out."""
+    parsed = found.where("kind is not null").agg(F.count_distinct("file").alias("_files"))
+    n = found.where("kind <> ''").groupBy("survivors").agg(F.count_if(F.col("kind") == "SL").alias("speciation_losses"), F.count_if(F.col("kind") == "TL").alias("transfer_losses"))
+    rows = branches.select("node", "survivors").join(n, "survivors").withColumn("total_losses", F.col("speciation_losses") + F.col("transfer_losses")).crossJoin(F.broadcast(parsed))
+    kinds = ("speciation_losses", "transfer_losses", "total_losses")
+    return rows.select("node", *kinds, *((F.col(c) / F.col("_files")).alias(f"{c.removesuffix('es')}_frequency") for c in kinds))
 
 
 def key_values(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:

@@ -254,9 +254,6 @@ def test_text_formats(spark, tmp_path):
     assert [tuple(x) for x in t.collect()] == [("a", "b", 0.5)]
     m = readers.parameters(spark, w("p.txt", "alpha beta\n1.5 2\n")).first()["parameters"]
     assert m == {"alpha": "1.5", "beta": "2"}
-    xml = '<recGeneTree><phylogeny><clade><name>a</name><eventsRec><speciationLoss speciesLocation="sp1"/></eventsRec><clade><name>g1</name></clade><clade><name>LOSS</name></clade></clade></phylogeny></recGeneTree>'
-    x = readers.losses(spark, w("x.xml", xml)).collect()
-    assert [(r["branch"], r["kind"], r["survivors"]) for r in x] == [("sp1", "speciationLoss", "g1")]
     leaf = spark.createDataFrame([("(A:1,(B,C)x[c]:2);",)], "t string").select(readers.leaf_names(F.col("t")).alias("l")).first()["l"]
     assert leaf == ["A", "B", "C"]
     bad = spark.createDataFrame([(1, "(a,b"), (2, "(a,b);")], "k int, t string")
