@@ -132,11 +132,31 @@ def flatness(null: DataFrame, test: str, stat: str, threshold: float, bins: dict
 
 
 def tail(null: DataFrame, stat: str) -> DataFrame:
-    """(t, n_below, survival): add-one survival at each distinct null value."""
+    """(t, n_below, n_null, survival): add-one survival at each distinct null
+    value, with the number of null values below it and in all."""
     upto = ranks.running_sums(_counts(null, stat, []), "t", ["n"])
     n = upto.agg(F.max("n_upto").alias("_n"))
     below = F.col("n_upto") - F.col("n")
-    return upto.crossJoin(F.broadcast(n)).select("t", below.alias("n_below"), ((F.col("_n") - below + 1) / (F.col("_n") + 1)).alias("survival"))
+    return upto.crossJoin(F.broadcast(n)).select("t", below.alias("n_below"), F.col("_n").alias("n_null"), ((F.col("_n") - below + 1) / (F.col("_n") + 1)).alias("survival"))
+
+
+def with_survival(df: DataFrame, tailed: DataFrame, x: str, name: str = "survival") -> DataFrame:
+    """``df`` with the add-one survival of ``tail`` at ``x``: one more than
+    the null values at or above it, over one more than all. Both tables are
+    merged (``ranks.as_of``), so neither is broadcast. Null stays null."""
+    n = tailed.agg(F.max("n_null").alias("_n"))
+    upto = tailed.select("t", "survival")
+    found = ranks.as_of(df.withColumn("_minus", -F.col(x)), upto.withColumn("_t", -F.col("t")), "_minus", "_t", name="_f")
+    # above every null value only the added one is left
+    return found.crossJoin(F.broadcast(n)).withColumn(name, F.when(F.col(x).isNotNull(), F.coalesce("_f.survival", 1 / (F.col("_n") + 1)))).drop("_minus", "_f", "_n")
+
+
+def with_quantile(df: DataFrame, tailed: DataFrame, survival: str, name: str = "t") -> DataFrame:
+    """``df`` with the least null value whose survival is not above the column
+    ``survival``; the largest null value where none is. Merged likewise."""
+    top = tailed.agg(F.max("t").alias("_top"))
+    found = ranks.as_of(df, tailed.select("t", F.col("survival").alias("_s")), survival, "_s", name="_f")
+    return found.crossJoin(F.broadcast(top)).withColumn(name, F.when(F.col(survival).isNotNull(), F.coalesce("_f.t", "_top"))).drop("_f", "_top")
 
 
 def thinned(tailed: DataFrame, most: int = 4000) -> DataFrame:

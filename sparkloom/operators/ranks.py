@@ -107,6 +107,51 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
     return ends.select(*by, "share", at.cast("double").alias("percentile"), F.col("_total").alias("n"))
 
 
+def as_of(left: DataFrame, right: DataFrame, x: str, at: str, by: list[str] | None = None, strict: bool = False, name: str = "found") -> DataFrame:
+    """``left`` with ``name``: a struct of all columns of ``right``'s last row
+    of the same group whose ``at`` is not above ``x`` (``strict``: below it);
+    null if there is none, or ``x`` is null.
+
+    Both tables are merged in order of the value, range by range, and each
+    range hands its last row of ``right`` on to the ranges after it: no side
+    is broadcast, no group is ordered in one task. Rows of ``right`` without
+    ``at`` are left out; of several at one value the greatest row counts.
+    """
+    by = by or []
+    keys = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+    none = right.schema.simpleString()
+    a = left.select(*keys, F.col(x).cast("double").alias("_x"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(none).alias("_r"))
+    b = right.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("double").alias("_x"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left.schema.simpleString()).alias("_l"), F.struct(*right.columns).alias("_r"))
+    both = materialize(a.unionByName(b))
+    edges = both.agg(F.percentile_approx("_x", range_shares(both.count()), 10_000).alias("_edges"))
+    rows = both.crossJoin(F.broadcast(edges)).withColumn("_range", F.when(F.col("_x").isNotNull(), F.size(F.filter("_edges", lambda e: e < F.col("_x"))))).drop("_edges")
+    groups = [f"_g{i}" for i in range(len(by))]
+    here = Window.partitionBy(*groups, "_range").orderBy("_x", "_side", "_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_here", F.last("_r", ignorenulls=True).over(here))
+    ends = rows.where("_range is not null").groupBy(*groups, "_range").agg(F.max(F.when(F.col("_r").isNotNull(), F.struct("_x", "_r"))).alias("_end"))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate([*groups, "_range"])), F.last("_end", ignorenulls=True).over(before).alias("_end"))
+    out = rows.where("_l is not null").join(ends, _same([*groups, "_range"]), "left")
+    return out.select("_l.*", F.when(F.col("_x").isNotNull(), F.coalesce("_here", "_end._r")).alias(name))
+
+
+def grid_quantiles(df: DataFrame, value: str, points: int, by: list[str] | None = None) -> DataFrame:
+    """(by, i, share, quantile, n): of each group the exact quantiles at
+    ``points`` even shares from 0 to 1, linear between neighbours. The ranks
+    wanted are merged with the counted values, so many points cost no more
+    than the values they are read from."""
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("n"))
+    upto = materialize(running_sums(counts, "_v", ["n"], by))
+    total = upto.groupBy(*by).agg(F.max("n_upto").alias("_total"))
+    wanted = total.where("_total > 0").select(*by, "_total", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i"))
+    wanted = wanted.withColumn("share", F.col("i") / (points - 1)).withColumn("_rank", F.col("share") * (F.col("_total") - 1))
+    wanted = wanted.withColumn("_at", F.explode(F.array(F.floor("_rank"), F.ceil("_rank"))))
+    first = upto.select(*by, "_v", (F.col("n_upto") - F.col("n")).alias("_first"))
+    ends = as_of(wanted, first, "_at", "_first", by).groupBy(*by, "i", "share", "_total", "_rank").agg(F.min("found._v").alias("_a"), F.max("found._v").alias("_b"))
+    return ends.select(*by, "i", "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))).alias("quantile"), F.col("_total").alias("n"))
+
+
 def average_ranks(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
     """(value, n, average_rank): the mean rank (from 1) of each value's ties."""
     n = F.sum(weight) if weight else F.count("*")
