@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import columns, nulls, ranks, residues, scoring, stats, summaries, trees
+from ..operators import columns, intervals, nulls, ranks, residues, scoring, stats, summaries, trees
 from ..session import materialize, table
 from .divergence import FACTS, facts
 
@@ -207,7 +207,7 @@ def co_switch_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_UP}, d AS (SELECT leaf AS node, 3 AS depth, l0 + l1 + l2 AS distance FROM up UNION ALL SELECT n.node, 2, n.len + r.len FROM tree n JOIN tree r ON n.parent = r.node WHERE n.node LIKE 'n%' UNION ALL SELECT node, 1, len FROM tree WHERE parent = 'root' UNION ALL SELECT 'root', 0, 0) SELECT * FROM d")
 def root_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.depths(trees.ancestors(_tree(spark, sf_dir)))
+    return intervals.levels(_tree(spark, sf_dir))
 
 
 @query(f"WITH {_UP}, p AS (SELECT unnest([a0, a1, a2, a3]) AS node, leaf FROM up) SELECT node, count(*) AS clade_size, min(leaf) AS first_leaf, max(leaf) AS last_leaf FROM (SELECT * FROM p UNION ALL SELECT unnest([node, parent, 'root']), node FROM tree t WHERE node LIKE 'n%' AND NOT EXISTS (SELECT 1 FROM tree c WHERE c.parent = t.node)) GROUP BY node")
@@ -223,16 +223,17 @@ def _with_suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
 @query(f"WITH {_UP}, g AS (SELECT DISTINCT l_partkey AS part, 's' || l_suppkey AS leaf FROM lineitem), j AS (SELECT part, count(*) AS n_members, count(DISTINCT a0) AS c0, count(DISTINCT a1) AS c1, count(DISTINCT a2) AS c2, min(a0) AS m0, min(a1) AS m1, min(a2) AS m2 FROM g JOIN up USING (leaf) GROUP BY part) SELECT part, CASE WHEN c0 = 1 THEN m0 WHEN c1 = 1 THEN m1 WHEN c2 = 1 THEN m2 ELSE 'root' END AS lca, n_members FROM j")
 def lca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, paths = _with_suppliers(spark, sf_dir)
+    toured = intervals.tour(_tree(spark, sf_dir))
     sets = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.concat(F.lit("s"), "l_suppkey").alias("leaf"))
-    return trees.lowest_common(paths, sets, "part", "leaf")
+    return intervals.lowest_common(toured, sets, "part", "leaf")
 
 
 @query(f"WITH {_UP}, m AS (SELECT 'n' || n_nationkey AS node FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'r' || r_regionkey FROM region WHERE r_regionkey % 2 = 0), a AS (SELECT node, 1 AS k, node AS up FROM tree UNION ALL SELECT node, 2, parent FROM tree WHERE parent IS NOT NULL UNION ALL SELECT t.node, 3, p.parent FROM tree t JOIN tree p ON t.parent = p.node WHERE p.parent IS NOT NULL UNION ALL SELECT t.node, 4, g.parent FROM tree t JOIN tree p ON t.parent = p.node JOIN tree g ON p.parent = g.node WHERE g.parent IS NOT NULL) SELECT t.node, arg_min(a.up, a.k) FILTER (a.up IN (SELECT node FROM m)) AS clade FROM tree t JOIN a ON a.node = t.node GROUP BY t.node")
 def clade_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, paths = _with_suppliers(spark, sf_dir)
+    nodes = materialize(_tree(spark, sf_dir))
     key = F.substring("node", 2, 9).try_cast("int")
-    return trees.clade_partition(paths, nodes.where(F.substring("node", 1, 1).isin("n", "r") & (key % 2 == 0)))
+    found = intervals.nearest(nodes, nodes.where(F.substring("node", 1, 1).isin("n", "r") & (key % 2 == 0)))
+    return found.select("node", F.col("found").alias("clade"))
 
 
 @query(f"WITH {_UP}, p AS (SELECT unnest([a1, a2, a3]) AS node, c_mktsegment AS label FROM up JOIN customer ON 'n' || c_nationkey = a1), n AS (SELECT node, label, count(*) AS n FROM p WHERE label <> 'MACHINERY' GROUP BY ALL) SELECT node, label, n FROM n QUALIFY row_number() OVER (PARTITION BY node ORDER BY n DESC, label) = 1")
@@ -246,14 +247,14 @@ def dominant_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_UP}, a AS (SELECT node, string_agg(leaf, ',' ORDER BY leaf) AS sig FROM (SELECT unnest([a0, a1, a2, a3]) AS node, leaf FROM up) GROUP BY node), b AS (SELECT node, string_agg(leaf, ',' ORDER BY leaf) AS sig FROM (SELECT unnest([a0, 'x' || CAST(CAST(substr(a1, 2) AS bigint) // 2 AS varchar), a3]) AS node, leaf FROM up) GROUP BY node) SELECT a.node, b.node AS match, 'same' AS \"by\" FROM a JOIN b USING (sig)")
 def leaf_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, paths = _with_suppliers(spark, sf_dir)
-    leaf = F.col("leaf").startswith("s")
-    one = trees.signatures(trees.leaf_closure(nodes, paths).where(leaf))
+    nodes = materialize(_tree(spark, sf_dir))
+    names = nodes.where(F.col("node").startswith("s")).select(F.col("node").alias("leaf"), F.col("node").alias("name"))
+    one = intervals.signatures(intervals.tour(nodes), names)
     sup = nodes.where(F.col("node").startswith("s"))
     pair = F.concat(F.lit("x"), F.floor(F.substring("parent", 2, 9).cast("long") / 2).cast("long").cast("string"))
     other = sup.select("node", pair.alias("parent"), "length").unionByName(sup.select(pair.alias("node"), F.lit("root").alias("parent"), F.lit(1.0).alias("length")).distinct()).unionByName(nodes.where("parent is null"))
     other = materialize(other)
-    two = trees.signatures(trees.leaf_closure(other, trees.ancestors(other)))
+    two = intervals.signatures(intervals.tour(other), names)
     return trees.match_signatures(one, two)
 
 
@@ -384,10 +385,12 @@ def event_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_UP}, h AS (SELECT 'n' || c_nationkey AS node, min(c_custkey) AS v FROM customer WHERE c_acctbal < 0 GROUP BY 1 UNION ALL SELECT 'r' || r_regionkey, -r_regionkey FROM region) SELECT u.leaf AS node, coalesce(a.v, b.v) AS value, CASE WHEN a.v IS NULL THEN 2 ELSE 1 END AS steps FROM up u LEFT JOIN h a ON a.node = u.a1 LEFT JOIN h b ON b.node = u.a2")
 def lineage_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, paths = _with_suppliers(spark, sf_dir)
+    nodes = materialize(_tree(spark, sf_dir))
     held = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("n"), "c_nationkey").alias("node"), F.col("c_custkey").alias("value"))
     held = held.unionByName(table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), (-F.col("r_regionkey")).cast("long").alias("value")))
-    return trees.nearest_with(paths, held).where(F.col("node").startswith("s"))
+    held = materialize(held.groupBy("node").agg(F.min("value").alias("value")))
+    near = intervals.nearest(nodes, held).where(F.col("node").startswith("s") & F.col("found").isNotNull())
+    return near.join(held.withColumnRenamed("node", "found"), "found").select("node", "value", F.col("steps").cast("int").alias("steps"))
 
 MOTIF = "TATNAA"
 
