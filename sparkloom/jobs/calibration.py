@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import nulls, posterior, scoring, switches, tail_model
+from ..operators import covers, intervals, nulls, posterior, scoring, switches, tail_model
 from ..session import materialize, table
 from . import analysis
 from .divergence import facts
@@ -114,6 +114,30 @@ def spline_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("position", *(c.alias(f"b{i}") for i, c in enumerate(b, 1))).groupBy("position").agg(F.count("*").alias("n"), *(F.round(F.avg(f"b{i}"), 6).alias(f"b{i}") for i in range(1, 5)))
 
 
+@query(f"""WITH {analysis._UP}, sc AS (SELECT 's' || s_suppkey AS node, s_acctbal AS score FROM supplier UNION ALL SELECT 'n' || c_nationkey, max(c_acctbal) FROM customer GROUP BY 1),
+cut AS (SELECT unnest([0.5, 0.75, 0.9])::double AS share), c AS (SELECT share, (SELECT quantile_cont(score, [0.5, 0.75, 0.9]) FROM sc)[CASE share WHEN 0.5 THEN 1 WHEN 0.75 THEN 2 ELSE 3 END] AS cutoff FROM cut),
+m AS (SELECT share, cutoff, node FROM sc, c WHERE score >= cutoff),
+tips AS (SELECT node AS leaf, node AS a0, parent AS a1 FROM tree t WHERE NOT EXISTS (SELECT 1 FROM tree x WHERE x.parent = t.node)),
+f AS (SELECT c.share, leaf, coalesce(x.node, y.node) AS found FROM tips CROSS JOIN c LEFT JOIN m x ON x.share = c.share AND x.node = a0 LEFT JOIN m y ON y.share = c.share AND y.node = a1),
+z AS (SELECT share, found, count(*) AS n FROM f GROUP BY ALL),
+k AS (SELECT share, any_value(cutoff) AS cutoff, count(*) AS n_marked FROM m GROUP BY share)
+SELECT share, round(any_value(cutoff), 6) AS cutoff, any_value(n_marked) AS n_marked, any_value(n_marked) + 1 AS n_clades, CAST(sum(n) AS bigint) AS n_leaves, CAST(coalesce(sum(n) FILTER (found IS NULL), 0) AS bigint) AS root_leaves, count_if(n > 1) AS n_multiple, count_if(n = 1) AS n_single, max(n) AS largest, round(max(n) / CAST(sum(n) AS double), 9) AS largest_share, round(median(n), 6) AS median_size FROM z JOIN k USING (share) GROUP BY share""")
+def partition_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of the tree of suppliers at three cutoffs of their balances."""
+    scores = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.col("s_acctbal").alias("score"))
+    scores = materialize(scores.unionByName(table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("n"), "c_nationkey").alias("node")).agg(F.max("c_acctbal").alias("score"))))
+    out = intervals.partition_sweep(materialize(analysis._tree(spark, sf_dir)), scores, [0.5, 0.75, 0.9])
+    return out.drop("other_leaves", "other_share").withColumns({c: F.round(c, n) for c, n in (("cutoff", 6), ("largest_share", 9), ("median_size", 6))})
+
+
+@query()
+def set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers that together sell every part; iterative, so beyond SQL:
+    tests hold the operator against the plain procedure."""
+    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey")
+    return covers.set_cover(rows, "l_partkey", "l_suppkey")
+
+
 @query()
 def tail_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Position effects of null exceedances, given both clades' sizes, at the

@@ -63,6 +63,29 @@ def nearest(nodes: DataFrame, marked: DataFrame, by: list[str] | None = None) ->
     return now.select(*by, "node", "found", F.when(F.col("found").isNotNull(), F.col("steps")).alias("steps"))
 
 
+def partition_sweep(nodes: DataFrame, scores: DataFrame, shares: list[float], node: str = "node", score: str = "score") -> DataFrame:
+    """A row for each share: the scores' percentile as cutoff, the nodes that
+    reach it, and what the tree's leaves fall into if each belongs to the
+    nearest such node above or equal to it, else to the root's part: share,
+    cutoff, n_marked, n_clades, n_leaves, root_leaves, other_leaves,
+    other_share, n_multiple, n_single, largest, largest_share, median_size.
+    All shares go down the tree at once."""
+    cuts = ranks.percentiles(scores, score, shares).select("share", F.col("percentile").alias("cutoff"))
+    some = scores.select(F.col(node).alias("node"), F.col(score).alias("s")).crossJoin(F.broadcast(cuts)).where("s >= cutoff").select("share", "node").distinct()
+    marked = materialize(some)
+    parents = nodes.select(F.col("parent").alias("node")).where("node is not null").distinct()
+    tips = nearest(nodes, marked, ["share"]).join(parents, "node", "left_anti")
+    sizes = materialize(tips.groupBy("share", "found").agg(F.count("*").alias("n")))
+    # ``percentiles`` has columns share and n of its own
+    middle = ranks.percentiles(sizes.select(F.col("share").alias("_of"), F.col("n").alias("size")), "size", [0.5], ["_of"]).select(F.col("_of").alias("share"), F.col("percentile").alias("median_size"))
+    root = F.coalesce(F.sum(F.when(F.col("found").isNull(), F.col("n"))), F.lit(0))
+    out = sizes.groupBy("share").agg(F.sum("n").alias("n_leaves"), root.alias("root_leaves"), F.count_if(F.col("n") > 1).alias("n_multiple"), F.count_if(F.col("n") == 1).alias("n_single"), F.max("n").alias("largest"))
+    held = marked.join(nodes.select("node"), "node", "left_semi").groupBy("share").agg((F.count("*") + 1).alias("n_clades"))
+    out = out.join(cuts, "share").join(marked.groupBy("share").agg(F.count("*").alias("n_marked")), "share").join(held, "share", "left").join(middle, "share")
+    other = F.col("n_leaves") - F.col("root_leaves")
+    return out.select("share", "cutoff", "n_marked", F.coalesce("n_clades", F.lit(1)).alias("n_clades"), "n_leaves", "root_leaves", other.alias("other_leaves"), (other / F.col("n_leaves")).alias("other_share"), "n_multiple", "n_single", "largest", (F.col("largest") / F.col("n_leaves")).alias("largest_share"), "median_size")
+
+
 def tour(nodes: DataFrame) -> DataFrame:
     """(node, parent, pre, size, first_leaf, n_leaves): the place of each node
     in a walk that goes down before it goes on, how many nodes it and those

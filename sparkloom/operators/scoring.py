@@ -7,6 +7,8 @@ nodes to compare, and a substitution matrix (a, b, value) as a parameter.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
@@ -32,23 +34,34 @@ def recent_conservation(counts: DataFrame, matrix: DataFrame, shift: float = 4.0
     residues, shifted and scaled into [0, 1]; 1 for a single residue.
 
     A column with counts c has the pair sum (sum c_i c_j B_ij - sum c_i B_ii) / 2,
-    so residues are counted before they meet: at most alphabet ** 2 pairs a
-    column, however many leaves. A pair the matrix lacks counts 0."""
+    so residues are counted before they meet, and a batch of columns is one
+    product with the matrix. A pair the matrix lacks counts 0. What travels is
+    the matrix: the square of its letters."""
     b = matrix.select(F.upper("a").alias("a"), F.upper("b").alias("b"), F.col("value").cast("double").alias("value"))
-    b = b.union(b.where("a <> b").select("b", "a", "value")).distinct()
-    # the matrix as a square array over its letters, so a lookup costs the same for any alphabet
-    square = b.agg(F.array_sort(F.collect_set("a")).alias("_l"), F.map_from_entries(F.collect_list(F.struct(F.concat("a", "b"), "value"))).alias("_m"))
-    cell = lambda i: F.coalesce(F.try_element_at("_m", F.concat(F.get("_l", F.floor(i / F.size("_l")).cast("int")), F.get("_l", (i % F.size("_l")).cast("int")))), F.lit(0.0))
-    square = square.select("_l", F.transform(F.sequence(F.lit(0), F.size("_l") * F.size("_l") - 1), cell).alias("_t"))
+    b = b.union(b.where("a <> b").select("b", "a", "value")).groupBy("a", "b").agg(F.min("value").alias("value")).collect()
+    letters = sorted({r["a"] for r in b})
+    place = {x: i for i, x in enumerate(letters)}
+    square = np.zeros((len(letters), len(letters)))
+    for r in b:
+        square[place[r["a"]], place[r["b"]]] = r["value"]
+    shared = counts.sparkSession.sparkContext.broadcast((place, square))
+
+    @F.pandas_udf("double")
+    def pair_sum(residues: pd.Series, numbers: pd.Series) -> pd.Series:
+        place, square = shared.value
+        row = np.repeat(np.arange(len(residues)), residues.map(len))
+        if not len(row):
+            return pd.Series(np.zeros(len(residues)))
+        at = pd.Series(np.concatenate(residues.to_numpy())).map(place).to_numpy(float)
+        n, known = np.concatenate(numbers.to_numpy()).astype(float), ~np.isnan(at)
+        dense = np.zeros((len(residues), len(place)))
+        np.add.at(dense, (row[known], at[known].astype(int)), n[known])
+        return pd.Series(((dense @ square) * dense).sum(axis=1) - dense @ np.diag(square))
+
     # one row a column: its residues and counts, at most as many as the alphabet
-    at = F.array_position("_l", F.col("residue")).cast("int") - 1
-    col = counts.crossJoin(F.broadcast(square.select("_l"))).groupBy("node", "position").agg(F.collect_list(F.when(at >= 0, F.struct(at.alias("i"), "n"))).alias("r"), F.sum("n").alias("n"))
-    rows = col.crossJoin(F.broadcast(square.select("_t", F.size("_l").alias("_k"))))
-    value = lambda x, y: F.get("_t", x["i"] * F.col("_k") + y["i"])
-    add = lambda s, v: s + v
-    pairs = F.aggregate("r", F.lit(0.0), lambda s, x: s + F.aggregate("r", F.lit(0.0), lambda t, y: t + x["n"] * y["n"] * value(x, y)))
-    own = F.aggregate(F.transform("r", lambda x: x["n"] * value(x, x)), F.lit(0.0), add)
-    mean = (pairs - own) / (F.col("n") * (F.col("n") - 1))
+    rows = counts.groupBy("node", "position").agg(F.collect_list("residue").alias("r"), F.collect_list("n").alias("k"), F.sum("n").alias("n"))
+    rows = rows.withColumn("pairs", pair_sum("r", "k"))
+    mean = F.col("pairs") / (F.col("n") * (F.col("n") - 1))
     rc = F.when(F.col("n") == 1, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mean + shift) / scale)))
     return rows.select("node", "position", rc.alias("rc"), "n")
 
