@@ -91,14 +91,26 @@ def describe(observed: DataFrame, null: DataFrame, stat: str, thresholds: DataFr
 
 
 def bootstrap(values: DataFrame, value: str, key: str, draws: int, seed: int, share: float = 0.95) -> DataFrame:
-    """(mean, lo, hi, n): a seeded bootstrap of the mean over few rows (one
-    per replicate). Draw d takes the i-th of n by a hash of (seed, d, i)."""
-    held = values.where(F.col(value).isNotNull()).agg(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value].cast("double")).alias("_v"))
-    n = F.size("_v")
-    picks = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_v", F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), i), n).cast("int")))
-    each = held.where(n > 0).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select((F.aggregate(picks, F.lit(0.0), lambda a, b: a + b) / n).alias("m"), n.alias("n"))
+    """(mean, lo, hi, n): a seeded bootstrap of the mean over clusters, one
+    value for each key, null ones left out; without values no row.
+
+    A draw takes as many clusters as there are, the i-th by a hash of (seed,
+    draw, i). How often it takes each one is counted, and these counts weigh
+    the values, so a draw is a sum over rows and no row holds all values."""
+    held = values.where(F.col(value).isNotNull()).groupBy(key).agg(F.avg(F.col(value).cast("double")).alias("v"))
+    # a place for each key: by its hash, keys of one hash by themselves
+    same = F.transform(F.array_sort(F.collect_list(F.struct(key, "v"))), lambda x: x["v"])
+    hashed = held.groupBy(F.xxhash64(key).alias("h")).agg(F.count("*").alias("n"), same.alias("vs"))
+    placed = ranks.running_sums(hashed, "h", ["n"]).select((F.col("n_upto") - F.col("n")).alias("at"), F.posexplode("vs").alias("i", "v"))
+    slots = materialize(placed.select((F.col("at") + F.col("i")).alias("slot"), "v"))
+    total = slots.agg(F.count("*").alias("_n"))
+    picks = slots.crossJoin(F.broadcast(total)).select("_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"), "slot")
+    picks = picks.select("draw", "_n", F.pmod(F.xxhash64(F.lit(seed), "draw", "slot"), F.col("_n")).alias("slot"))
+    times = picks.groupBy("draw", "_n", "slot").agg(F.count("*").alias("times"))
+    each = times.join(slots.select("slot", "v"), "slot").groupBy("draw", "_n").agg((F.sum(F.col("times") * F.col("v")) / F.col("_n")).alias("m"))
     half = (1 - share) / 2
-    return each.agg(F.avg("m").alias("mean"), F.percentile("m", half).alias("lo"), F.percentile("m", 1 - half).alias("hi"), F.max("n").alias("n"))
+    out = each.agg(F.avg("m").alias("mean"), F.percentile("m", half).alias("lo"), F.percentile("m", 1 - half).alias("hi"), F.max("_n").alias("n"))
+    return out.where("n is not null")
 
 
 def max_t(null: DataFrame, stat: str, alpha: float, replicate: str = "replicate", by: str | None = None) -> DataFrame:

@@ -120,3 +120,17 @@ def test_legacy_scores_take_the_whole_matrix(spark):
     twice = matrix.unionByName(spark.createDataFrame([("a", "c", 1.0)], "a string, b string, value double"))
     with pytest.raises(ValueError):
         scoring.legacy_scores(pairs, states, rc, twice, "AC")
+
+
+def test_bootstrap_of_clusters(spark):
+    values = [float(i % 17) for i in range(120)]
+    df = spark.createDataFrame([(f"k{i}", v) for i, v in enumerate(values)] + [("none", None)], "k string, v double")
+    a, b = (nulls.bootstrap(x, "v", "k", 400, 5).first() for x in (df, df.repartition(9)))
+    mean = sum(values) / 120
+    error = (sum((v - mean) ** 2 for v in values) / 120) ** 0.5 / 120**0.5
+    assert a["n"] == 120 and abs(a["mean"] - mean) < 0.3 * error
+    assert 3.2 * error < a["hi"] - a["lo"] < 4.7 * error and a["lo"] < mean < a["hi"]
+    assert tuple(a) == pytest.approx(tuple(b)) and nulls.bootstrap(df, "v", "k", 400, 6).first()["lo"] != a["lo"]
+    one = nulls.bootstrap(df.where("k = 'k3'"), "v", "k", 10, 1).first()
+    assert (one["mean"], one["lo"], one["hi"], one["n"]) == (3.0, 3.0, 3.0, 1)
+    assert nulls.bootstrap(df.limit(0), "v", "k", 10, 1).count() == 0
