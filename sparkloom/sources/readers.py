@@ -356,3 +356,29 @@ def taxon_guard(leaves: DataFrame, sequences: DataFrame, allow_extra: bool = Fal
         gone = [r["x"] for r in one.join(other, "x", "left_anti").orderBy("x").limit(3).collect()]
         if gone and not (allow_extra and one is b):
             raise ValueError(f"{what}: {gone}")
+
+
+def run_records(spark: SparkSession, path: str, base: str = "/") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(files, merged, staged, progress), as ``provenance.invocations`` takes
+    them, of all runs below ``path``: npz/rep_*.npz, run_manifest.json and
+    provenance.json (``replicates``) and logs/progress.jsonl. Relative sources
+    start from ``base``. A record that is no JSON says nothing."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), "^file:/+", "/"), "/+$", "")
+    file = plain(F.col("_metadata.file_path"))
+    folder = lambda c, up: F.regexp_replace(c, r"(/[^/]*){%d}$" % up, "")
+    found = lambda name: spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
+
+    # only names are read of the replicates; Spark lists no empty files
+    listed = found("rep_*.npz").format("binaryFile").load(path).select(plain(F.col("path")).alias("f")).where("f like '%/npz/%'")
+    files = listed.select(folder(F.col("f"), 2).alias("run"), F.substring_index("f", "/", -1).alias("file"))
+
+    def entries(name: str, fields: str) -> DataFrame:
+        whole = found(name).text(path, wholetext=True).select(folder(file, 1).alias("run"), F.from_json("value", f"replicates array<struct<{fields}>>").alias("_"))
+        return whole.select("run", F.explode("_.replicates").alias("e")).select("run", "e.*")
+
+    merged = entries("run_manifest.json", "merged_index: bigint, source: string")
+    source = F.when(F.col("source").startswith("/"), F.col("source")).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), "source"))
+    merged = merged.select("run", "merged_index", folder(source, 2).alias("source_run"), F.substring_index("source", "/", -1).alias("source_file"))
+    staged = entries("provenance.json", "rep_id: string, invocation: string")
+    lines = found("progress.jsonl").text(path).select(folder(file, 2).alias("run"), F.from_json("value", "replicate bigint, batch string").alias("e"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"))
+    return files, merged, staged, lines.select("run", "e.*", "place")
