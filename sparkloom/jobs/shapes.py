@@ -1,6 +1,7 @@
-"""Trees rooted and cut anew over the given tables, with DuckDB SQL written
-apart. The tree has the orders as leaves, below customers, nations and
-regions, so it grows with the tables."""
+"""Trees rooted and cut anew, replicates traced and columns placed over the
+given tables, with DuckDB SQL written apart where SQL can say it. The tree has
+the orders as leaves, below customers, nations and regions; each order is also
+a replicate of one of seven runs, most of which were merged from others."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import rooting
+from ..operators import provenance, rooting, structures
 from ..session import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,6 +81,43 @@ def species_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rooting.species_tree(_tree(spark, sf_dir), seen, names, order=number)
 
 
+@query("""WITH f AS (SELECT 'top' || (o_custkey % 7) AS run, 'rep_' || o_orderkey || '.npz' AS file, o_custkey % 7 AS t, o_custkey % 5 AS s, o_orderkey % 2 AS e, o_orderpriority AS staged, CAST(year(o_orderdate) AS varchar) AS batch,
+  bool_and(o_orderstatus = 'F') OVER (PARTITION BY o_custkey % 7) AS all_top, bool_and(o_orderstatus = 'F') OVER (PARTITION BY o_custkey % 7, o_custkey % 5) AS all_src FROM orders)
+SELECT run, file,
+  CASE WHEN t < 3 THEN CASE s WHEN 0 THEN 'src0:' || staged WHEN 1 THEN 'src1:' || batch WHEN 2 THEN CASE e WHEN 0 THEN 'src2:deep0:' || batch ELSE 'src2:deep1' END WHEN 3 THEN 'src3' ELSE CASE WHEN all_src THEN 'src4:' || staged ELSE 'src4' END END
+    WHEN t = 3 THEN staged WHEN t = 5 AND all_top THEN staged ELSE batch END AS label,
+  CASE WHEN t < 3 THEN CASE s WHEN 0 THEN 'staged' WHEN 1 THEN 'progress' WHEN 2 THEN CASE e WHEN 0 THEN 'progress' ELSE 'name' END WHEN 3 THEN 'name' ELSE CASE WHEN all_src THEN 'staged' ELSE 'name' END END
+    WHEN t = 3 OR (t = 5 AND all_top) THEN 'staged' ELSE 'progress' END AS route,
+  CASE WHEN t > 2 THEN run WHEN s = 2 THEN 'deep' || e ELSE 'src' || s END AS source FROM f""")
+def replicate_invocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, s, k = F.col("o_custkey") % 7, F.col("o_custkey") % 5, F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    run = lambda prefix, n: F.concat(F.lit(prefix), n)
+    file = F.concat(F.lit("rep_"), k, F.lit(".npz"))
+    files = o.select(run("top", t).alias("run"), file.alias("file"))
+    above = o.where(t < 3).select(run("top", t).alias("run"), k.alias("merged_index"), run("src", s).alias("source_run"), file.alias("source_file"))
+    below = o.where((t < 3) & (s == 2)).select(F.lit("src2").alias("run"), k.alias("merged_index"), run("deep", k % 2).alias("source_run"), file.alias("source_file"))
+    written = lambda of: F.concat(F.lit("rep_"), k).alias("rep_id") if of else k.alias("replicate")
+    priority, year = F.col("o_orderpriority").alias("invocation"), F.year("o_orderdate").cast("string").alias("batch")
+    staged = o.where((t == 3) | ((t == 5) & (F.col("o_orderstatus") == "F"))).select(run("top", t).alias("run"), written(True), priority)
+    staged = staged.unionByName(o.where((t < 3) & ((s == 0) | ((s == 4) & (F.col("o_orderstatus") == "F")))).select(run("src", s).alias("run"), written(True), priority))
+    progress = o.where(t > 3).select(run("top", t).alias("run"), written(False), year)
+    progress = progress.unionByName(o.where((t < 3) & (s == 1)).select(F.lit("src1").alias("run"), written(False), year))
+    progress = progress.unionByName(o.where((t < 3) & (s == 2) & (k % 2 == 0)).select(F.lit("deep0").alias("run"), written(False), year))
+    return provenance.invocations(files, above.unionByName(below), staged, progress)
+
+
+@query()
+def structure_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name and brand, blanks as gaps, on its type and name."""
+    part = table(spark, sf_dir, "part")
+    key = F.col("p_partkey").cast("string").alias("structure")
+    rows = part.select(key, F.translate(F.upper(F.concat_ws(" ", "p_name", "p_brand")), " ", "-").alias("sequence"))
+    chains = part.select(key, F.explode(F.map_from_arrays(F.array(F.lit("A"), F.lit("B")), F.array(F.upper("p_name"), F.concat_ws("", F.upper("p_type"), F.upper("p_name"))))).alias("chain", "text"), "p_size")
+    residues = chains.select("structure", "chain", "p_size", F.posexplode(F.split("text", "")).alias("ord", "residue")).where("residue <> ''").select("structure", "chain", "ord", "residue", (F.col("p_size") + F.col("ord")).alias("number"))
+    return structures.column_residues(rows, residues)
+
+
 def queries() -> dict[str, Query]:
     return dict(Q)
 
