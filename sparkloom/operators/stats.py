@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -13,7 +14,7 @@ def ln_factorial(n: Column) -> Column:
     """ln(n!) of n >= 0, by Stirling's series after nine steps of n! = (n+1)!/(n+1):
     exact to about 1e-13 of its size for every n."""
     x = n.cast("double") + F.lit(10.0)
-    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x) - 1 / (1680 * x * x * x * x * x * x * x)
     product = F.lit(1.0)
     for i in range(1, 10):
         product = product * (n.cast("double") + float(i))
@@ -24,39 +25,171 @@ def ln_choose(n: Column, k: Column) -> Column:
     return ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def incomplete_beta(x: Column, a: Column, b: Column) -> Column:
+    """Regularised incomplete beta I_x(a, b) of a, b > 0, by its continued
+    fraction, on the side where it converges fast; its steps grow with the
+    square root of the larger parameter. Null where an argument is null."""
+    one, tiny = F.lit(1.0), 1e300
+    inverse = lambda y: F.coalesce(F.try_divide(one, y), F.lit(tiny))
+
+    def half(s: Column, e: Column) -> Column:
+        # c and d of the modified Lentz step with numerator e, and their product
+        d, c = inverse(1 + e * s["d"]), 1 + e * inverse(s["c"])
+        return _let(F.struct(c.alias("c"), d.alias("d"), s["h"].alias("h")), lambda t: F.struct(t["c"].alias("c"), t["d"].alias("d"), (t["h"] * t["c"] * t["d"]).alias("h")))
+
+    def fraction(v: Column) -> Column:
+        x, a, b = v["x"], v["a"], v["b"]
+
+        def step(s: Column, m: Column) -> Column:
+            even = half(s, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+            return _let(even, lambda t: half(t, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))))
+
+        d = inverse(1 - (a + b) * x / (a + 1))
+        start = F.struct(one.alias("c"), d.alias("d"), d.alias("h"))
+        steps = F.sequence(F.lit(1), (60 + 5 * F.sqrt(F.greatest(a, b))).cast("int"))
+        front = ln_factorial(a + b - 1) - ln_factorial(a) - ln_factorial(b - 1) + a * F.ln(x) + b * F.log1p(-x)
+        return F.exp(front) * F.aggregate(steps, start, step)["h"]
+
+    def value(v: Column) -> Column:
+        swap = v["x"] > (v["a"] + 1) / (v["a"] + v["b"] + 2)
+        other = F.when(swap, F.struct((1 - v["x"]).alias("x"), v["b"].alias("a"), v["a"].alias("b"))).otherwise(v)
+        inside = _let(other, fraction)
+        return F.when(v["x"] <= 0, 0.0).when(v["x"] >= 1, 1.0).when(swap, 1 - inside).otherwise(inside)
+
+    parts = F.struct(x.cast("double").alias("x"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    return F.when(x.isNotNull() & a.isNotNull() & b.isNotNull(), _let(parts, value))
+
+
+def student_two_sided(t: Column, dof: Column) -> Column:
+    """Two-sided p of Student's t."""
+    return incomplete_beta(dof / (dof + t * t), dof / 2.0, F.lit(0.5))
+
+
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation of ``n`` pairs; null below three pairs."""
+    dof = n.cast("double") - 2
+    return F.when((n > 2) & (F.abs(r) < 1), student_two_sided(r * F.sqrt(dof / F.nullif(1 - r * r, F.lit(0.0))), dof)).when((n > 2) & r.isNotNull(), 0.0)
+
+
+def ks_p(statistic: Column, n1: Column, n0: Column) -> Column:
+    """Asymptotic p of the two-sample Kolmogorov-Smirnov statistic."""
+    lam = statistic * F.sqrt(n1 * n0 / F.nullif(n1 + n0, F.lit(0.0)))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda j: F.when(j % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * j * j * lam * lam))
+    # below this the series needs more terms and p is 1 to twelve digits
+    return F.when(lam < 0.2, 1.0).when(lam.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.aggregate(terms, F.lit(0.0), lambda a, b: a + b))))
+
+
+#: Standard deviations on each side of a mean, and counts beyond them, whose terms are summed.
+SPREAD, MORE = 40.0, 64
+
+
+def _hypergeometric_terms(lo: Column, n: Column, K: Column, N: Column) -> tuple[Column, Callable[[Column], Column]]:
+    """Logarithm of the chance of ``lo`` marked ones, and what the step from i
+    to i + 1 adds to it."""
+    first = ln_choose(K, lo) + ln_choose(N - K, n - lo) - ln_choose(N, n)
+    up = lambda i: F.ln((K - i).cast("double")) + F.ln((n - i).cast("double")) - F.ln((i + 1).cast("double")) - F.ln((N - K - n + i + 1).cast("double"))
+    return first, up
+
+
+def _window(lo: Column, hi: Column, mean: Column, sd: Column) -> tuple[Column, Column]:
+    """The part of [lo, hi] within ``SPREAD`` deviations of the mean; beyond
+    the mean's reach, as many counts from the near end. All that is left out
+    is below 1e-300 of the whole, or of the nearest end."""
+    reach = F.ceil(sd * SPREAD).cast("long") + MORE
+    low = F.greatest(lo, F.floor(mean).cast("long") - reach)
+    return low, F.least(hi, F.greatest(low, F.ceil(mean).cast("long")) + reach)
+
+
+def _hypergeometric_moments(n: Column, K: Column, N: Column) -> tuple[Column, Column]:
+    total = F.nullif(N.cast("double"), F.lit(0.0))
+    share = K / total
+    mean = F.coalesce(n * share, F.lit(0.0))
+    return mean, F.sqrt(F.greatest(mean * (1 - F.coalesce(share, F.lit(0.0))), F.lit(0.0)))
+
+
+def _sum_up(low: Column, high: Column, n: Column, K: Column, N: Column, most: Column | None = None) -> Column:
+    """Sum of the chances of low to high marked ones; with ``most`` only of
+    those whose logarithm is not above it."""
+    first, up = _hypergeometric_terms(low, n, K, N)
+    add = lambda ln: F.exp(ln) if most is None else F.when(ln <= most, F.exp(ln)).otherwise(0.0)
+    start = F.struct(first.alias("ln"), add(first).alias("sum"))
+    step = lambda s, i: _let(s["ln"] + up(i - 1), lambda ln: F.struct(ln.alias("ln"), (s["sum"] + add(ln)).alias("sum")))
+    rest = F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(rest, start, step)["sum"]
+
+
 def hypergeometric_tail(df: DataFrame, k: str, drawn: str, marked: str, total: str, name: str = "p") -> DataFrame:
     """``df`` with ``name``: the chance of ``k`` or more marked ones among
     ``drawn`` out of ``total``, of which ``marked`` are marked. Terms are
-    summed inside the row; counts of any size; a null count gives null."""
+    summed inside the row, a number that grows with the standard deviation of
+    the count and not with the counts; a null count gives null."""
     K, n, N = (F.col(c).cast("long") for c in (marked, drawn, total))
     lo = F.greatest(F.col(k).cast("long"), n + K - N, F.lit(0).cast("long"))
     hi = F.least(n, K)
-    head = -ln_choose(N, n)
-    terms = F.transform(F.sequence(lo, hi), lambda i: F.exp(ln_choose(K, i) + ln_choose(N - K, n - i) + head))
-    tail = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
-    some = F.coalesce(F.col(k), K, n, N).isNotNull() & F.col(k).isNotNull() & K.isNotNull() & n.isNotNull() & N.isNotNull()
-    return df.withColumn(name, F.when(some, F.when(lo > hi, 0.0).otherwise(F.least(F.lit(1.0), tail))))
+    low, high = _window(lo, hi, *_hypergeometric_moments(n, K, N))
+    some = F.col(k).isNotNull() & K.isNotNull() & n.isNotNull() & N.isNotNull()
+    return df.withColumn(name, F.when(some, F.when(lo > hi, 0.0).otherwise(F.least(F.lit(1.0), _sum_up(low, high, n, K, N)))))
 
 
-def fisher(df: DataFrame, a: str, b: str, c: str, d: str) -> DataFrame:
+def fisher(df: DataFrame, a: str, b: str, c: str, d: str, two_sided: bool = False) -> DataFrame:
     """``df`` with ``odds_ratio`` (infinity if b or c is 0, null if undefined)
-    and ``p`` (one-sided, greater) of the table [[a, b], [c, d]]."""
+    and ``p`` of the table [[a, b], [c, d]]: of as many or more in a
+    (one-sided), or of all tables no likelier than this one."""
     x = df.withColumn("_drawn", F.col(a) + F.col(b)).withColumn("_marked", F.col(a) + F.col(c)).withColumn("_total", F.col(a) + F.col(b) + F.col(c) + F.col(d))
-    x = hypergeometric_tail(x, a, "_drawn", "_marked", "_total").drop("_drawn", "_marked", "_total")
+    if two_sided:
+        k, n, K, N = (F.col(i).cast("long") for i in (a, "_drawn", "_marked", "_total"))
+        lo, hi = F.greatest(n + K - N, F.lit(0).cast("long")), F.least(n, K)
+        low, high = _window(lo, hi, *_hypergeometric_moments(n, K, N))
+        # a table beyond the window: from it on
+        low, high = F.least(low, k), F.greatest(high, k)
+        # as likely as this one but for rounding
+        most = ln_choose(K, k) + ln_choose(N - K, n - k) - ln_choose(N, n) + 1e-7
+        some = k.isNotNull() & n.isNotNull() & K.isNotNull() & N.isNotNull()
+        x = x.withColumn("p", F.when(some, F.least(F.lit(1.0), _sum_up(low, high, n, K, N, most)))).drop("_drawn", "_marked", "_total")
+    else:
+        x = hypergeometric_tail(x, a, "_drawn", "_marked", "_total").drop("_drawn", "_marked", "_total")
     top, low = F.col(a).cast("double") * F.col(d), F.col(b).cast("double") * F.col(c)
     return x.withColumn("odds_ratio", F.when(low > 0, top / F.nullif(low, F.lit(0.0))).when(top > 0, F.lit(float("inf"))))
 
 
+def enrichment_table(df: DataFrame, observed: str, expected: str, total: str) -> DataFrame:
+    """``df`` with ``fold_enrichment``, ``pvalue`` (two-sided, Fisher) and
+    ``log2_odds_ratio`` of observed hits against expected ones among ``total``
+    each. More expected than ``total`` count as ``total``, counts below 0 as
+    0; without any count on one side p and the ratio are 1. The ratio is never
+    taken below 0.01, an undefined one counts as 0.01."""
+    zero = F.lit(0).cast("long")
+    o, t = F.col(observed).cast("long"), F.col(total).cast("long")
+    e = F.least(F.col(expected).cast("long"), t)
+    x = df.withColumns({"_a": F.greatest(zero, o), "_b": F.greatest(zero, t - o), "_c": F.greatest(zero, e), "_d": F.greatest(zero, t - e)})
+    x = fisher(x.withColumns({f"_user_{c}": F.col(c) for c in ("p", "odds_ratio") if c in df.columns}), "_a", "_b", "_c", "_d", two_sided=True)
+    both = (F.col("_a") + F.col("_b") > 0) & (F.col("_c") + F.col("_d") > 0)
+    ratio = F.when(both, F.greatest(F.lit(0.01), F.coalesce("odds_ratio", F.lit(0.01)))).otherwise(1.0)
+    some = o.isNotNull() & e.isNotNull() & t.isNotNull()
+    x = x.withColumns({"fold_enrichment": o / F.greatest(F.lit(1).cast("long"), e), "pvalue": F.when(some, F.when(both, F.col("p")).otherwise(1.0)), "log2_odds_ratio": F.when(some, F.log2(ratio))})
+    keep = [F.col(f"_user_{c}").alias(c) if c in ("p", "odds_ratio") else F.col(c) for c in df.columns if c not in ("fold_enrichment", "pvalue", "log2_odds_ratio")]
+    return x.select(*keep, "fold_enrichment", "pvalue", "log2_odds_ratio")
+
+
 def binomial_critical(df: DataFrame, n: str, p: str, alpha: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the least k with P(X >= k) < alpha of a binomial;
-    n + 1 if no k up to n gets there; null where p is not inside (0, 1)."""
+    n + 1 if no k up to n gets there; null where p is not inside (0, 1). The
+    terms are summed down from ``SPREAD`` deviations above the mean to as many
+    below it, so their number grows with the deviation (alpha above 1e-300)."""
     N, q = F.col(n).cast("long"), F.col(p)
-    ks = F.sequence(N, F.lit(0).cast("long"), F.lit(-1).cast("long"))
-    pmf = lambda k: F.exp(ln_choose(N, k) + k * F.ln(q) + (N - k) * F.ln(1 - q))
-    start = F.struct(F.lit(0.0).alias("tail"), (N + 1).alias("k"))
-    # from n down: k falls as long as the tail stays below alpha
-    step = lambda s, k: F.struct((s["tail"] + pmf(k)).alias("tail"), F.when(s["tail"] + pmf(k) < alpha, k).otherwise(s["k"]).alias("k"))
-    return df.withColumn(name, F.when((q > 0) & (q < 1), F.aggregate(ks, start, step)["k"]))
+    mean, zero = N * q, F.lit(0).cast("long")
+    low, high = _window(zero, N, mean, F.sqrt(F.greatest(mean * (1 - q), F.lit(0.0))))
+    odds = F.log1p(-q) - F.ln(q)
+    first = ln_choose(N, high) + high * F.ln(q) + (N - high) * F.log1p(-q)
+    at = lambda ln, tail, k, before: F.struct(ln.alias("ln"), tail.alias("tail"), F.when(tail < alpha, k).otherwise(before).alias("k"))
+    down = lambda s, k: _let(s["ln"] + F.ln((k + 1).cast("double")) - F.ln((N - k).cast("double")) + odds, lambda ln: at(ln, s["tail"] + F.exp(ln), k, s["k"]))
+    ks = F.when(high > low, F.sequence(high - 1, low, F.lit(-1).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    return df.withColumn(name, F.when((q > 0) & (q < 1), F.aggregate(ks, at(first, F.exp(first), high, high + 1), down)["k"]))
 
 
 def bh(df: DataFrame, p: str, key: list[str], name: str = "q") -> DataFrame:
@@ -91,7 +224,7 @@ def normal_two_sided(z: Column) -> Column:
 def two_samples(df: DataFrame, value: str, group: Column) -> DataFrame:
     """One row of two samples (``group`` true or false; null values and groups
     left out): n1, n0, Kolmogorov-Smirnov ``ks``, Mann-Whitney ``u`` of the
-    first with tie-corrected normal ``u_p``, Cliff's delta. An empty sample
+    first with tie-corrected normal ``u_p``, Cliff's delta, asymptotic ``ks_p``. An empty sample
     gives nulls. Values are counted first."""
     rows = df.select(F.col(value).alias("v"), group.alias("g")).where("v is not null and g is not null")
     counts = rows.groupBy("v").agg(F.count_if("g").alias("a"), F.count_if(~F.col("g")).alias("b"))
@@ -110,11 +243,12 @@ def two_samples(df: DataFrame, value: str, group: Column) -> DataFrame:
     sd = F.sqrt(n1 * n0 / 12 * (all_n + 1 - F.col("_ties") / F.nullif(all_n * (all_n - 1), F.lit(0.0))))
     gap = F.abs(F.col("u") - n1 * n0 / 2)
     z = F.greatest(gap - 0.5, F.lit(0.0)) / F.nullif(sd, F.lit(0.0))
-    return out.select(n1.cast("long").alias("n1"), n0.cast("long").alias("n0"), "ks", F.when(n1 * n0 > 0, F.col("u")).alias("u"), normal_two_sided(z).alias("u_p"), (2 * F.col("u") / F.nullif(n1 * n0, F.lit(0.0)) - 1).alias("delta"))
+    return out.select(n1.cast("long").alias("n1"), n0.cast("long").alias("n0"), "ks", F.when(n1 * n0 > 0, F.col("u")).alias("u"), normal_two_sided(z).alias("u_p"), (2 * F.col("u") / F.nullif(n1 * n0, F.lit(0.0)) - 1).alias("delta"), ks_p(F.col("ks"), n1, n0).alias("ks_p"))
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n, pearson, spearman (average ranks) of rows with both values."""
+    """One row: n, pearson, spearman (average ranks) of rows with both values,
+    and their two-sided p."""
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
     cells = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
     rx = ranks.average_ranks(cells, "x", "n").select("x", F.col("average_rank").alias("rx"))
@@ -128,7 +262,8 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
         vb = F.sum(F.col("n") * F.col(b) * F.col(b)) - sb * sb / n
         return cov / F.nullif(F.sqrt(F.greatest(va * vb, F.lit(0.0))), F.lit(0.0))
 
-    return both.agg(F.sum("n").alias("n"), weighted("x", "y").alias("pearson"), weighted("rx", "ry").alias("spearman"))
+    out = both.agg(F.sum("n").alias("n"), weighted("x", "y").alias("pearson"), weighted("rx", "ry").alias("spearman"))
+    return out.withColumns({f"{c}_p": correlation_p(F.col(c), F.col("n")) for c in ("pearson", "spearman")})
 
 
 def pair_associations(marks: DataFrame, item: str, place: str) -> DataFrame:
@@ -171,22 +306,24 @@ def recalls(both: DataFrame, truth: str, guess: str) -> DataFrame:
     return out.withColumn("recall", F.col("n_both") / F.nullif("n_truth", F.lit(0))).withColumn("precision", F.col("n_both") / F.nullif("n_guess", F.lit(0)))
 
 
-def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
-    """Exact binomial interval of two counts, by bisection on the tail sums."""
+def clopper_pearson_bounds(k: Column, n: Column, level: float = 0.95) -> Column:
+    """Struct (low, high): the exact binomial interval of ``k`` out of ``n``,
+    by bisection on the incomplete beta function; null without trials."""
+    half = (1 - level) / 2
 
-    def tail(p: float, lo: int, hi: int) -> float:
-        if p <= 0 or p >= 1:
-            return float(lo <= (0 if p <= 0 else n) <= hi)
-        return math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(lo, hi + 1))
+    def bound(below: Callable[[Column], Column]) -> Column:
+        start = F.struct(F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
+        cut = lambda s, _: _let((s["a"] + s["b"]) / 2, lambda m: F.when(below(m), F.struct(m.alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), m.alias("b"))))
+        return _let(F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, cut), lambda s: (s["a"] + s["b"]) / 2)
 
-    def root(grows) -> float:
-        a, b = 0.0, 1.0
-        for _ in range(80):
-            m = (a + b) / 2
-            a, b = (a, m) if grows(m) else (m, b)
-        return (a + b) / 2
+    low = F.when(k <= 0, 0.0).otherwise(bound(lambda m: incomplete_beta(m, k, n - k + 1) < half))
+    high = F.when(k >= n, 1.0).otherwise(bound(lambda m: incomplete_beta(m, k + 1, n - k) < 1 - half))
+    return F.when((n > 0) & k.isNotNull(), F.struct(low.alias("low"), high.alias("high")))
 
-    half = (1 - level) / 2
-    low = 0.0 if k == 0 else root(lambda p: tail(p, k, n) > half)
-    high = 1.0 if k == n else root(lambda p: tail(p, 0, k) < half)
-    return low, high
+
+def clopper_pearson(k: int, n: int, level: float = 0.95) -> tuple[float, float]:
+    """``clopper_pearson_bounds`` of two counts."""
+    from pyspark.sql import SparkSession
+
+    row = SparkSession.active().range(1).select(clopper_pearson_bounds(F.lit(k), F.lit(n), level).alias("x")).first()["x"]
+    return row["low"], row["high"]
