@@ -205,16 +205,33 @@ def cells(branches: DataFrame, stat: str, threshold: float, keys: list[str]) ->
 def multipliers(table: DataFrame, keys: list[str], replicate: str = "replicate") -> DataFrame:
     """(keys, n_trials, n_exceed, multiplier, se_log): rate of a cell over the
     pooled rate, 1 where it is empty, with a jackknife error of its logarithm
-    over replicates (total minus own, in one pass)."""
+    over replicates (total minus own, in one pass).
+
+    A replicate without trials in a cell leaves the cell's rate as it is and
+    only changes the pooled one; the sums over such replicates follow from
+    the sums over all, so no row is made for a cell and a replicate that do
+    not meet. One replicate gives a null error."""
     whole = table.groupBy(*keys).agg(F.sum("n_trials").alias("n_trials"), F.sum("n_exceed").alias("n_exceed"))
-    rep = table.groupBy(replicate).agg(F.sum("n_trials").alias("_rt"), F.sum("n_exceed").alias("_re"))
-    all_ = rep.agg(F.sum("_rt").alias("_t"), F.sum("_re").alias("_e"), F.count("*").alias("_r"))
-    rate = lambda e, t, E, T: F.coalesce(F.nullif((e / F.nullif(t, F.lit(0))) / F.nullif(E / F.nullif(T, F.lit(0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
-    own = table.groupBy(*keys, replicate).agg(F.sum("n_trials").alias("_ot"), F.sum("n_exceed").alias("_oe"))
-    left = whole.crossJoin(F.broadcast(rep)).join(own, [*keys, replicate], "left").na.fill(0, ["_ot", "_oe"]).crossJoin(F.broadcast(all_))
-    x = F.ln(rate(F.col("n_exceed") - F.col("_oe"), F.col("n_trials") - F.col("_ot"), F.col("_e") - F.col("_re"), F.col("_t") - F.col("_rt")))
-    se = left.groupBy(*keys).agg(F.sqrt((F.max("_r") - 1) * F.var_pop(x)).alias("se_log"))
-    return whole.crossJoin(F.broadcast(all_)).withColumn("multiplier", rate(F.col("n_exceed"), F.col("n_trials"), F.col("_e"), F.col("_t"))).join(se, keys).select(*keys, "n_trials", "n_exceed", "multiplier", "se_log")
+    rep = materialize(table.groupBy(replicate).agg(F.sum("n_trials").alias("_rt"), F.sum("n_exceed").alias("_re")))
+    pooled = rep.agg(F.sum("_rt").alias("_t"), F.sum("_re").alias("_e"), F.count("*").alias("_r"))
+    ratio = lambda e, t: F.nullif(e / F.nullif(t, F.lit(0)), F.lit(0.0))
+    # g: logarithm of the pooled rate without a replicate, less that of all; null where nothing is left
+    rep = rep.crossJoin(F.broadcast(pooled)).select(replicate, "_rt", "_re", (F.ln(ratio(F.col("_e") - F.col("_re"), F.col("_t") - F.col("_rt"))) - F.ln(ratio(F.col("_e"), F.col("_t")))).alias("_g"))
+    sums = lambda c: (F.count(c), F.coalesce(F.sum(c), F.lit(0.0)), F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0)))
+    pooled = pooled.crossJoin(rep.agg(*(x.alias(f"_g{i}") for i, x in enumerate(sums("_g")))))
+    base = whole.crossJoin(F.broadcast(pooled)).withColumn("_l", F.ln(ratio(F.col("n_exceed"), F.col("n_trials"))) - F.ln(ratio(F.col("_e"), F.col("_t"))))
+    own = table.groupBy(*keys, replicate).agg(F.sum("n_trials").alias("_ot"), F.sum("n_exceed").alias("_oe")).join(rep.select(replicate, "_g"), replicate)
+    met = ranks.joined(own, base.select(*keys, "n_trials", "n_exceed", "_e", "_t"), keys)
+    x = F.coalesce(F.ln(ratio(F.col("n_exceed") - F.col("_oe"), F.col("n_trials") - F.col("_ot"))) - F.ln(ratio(F.col("_e"), F.col("_t"))) - F.col("_g"), F.lit(0.0))
+    met = met.withColumn("_x", x).groupBy(*keys).agg(F.count("*").alias("_m"), F.sum("_x").alias("_sx"), F.sum(F.col("_x") * F.col("_x")).alias("_sxx"), *(c.alias(f"_o{i}") for i, c in enumerate(sums("_g"))))
+    out = ranks.joined(base, met, keys)
+    # over the replicates that do not meet the cell: n values l - g, or all 0 in an empty cell
+    n, g, gg = (F.col(f"_g{i}") - F.col(f"_o{i}") for i in range(3))
+    s = F.col("_sx") + F.coalesce(n * F.col("_l") - g, F.lit(0.0))
+    ss = F.col("_sxx") + F.coalesce(n * F.col("_l") * F.col("_l") - 2 * F.col("_l") * g + gg, F.lit(0.0))
+    r = F.col("_r")
+    se = F.when(r > 1, F.sqrt(F.greatest((r - 1) * (ss / r - s * s / (r * r)), F.lit(0.0))))
+    return out.select(*keys, "n_trials", "n_exceed", F.coalesce(F.exp("_l"), F.lit(1.0)).alias("multiplier"), se.alias("se_log"))
 
 
 def run_comparability(null: DataFrame, run: str, stat: str, threshold: float, replicate: str = "replicate", least: int = 30) -> DataFrame:

@@ -16,6 +16,15 @@ def melt_branches(facts: DataFrame, keep: tuple[str, ...] = ("node", "position",
     return facts.select(*keep, sides.alias("_b")).select(*keep, "_b.*")
 
 
+def branch_covariates(facts: DataFrame, keep: tuple[str, ...] = ("position", "depth"), left: tuple[str, str] = LEFT, right: tuple[str, str] = RIGHT) -> DataFrame:
+    """Each row as two, one per branch, with ``branch``, ``score``, ``log_own``
+    and ``log_sib``: the logarithms of its own and of its sibling's clade size,
+    which swap sides; null where a size is null or not above 0."""
+    size = lambda c: F.when(F.col(c) > 0, F.ln(F.col(c).cast("double")))
+    sides = F.explode(F.array(*(F.struct(F.lit(n).alias("branch"), F.col(s).alias("score"), size(own).alias("log_own"), size(sib).alias("log_sib")) for n, (s, own), (_, sib) in (("left", left, right), ("right", right, left)))))
+    return facts.select(*keep, sides.alias("_b")).select(*keep, "_b.*")
+
+
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """One row: ``edges``, the distinct inner and outer quantile edges."""
     edges = ranks.percentiles(df, value, [i / bins for i in range(bins + 1)])
