@@ -1,12 +1,12 @@
 import duckdb
 import pytest
 
-from sparkloom.jobs import analysis, calibration, divergence, shapes
+from sparkloom.jobs import analysis, calibration, checks, divergence, shapes
 
 SF = "/root/testdata/sf0.001"
 
-QUERIES = divergence.queries() | analysis.queries() | calibration.queries() | shapes.queries()
-ORACLE = divergence.oracle_sql() | analysis.oracle_sql() | calibration.oracle_sql() | shapes.oracle_sql()
+QUERIES = divergence.queries() | analysis.queries() | calibration.queries() | shapes.queries() | checks.queries()
+ORACLE = divergence.oracle_sql() | analysis.oracle_sql() | calibration.oracle_sql() | shapes.oracle_sql() | checks.oracle_sql()
 
 
 def rows(df, columns):
