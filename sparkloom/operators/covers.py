@@ -9,21 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
+from . import residues
 
 
-def _contained(rows: DataFrame, item: str, of: str) -> DataFrame:
-    """(item, within): items whose ``of``s are all among those of another
-    item, which has more.
-
-    A larger item must be there at the smaller one's rarest ``of``, so only
-    the items at that one are candidates; their shared ``of``s are counted."""
-    size = rows.groupBy(item).agg(F.count("*").alias("n"))
-    rare = rows.join(rows.groupBy(of).agg(F.count("*").alias("k")), of)
-    at = rare.groupBy(item).agg(F.min(F.struct("k", of)).alias("r")).select(item, F.col(f"r.{of}").alias(of))
-    other = rows.join(size, item).select(F.col(item).alias("within"), of, F.col("n").alias("larger"))
-    pairs = at.join(size, item).join(other, of).where("larger > n").select(item, "n", "within")
-    shared = pairs.join(rows, item).join(rows.withColumnRenamed(item, "within"), ["within", of])
-    return shared.groupBy(item, "n", "within").agg(F.count("*").alias("both")).where("both = n").select(item, "within")
+def _contained(rows: DataFrame, item: str, of: str) -> tuple[DataFrame, DataFrame]:
+    """Items whose ``of``s are all among those of another item, which has
+    more, and the items that hold another one's so."""
+    pairs, sets = residues.contained_classes(rows, item, of)
+    pairs = materialize(pairs)
+    sides = (sets.join(pairs.select(F.col(side).alias("class")).distinct(), "class", "left_semi").select(F.col("key").alias(item)) for side in ("inner", "outer"))
+    return tuple(materialize(s) for s in sides)
 
 
 def _without(rows: DataFrame, gone: DataFrame, on: str) -> DataFrame:
@@ -51,12 +46,12 @@ def set_cover(memberships: DataFrame, cluster: str = "cluster", member: str = "m
             taken.append(alone.withColumn("by", F.lit("essential")))
             rows = _without(rows, rows.join(alone, "m", "left_semi"), "c")
             continue
-        fewer = materialize(_contained(rows, "m", "c"))
+        fewer, _ = _contained(rows, "m", "c")
         if not fewer.isEmpty():
             rows = _without(rows, fewer, "m")
             continue
         # what meets a cluster meets those that it lies within
-        larger = materialize(_contained(rows, "c", "m").select(F.col("within").alias("c")))
+        _, larger = _contained(rows, "c", "m")
         if larger.isEmpty():
             break
         rows = _without(rows, larger, "c")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
+
 # Kyte-Doolittle hydropathy, net charge, volume in cubic angstrom.
 HYDROPATHY = {"A": 1.8, "C": 2.5, "D": -3.5, "E": -3.5, "F": 2.8, "G": -0.4, "H": -3.2, "I": 4.5, "K": -3.9, "L": 3.8, "M": 1.9, "N": -3.5, "P": -1.6, "Q": -3.5, "R": -4.5, "S": -0.8, "T": -0.7, "V": 4.2, "W": -0.9, "Y": -1.3}
 CHARGE = {"D": -1.0, "E": -1.0, "H": 1.0, "K": 1.0, "R": 1.0}
@@ -101,19 +103,44 @@ def matrix_distances(matrices: DataFrame, motif: str = "motif", position: str =
     return out.select("motif_a", "motif_b", "n", (F.sqrt("_s") / F.col("n")).alias("frobenius"), (F.col("_k") / 2 / F.col("n")).alias("divergence"))
 
 
-def contained_sets(members: DataFrame, key: str, member: str) -> DataFrame:
-    """(inner, outer): sets that lie inside a larger one.
+#: Words of 64 bits in a set's signature.
+WORDS = 4
+
+
+def contained_classes(members: DataFrame, key: str, member: str) -> tuple[DataFrame, DataFrame]:
+    """(inner, outer): classes of equal sets, the former inside the latter,
+    and (class, key): the sets of each class, which bears its least key.
 
     Whatever holds a set holds its rarest member too, so only sets that share
-    that one member are candidates; each is verified by counting. Rows with
-    null do not count, repeated ones count once, equal sets hold neither.
+    that one are candidates. Of these only pairs in whose signatures (a bit
+    for each member's hash) the inner one's bits are all set leave the join;
+    each of them is verified by counting. Rows with null do not count,
+    repeated ones count once, equal sets hold neither.
     """
-    rows = members.select(F.col(key).alias("_k"), F.col(member).alias("_m")).dropna().distinct()
+    rows = materialize(members.select(F.col(key).alias("_k"), F.col(member).alias("_m")).dropna().distinct())
     often = rows.groupBy("_m").agg(F.count("*").alias("_n"))
-    sets = rows.join(often, "_m").groupBy("_k").agg(F.count("*").alias("_size"), F.min_by("_m", F.struct("_n", "_m")).alias("_rare"))
-    sized = rows.join(sets.select("_k", "_size"), "_k")
-    inner = sets.select(F.col("_k").alias("inner"), F.col("_size").alias("_least"), F.col("_rare").alias("_m"))
-    near = inner.join(sized.withColumnRenamed("_k", "outer"), "_m").where("_size > _least").select("inner", "outer", "_least")
-    wanted = near.join(rows.withColumnRenamed("_k", "inner"), "inner")
-    met = wanted.join(rows.withColumnRenamed("_k", "outer"), ["outer", "_m"]).groupBy("inner", "outer", "_least").agg(F.count("*").alias("_met"))
-    return met.where("_met = _least").select("inner", "outer")
+    bit = F.pmod(F.xxhash64(F.lit(3), "_m"), F.lit(64 * WORDS)).cast("int")
+    words = [F.bit_or(F.when(F.floor(F.col("_bit") / 64) == i, F.expr("shiftleft(1L, _bit % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"_w{i}") for i in range(WORDS)]
+    digest = [F.bit_xor(F.xxhash64(F.lit(i), "_m")).alias(f"_d{i}") for i in (1, 2)]
+    sets = materialize(rows.join(often, "_m").withColumn("_bit", bit).groupBy("_k").agg(F.count("*").alias("_size"), F.min(F.struct("_n", "_m"))["_m"].alias("_rare"), *digest, *words))
+    same = ["_size", "_d1", "_d2"]
+    classes = materialize(sets.groupBy(*same).agg(F.min("_k").alias("_class"), F.first("_rare").alias("_rare"), *(F.first(f"_w{i}").alias(f"_w{i}") for i in range(WORDS))))
+    own = rows.join(classes.select(F.col("_class").alias("_k")), "_k", "left_semi")
+    inner = classes.select(F.col("_class").alias("inner"), F.col("_size").alias("_least"), F.col("_rare").alias("_m"), *(F.col(f"_w{i}").alias(f"_v{i}") for i in range(WORDS)))
+    outer = own.join(classes.withColumnRenamed("_class", "_k"), "_k").select(F.col("_k").alias("outer"), "_m", "_size", *(f"_w{i}" for i in range(WORDS)))
+    a, b = inner.alias("a"), outer.alias("b")
+    fits = (F.col("a._m") == F.col("b._m")) & (F.col("_size") > F.col("_least"))
+    for i in range(WORDS):
+        fits = fits & (F.col(f"_v{i}").bitwiseAND(F.col(f"_w{i}")) == F.col(f"_v{i}"))
+    near = materialize(a.join(b, fits).select("inner", "outer", "_least"))
+    wanted = near.join(own.withColumnRenamed("_k", "inner"), "inner")
+    met = wanted.join(own.withColumnRenamed("_k", "outer"), ["outer", "_m"]).groupBy("inner", "outer", "_least").agg(F.count("*").alias("_met"))
+    return met.where("_met = _least").select("inner", "outer"), sets.join(classes.select(*same, "_class"), same).select(F.col("_class").alias("class"), F.col("_k").alias("key"))
+
+
+def contained_sets(members: DataFrame, key: str, member: str) -> DataFrame:
+    """(inner, outer): sets that lie inside a larger one, every pair of them.
+    Equal sets are compared once (see ``contained_classes``)."""
+    pairs, sets = contained_classes(members, key, member)
+    side = lambda s: sets.select(F.col("class").alias(s), F.col("key").alias(f"_{s}"))
+    return pairs.join(side("inner"), "inner").join(side("outer"), "outer").select(F.col("_inner").alias("inner"), F.col("_outer").alias("outer"))
