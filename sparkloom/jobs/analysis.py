@@ -240,8 +240,9 @@ def clade_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dominant_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, paths = _with_suppliers(spark, sf_dir)
     closure = trees.leaf_closure(nodes, paths)
-    seg = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("nation"), F.col("c_mktsegment").alias("label"))
-    labels = nodes.where(F.col("node").startswith("s")).select(F.col("node").alias("leaf"), F.col("parent").alias("nation")).join(seg, "nation").select("leaf", "label")
+    # counted before they meet the suppliers: a nation has as many pairs as both multiplied
+    seg = table(spark, sf_dir, "customer").groupBy(F.concat(F.lit("n"), "c_nationkey").alias("nation"), F.col("c_mktsegment").alias("label")).agg(F.count("*").alias("n"))
+    labels = nodes.where(F.col("node").startswith("s")).select(F.col("node").alias("leaf"), F.col("parent").alias("nation")).join(seg, "nation").select("leaf", "label", "n")
     return trees.dominant(closure.where(~F.col("node").startswith("s")), labels, "MACHINERY")
 
 

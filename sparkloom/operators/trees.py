@@ -144,8 +144,10 @@ def nearest_with(paths: DataFrame, holders: DataFrame, key: str = "node", value:
 
 def dominant(closure: DataFrame, labels: DataFrame, unknown: str = "Unknown") -> DataFrame:
     """(node, label, n): the commonest label (leaf, label) among a node's
-    leaves, ``unknown`` and null left out; of ties the first by name."""
-    n = closure.join(labels.where(F.col("label").isNotNull() & (F.col("label") != unknown)), "leaf").groupBy("node", "label").agg(F.count("*").alias("n"))
+    leaves, ``unknown`` and null left out; of ties the first by name. With a
+    column ``n`` in ``labels`` a row counts so many times."""
+    n = F.sum("n") if "n" in labels.columns else F.count("*")
+    n = closure.join(labels.where(F.col("label").isNotNull() & (F.col("label") != unknown)), "leaf").groupBy("node", "label").agg(n.alias("n"))
     return n.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("_"), "label", "n")).alias("b")).select("node", "b.label", "b.n")
 
 
