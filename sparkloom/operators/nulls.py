@@ -7,6 +7,8 @@ that grows with the rows is counted per value before it is summed.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
@@ -22,44 +24,80 @@ def _counts(rows: DataFrame, stat: str, by: list[str]) -> DataFrame:
     return rows.where(F.col(stat).isNotNull() & ~F.isnan(F.col(stat).cast("double"))).groupBy(*by, F.col(stat).cast("double").alias("t")).agg(F.count("*").alias("n"))
 
 
+#: Counts of points and replicates held at once in a task.
+BLOCK = 4_000_000
+
+
 def sweep(observed: DataFrame, null: DataFrame, stat: str, replicate: str = "replicate", share: float = 0.9) -> DataFrame:
     """(t, n_observed, n_null, fdp_mean, fdp) at every distinct observed
     statistic: observed and null counts at or above it, the mean over
     replicates of the share of false ones, and its quantile ``share``.
 
-    The replicates' counts are step functions of t: only where a replicate
-    has values do they change. For each t the number of replicates is small
-    (R), the grid is split into ranges, and each replicate's running count
-    comes from its own counts in the range and a total of the ranges above.
-    Replicates without any statistic count as zeros; without replicates, or
-    without observed statistics, the table is empty."""
+    The grid is split into ranges. Each takes the observed values and the
+    counted null ones inside it and each replicate's total of the ranges
+    above, so no row is made for a value and a replicate: a range works out
+    its replicates' counts for a block of values at a time. Replicates
+    without any statistic count as zeros; without replicates, or without
+    observed statistics, the table is empty."""
     grid = _counts(observed, stat, [])
     down = grid.withColumn("_d", -F.col("t"))
-    obs = ranks.running_sums(down, "_d", ["n"]).select("t", F.col("n_upto").alias("n_observed"))
-    reps = null.select(F.col(replicate).alias("r")).where("r is not null").distinct()
-    cells = _counts(null.where(F.col(replicate).isNotNull()), stat, [replicate]).withColumnRenamed(replicate, "r")
-    grid, cells = materialize(grid), materialize(cells)
-    edges = grid.agg(F.percentile_approx("t", ranks.range_shares(grid.count() + cells.count()), 10_000).alias("_e"))
-    at = lambda df: df.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_e", lambda e: e <= F.col("t")))).drop("_e")
+    obs = materialize(ranks.running_sums(down, "_d", ["n"]).select("t", F.col("n_upto").alias("n_observed")))
+    reps = null.select(F.col(replicate).cast("string").alias("r")).where("r is not null").distinct()
+    cells = materialize(_counts(null.where(F.col(replicate).isNotNull()), stat, [replicate]).select(F.col(replicate).cast("string").alias("r"), "t", "n"))
+    edges = obs.agg(F.percentile_approx("t", ranks.range_shares(obs.count() + cells.count()), 10_000).alias("_e"))
+    at = lambda df: df.crossJoin(F.broadcast(edges)).withColumn("_range", ranks.below(F.col("t"), F.col("_e"), equal=True)).drop("_e")
     # a null value counts for all grid points of its range at or below it, and for all lower ranges
     cells, points = at(cells), at(obs)
     part = cells.groupBy("r", "_range").agg(F.sum("n").alias("_n"))
     frame = points.select("_range").distinct().crossJoin(F.broadcast(reps)).unionByName(part.select("_range", "r")).distinct().join(part, ["r", "_range"], "left").na.fill(0, ["_n"])
     above = Window.partitionBy("r").orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    frame = frame.select("r", "_range", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"))
-    both = points.select("_range", "t", "n_observed").join(frame, "_range").select("_range", "r", "t", "n_observed", "_above", F.lit(0).alias("n"))
-    both = both.unionByName(cells.select("_range", "r", "t", F.lit(None).cast("long").alias("n_observed"), F.lit(0).cast("long").alias("_above"), "n"))
-    here = Window.partitionBy("r", "_range").orderBy(F.desc("t")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    v = both.withColumn("v", F.sum("n").over(here)).where("n_observed is not null").select("t", "n_observed", (F.col("v") + F.col("_above")).alias("v"))
-    ratio = F.col("v") / F.greatest(F.col("n_observed"), F.lit(1))
-    return v.groupBy("t").agg(F.max("n_observed").alias("n_observed"), F.sum("v").alias("n_null"), (F.sum("v").cast("double") / F.count("*") / F.greatest(F.max("n_observed"), F.lit(1))).alias("fdp_mean"), F.percentile(ratio, share).alias("fdp"))
+    frame = frame.select("_range", "r", F.lit(None).cast("double").alias("t"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("n"), F.lit(None).cast("long").alias("n_observed"))
+    both = frame.unionByName(cells.select("_range", "r", "t", "n", F.lit(None).cast("long").alias("n_observed")))
+    both = both.unionByName(points.select("_range", F.lit(None).cast("string").alias("r"), "t", F.lit(None).cast("long").alias("n"), "n_observed"))
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        is_point = part["n_observed"].notna().to_numpy()
+        points, own = part[is_point], part[~is_point]
+        base, held = own[own["t"].isna()], own[own["t"].notna()]
+        place = {r: i for i, r in enumerate(base["r"])}
+        upper, which = base["n"].to_numpy(np.int64), held["r"].map(place).to_numpy(np.int64)
+        ts, ns = held["t"].to_numpy(float), held["n"].to_numpy(np.int64)
+        order = np.argsort(ts, kind="stable")
+        steps = []
+        for i in range(len(upper)):
+            mine = order[which[order] == i]
+            steps.append((ts[mine], np.concatenate((np.cumsum(ns[mine][::-1])[::-1], [0])) + upper[i]))
+        t, n = points["t"].to_numpy(float), points["n_observed"].to_numpy(np.int64)
+        total, fdp = np.zeros(len(t), np.int64), np.zeros(len(t))
+        size = max(1, BLOCK // max(1, len(upper)))
+        for a in range(0, len(t), size) if steps else ():
+            v = np.stack([c[np.searchsorted(x, t[a : a + size])] for x, c in steps])
+            total[a : a + size] = v.sum(axis=0)
+            v = np.sort(v / np.maximum(n[a : a + size], 1), axis=0)
+            # linear between neighbours, as Spark's percentile
+            rank = (len(v) - 1) * share
+            lo, hi = int(np.floor(rank)), int(np.ceil(rank))
+            fdp[a : a + size] = v[lo] if lo == hi else (hi - rank) * v[lo] + (rank - lo) * v[hi]
+        out = pd.DataFrame({"t": t, "n_observed": n, "n_null": total, "fdp_mean": total / max(1, len(upper)) / np.maximum(n, 1), "fdp": fdp})
+        return out if steps else out[:0]
+
+    return both.groupBy("_range").applyInPandas(work, "t double, n_observed long, n_null long, fdp_mean double, fdp double")
 
 
 def threshold_at(swept: DataFrame, targets: DataFrame, q: str = "q") -> DataFrame:
     """(q, threshold, n_calls, fdp): the least t of ``sweep`` whose false
-    share is at most q; null where none is, which is a result of its own."""
-    best = targets.select(q).distinct().join(swept, F.col("fdp") <= F.col(q), "left")
-    return best.groupBy(q).agg(F.min("t").alias("threshold"), F.min_by("n_observed", "t").alias("n_calls"), F.min_by(swept["fdp"], "t").alias("fdp"))
+    share is at most q; null where none is, which is a result of its own.
+
+    Each row of ``swept`` counts for the least target that it meets, which
+    leaves one row a target; larger targets take over from smaller ones."""
+    goals = targets.select(q).distinct()
+    lists = goals.where(F.col(q).isNotNull()).agg(F.array_sort(F.collect_list(F.col(q).cast("double"))).alias("_qs"))
+    met = swept.crossJoin(F.broadcast(lists)).withColumn("_k", F.size(F.filter("_qs", lambda x: x < F.col("fdp")))).where(F.col("_k") < F.size("_qs"))
+    first = met.groupBy("_k").agg(F.min(F.struct("t", "n_observed", "fdp")).alias("_b"))
+    at = goals.crossJoin(F.broadcast(lists)).withColumn("_k", F.array_position("_qs", F.col(q).cast("double")) - 1).select(q, "_k").join(first, "_k", "left")
+    best = F.min("_b").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = at.withColumn("_b", F.when(F.col(q).isNotNull(), best))
+    return found.select(q, F.col("_b.t").alias("threshold"), F.col("_b.n_observed").alias("n_calls"), F.col("_b.fdp").alias("fdp"))
 
 
 def exceedances(null: DataFrame, stat: str, thresholds: DataFrame, replicate: str = "replicate") -> DataFrame:
