@@ -83,17 +83,19 @@ def align(a: str, b: str, scores: tuple[float, float, float, float] = (MATCH, MI
 
 def aligned(pairs: DataFrame, a: str = "a", b: str = "b", scores: tuple[float, float, float, float] = (MATCH, MISMATCH, OPEN, EXTEND)) -> DataFrame:
     """``pairs`` with ``score`` and ``blocks`` of the texts in ``a`` and ``b``;
-    a null text is empty. A row is as heavy as both lengths multiplied."""
+    a null text is empty. A row is as heavy as both lengths multiplied, rows
+    with the same two texts are aligned once."""
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             found = [align(p or "", q or "", scores) for p, q in zip(part["_a"], part["_b"], strict=True)]
-            yield part.assign(score=[s for s, _ in found], blocks=[[dict(zip(("a", "b", "n"), x)) for x in z] for _, z in found]).drop(columns=["_a", "_b"])
+            yield part.assign(score=[s for s, _ in found], blocks=[[dict(zip(("a", "b", "n"), x)) for x in z] for _, z in found])
 
-    # Python sees a number and two texts, other columns stay where they are
-    keyed = materialize(pairs.withColumn("_id", F.monotonically_increasing_id()))
-    got = keyed.select("_id", F.col(a).alias("_a"), F.col(b).alias("_b")).mapInPandas(work, "_id long, score double, blocks array<struct<a: int, b: int, n: int>>")
-    return keyed.join(got, "_id").drop("_id")
+    # equal pairs of texts are aligned once; other columns stay where they are
+    keyed = materialize(pairs.withColumns({"_a": F.coalesce(a, F.lit("")), "_b": F.coalesce(b, F.lit(""))}))
+    two = keyed.select("_a", "_b").distinct()
+    got = materialize(two.mapInPandas(work, "_a string, _b string, score double, blocks array<struct<a: int, b: int, n: int>>"))
+    return keyed.join(got, ["_a", "_b"]).select(*(c for c in pairs.columns), "score", "blocks")
 
 
 def representative(records: DataFrame, chain: str, accessions: list[str] | None = None, least: float = 0.4, place: str = "place") -> DataFrame:
