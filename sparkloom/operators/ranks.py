@@ -7,6 +7,8 @@ task orders more than a range, however many rows a group has.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
@@ -21,6 +23,16 @@ def range_shares(rows: int, ranges: int = RANGES) -> list[float]:
     return [i / n for i in range(1, n)]
 
 
+def below(value: Column, edges: Column, most: int = RANGES, equal: bool = False) -> Column:
+    """How many of at most ``most`` sorted edges are below the value, or, with
+    ``equal``, not above it. First the block of edges, then the place in it,
+    by plain comparisons: two roots of their number, none of them a lambda."""
+    step = max(2, math.isqrt(max(1, most) - 1) + 1)
+    less = lambda i: F.coalesce((F.get(edges, i) <= value) if equal else (F.get(edges, i) < value), F.lit(False)).cast("int")
+    block = sum((less(F.lit(step * j - 1)) for j in range(1, step)), F.lit(0)) * step
+    return block + sum((less(block + i) for i in range(step)), F.lit(0))
+
+
 def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
     """``counts`` with ``<sum>_upto`` for each of ``sums``: the sum over rows
     of the same group with this value or a smaller one.
@@ -32,30 +44,30 @@ def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] |
     by = by or []
     counts = materialize(counts.where(F.col(value).isNotNull()))
     edges = counts.agg(F.percentile_approx(value, range_shares(counts.count(), ranges), 10_000).alias("_edges"))
-    rows = counts.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    part = rows.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    rows = counts.crossJoin(F.broadcast(edges)).withColumn("_range", below(F.col(value), F.col("_edges"), ranges)).drop("_edges")
+    part = rows.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_all_{c}") for c in sums))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     keys = [*by, "_range"]
-    part = part.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(keys)), *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums))
+    part = part.select(*(F.col(c).alias(f"_part{i}") for i, c in enumerate(keys)), *(F.coalesce(F.sum(f"_all_{c}").over(before), F.lit(0)).alias(f"_all_{c}") for c in sums))
     inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in sums})
-    joined = rows.join(part, _same(keys))
-    return joined.select(*counts.columns, *((F.col(f"_in_{c}") + F.col(f"_{c}")).alias(f"{c}_upto") for c in sums))
+    joined = rows.join(part, _same(keys, "_part"))
+    return joined.select(*counts.columns, *((F.col(f"_in_{c}") + F.col(f"_all_{c}")).alias(f"{c}_upto") for c in sums))
 
 
-def _same(keys: list[str]) -> Column:
+def _same(keys: list[str], other: str = "_key") -> Column:
     """Columns equal to _key0, _key1, ...; a null group meets itself."""
     out = F.lit(True)
     for i, c in enumerate(keys):
-        out = out & F.col(c).eqNullSafe(F.col(f"_key{i}"))
+        out = out & F.col(c).eqNullSafe(F.col(f"{other}{i}"))
     return out
 
 
 def joined(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     """``left`` with the other columns of ``right``, one row for each of its
     groups ``by``; a null group meets itself. Spark chooses how to join."""
-    keyed = right.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(by)), *(c for c in right.columns if c not in by))
-    return left.join(keyed, _same(by)).drop(*(f"_key{i}" for i in range(len(by))))
+    keyed = right.select(*(F.col(c).alias(f"_joined{i}") for i, c in enumerate(by)), *(c for c in right.columns if c not in by))
+    return left.join(keyed, _same(by, "_joined")).drop(*(f"_joined{i}" for i in range(len(by))))
 
 
 #: Plotting positions (alpha, beta) of the methods that go linearly between ranks.
@@ -84,27 +96,42 @@ def quantile_rank(share: Column, total: Column, method: str = "linear") -> Colum
     return F.least(F.greatest(rank.cast("double"), F.lit(0.0)), (total - 1).cast("double"))
 
 
+#: Cells of equal width that a group's values are counted in.
+CELLS = 4096
+
+
 def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, weight: str | None = None, method: str = "linear") -> DataFrame:
     """(by, share, percentile, n): exact, by default linear between
     neighbours (see ``quantile_rank``); rows count ``weight`` times.
 
-    Nulls are left out; a group without values has no row. Values are counted
-    first, so a group with most rows is no larger than its distinct values,
-    and even these are spread over ranges.
+    Nulls are left out; a group without values has no row. A group's values
+    are first counted in cells of equal width between its least and its
+    greatest one, and only the values of cells that hold a wanted rank are
+    shuffled and ordered, by running sums, as a cell may hold nearly all.
     """
     by = by or []
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
-    upto = materialize(running_sums(counts, value, ["n"], by))
-    total = upto.groupBy(*by).agg(F.max("n_upto").alias("_total")) if by else upto.agg(F.max("n_upto").alias("_total"))
-    # the value of rank r (from 0) is the least one with n_upto > r
-    wanted = total.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("_rank", quantile_rank(F.col("share"), F.col("_total"), method))
-    wanted = wanted.where("_total > 0").withColumn("_lo", F.floor("_rank")).withColumn("_hi", F.ceil("_rank"))
-    wanted = wanted.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(by)), "share", "_total", "_rank", "_lo", "_hi")
-    first = F.col("n_upto") - F.col("n")
-    near = upto.join(wanted, _same(by) & (first <= F.col("_hi")) & (F.col("n_upto") > F.col("_lo")))
-    ends = near.groupBy(*by, "share", "_total", "_rank", "_lo").agg(F.min(value).alias("_a"), F.max(value).alias("_b"))
+    keys = [f"_key{i}" for i in range(len(by))]
+    rows = df.where(F.col(value).isNotNull()).select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(value).alias("_v"), (F.col(weight) if weight else F.lit(1).cast("long")).alias("_n"))
+    groups = materialize(rows.groupBy(*keys).agg(F.min("_v").cast("double").alias("_least"), F.max("_v").cast("double").alias("_most"), F.sum("_n").alias("_total")).where("_total > 0"))
+    ends = groups.select(*keys, "_least", (F.col("_most") - F.col("_least")).alias("_width"))
+    rows = joined(rows, ends, keys) if keys else rows.crossJoin(F.broadcast(ends))
+    # the same value is in the same cell, a larger one in no lower cell; without a finite width all are in one
+    cell = F.when((F.col("_width") > 0) & (F.col("_width") < float("inf")), F.floor((F.col("_v").cast("double") - F.col("_least")) / F.col("_width") * CELLS)).otherwise(0)
+    rows = rows.select(*keys, "_v", "_n", cell.alias("_cell"))
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = materialize(rows.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_in"))).withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    wanted = groups.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("_rank", quantile_rank(F.col("share"), F.col("_total"), method))
+    wanted = wanted.withColumn("_lo", F.floor("_rank")).withColumn("_hi", F.ceil("_rank"))
+    wanted = wanted.select(*(F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)), "share", "_total", "_rank", "_lo", "_hi")
+    same = _same(keys, "_of")
+    held = materialize(cells.join(wanted, same & (F.col("_before") <= F.col("_hi")) & (F.col("_before") + F.col("_in") > F.col("_lo"))).select(*keys, "_cell", "_before").distinct())
+    some = joined(rows, held, [*keys, "_cell"]).groupBy(*keys, "_cell", "_before", "_v").agg(F.sum("_n").alias("_n"))
+    upto = running_sums(some, "_v", ["_n"], [*keys, "_cell"]).withColumn("_upto", F.col("_before") + F.col("_n_upto"))
+    # the value of rank r (from 0) is the least one with _upto > r
+    near = upto.join(wanted, same & (F.col("_upto") - F.col("_n") <= F.col("_hi")) & (F.col("_upto") > F.col("_lo")))
+    ends = near.groupBy(*keys, "share", "_total", "_rank", "_lo").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
     at = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.col("_lo"))
-    return ends.select(*by, "share", at.cast("double").alias("percentile"), F.col("_total").alias("n"))
+    return ends.select(*(F.col(k).alias(c) for c, k in zip(by, keys, strict=True)), "share", at.cast("double").alias("percentile"), F.col("_total").alias("n"))
 
 
 def as_of(left: DataFrame, right: DataFrame, x: str, at: str, by: list[str] | None = None, strict: bool = False, name: str = "found") -> DataFrame:
@@ -124,7 +151,7 @@ def as_of(left: DataFrame, right: DataFrame, x: str, at: str, by: list[str] | No
     b = right.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("double").alias("_x"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left.schema.simpleString()).alias("_l"), F.struct(*right.columns).alias("_r"))
     both = materialize(a.unionByName(b))
     edges = both.agg(F.percentile_approx("_x", range_shares(both.count()), 10_000).alias("_edges"))
-    rows = both.crossJoin(F.broadcast(edges)).withColumn("_range", F.when(F.col("_x").isNotNull(), F.size(F.filter("_edges", lambda e: e < F.col("_x"))))).drop("_edges")
+    rows = both.crossJoin(F.broadcast(edges)).withColumn("_range", F.when(F.col("_x").isNotNull(), below(F.col("_x"), F.col("_edges")))).drop("_edges")
     groups = [f"_g{i}" for i in range(len(by))]
     here = Window.partitionBy(*groups, "_range").orderBy("_x", "_side", "_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_here", F.last("_r", ignorenulls=True).over(here))

@@ -38,12 +38,11 @@ def bin_of(value: Column, edges: Column) -> Column:
 
 def bin_thresholds(branches: DataFrame, edges: DataFrame, share: float, event: str = "event_type") -> DataFrame:
     """(event, bin, threshold, n): percentile of the score inside each clade
-    bin, by event and overall ('overall'). Scores are counted by event and
-    bin before they are doubled; no group's values are held in one place."""
+    bin, by event and overall ('overall'); no group's values are held in one
+    place, and few of them are shuffled."""
     binned = branches.crossJoin(F.broadcast(edges)).withColumn("bin", bin_of(F.col("clade"), F.col("edges")))
-    counts = binned.where("score is not null").groupBy("bin", "score", event).agg(F.count("*").alias("n"))
-    rows = counts.select("bin", "score", "n", F.explode(F.array(F.col(event), F.lit("overall"))).alias(event))
-    out = ranks.percentiles(rows, "score", [share], [event, "bin"], "n")
+    rows = binned.select("bin", "score", F.explode(F.array(F.col(event), F.lit("overall"))).alias(event))
+    out = ranks.percentiles(rows, "score", [share], [event, "bin"])
     return out.select(event, "bin", F.col("percentile").alias("threshold"), "n")
 
 

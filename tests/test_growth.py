@@ -2,11 +2,14 @@
 
 import random
 
-from sparkloom.operators import covers, residues
+import numpy as np
+from pyspark.sql import functions as F
 
+from sparkloom.operators import covers, nulls, ranks, residues, structures, trees
 
-def shuffled(spark, work):
-    """Rows written to shuffles by ``work``, none of them broadcast."""
+
+def shuffled(spark, work, broadcast=False):
+    """Rows written to shuffles by ``work``; none are broadcast unless allowed."""
     sc, jvm = spark.sparkContext, spark.sparkContext._jvm
     none = spark.sparkContext._gateway.new_array(jvm.double, 0)
 
@@ -15,7 +18,8 @@ def shuffled(spark, work):
         return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
     before = total()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    if not broadcast:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         work()
     finally:
@@ -38,3 +42,53 @@ def test_cover_verifies_few_candidates(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(c, m) for c in range(600) for m in rng.sample(range(40), rng.randint(8, 12))], "c int, m int")
     assert shuffled(spark, lambda: [x.count() for x in covers._contained(df, "c", "m")]) < 100_000
+
+
+def test_percentiles_shuffle_few_values(spark):
+    # values spread evenly, or one far away from all others
+    for far in (0.0, 1e12):
+        rows = spark.range(60_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 1.5 + F.when(F.col("id") == 7, far).otherwise(0)).alias("x")).localCheckpoint()
+        got = []
+        n = shuffled(spark, lambda: got.extend(ranks.percentiles(rows, "x", [0.25, 0.9], ["g"]).collect()), broadcast=True)  # noqa: B023
+        held = rows.toPandas()
+        want = {(g, s): float(np.quantile(x["x"], s)) for g, x in held.groupby("g") for s in (0.25, 0.9)}
+        assert {(r["g"], r["share"]): round(r["percentile"], 6) for r in got} == {k: round(v, 6) for k, v in want.items()}
+        assert far or n < 100_000
+
+
+def test_percentiles_of_endless_values(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (float("inf"),), (float("-inf"),)], "x double")
+    assert ranks.percentiles(df, "x", [0.5]).first()["percentile"] == 2.0
+
+
+def test_sweep_makes_no_row_for_a_value_and_a_replicate(spark):
+    seen = spark.range(2000).select((F.col("id") * 1.0).alias("s"))
+    null = spark.range(2000).select((F.col("id") * 1.0).alias("s"), (F.col("id") % 40).alias("replicate"))
+    got = []
+    n = shuffled(spark, lambda: got.extend(nulls.sweep(seen, null, "s").collect()))
+    assert len(got) == 2000 and n < 40_000
+    one = next(r for r in got if r["t"] == 1000.0)
+    assert (one["n_observed"], one["n_null"], round(one["fdp_mean"], 9)) == (1000, 1000, 0.025)
+
+
+def test_threshold_keeps_one_row_a_target(spark):
+    swept = spark.createDataFrame([(1.0, 9, 0.5), (2.0, 5, 0.2), (3.0, 2, 0.3)], "t double, n_observed long, fdp double")
+    goals = spark.createDataFrame([(0.1,), (0.2,), (0.35,), (0.5,), (None,)], "q double")
+    got = {r["q"]: tuple(r)[1:] for r in nulls.threshold_at(swept, goals).collect()}
+    assert got == {0.1: (None, None, None), 0.2: (2.0, 5, 0.2), 0.35: (2.0, 5, 0.2), 0.5: (1.0, 9, 0.5), None: (None, None, None)}
+
+
+def test_counted_labels(spark):
+    closure = spark.createDataFrame([("r", "a"), ("r", "b")], "node string, leaf string")
+    labels = spark.createDataFrame([("a", "x", 3), ("b", "y", 2), ("b", "x", 1), ("b", "Unknown", 9)], "leaf string, label string, n long")
+    assert [tuple(r) for r in trees.dominant(closure, labels).collect()] == [("r", "x", 4)]
+
+
+def test_equal_pairs_are_aligned_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, "ACGTA" * (1 + i % 2), None if i % 3 == 0 else "ACTA") for i in range(600)], "i int, a string, b string")
+    handed, plain = spark.sparkContext.accumulator(0), structures.align
+    got = structures.aligned(df)
+    assert sorted((r["i"], r["score"]) for r in got.collect()) == [(r["i"], plain(r["a"], r["b"] or "")[0]) for r in df.orderBy("i").collect()]
+    monkeypatch.setattr(structures, "align", lambda a, b, scores: (handed.add(1), (0.0, []))[1])
+    structures.aligned(df).count()
+    assert handed.value == 4
