@@ -77,7 +77,7 @@ def species_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where(~F.col("o_orderpriority").startswith("5"))
     names = orders.select(F.concat(F.lit("order "), "o_orderkey").alias("name"), F.col("o_orderkey").alias("id"))
     seen = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("id"))
-    number = F.substring("node", 2, 20).cast("long") * 8 + F.instr(F.lit("rnco"), F.substring("node", 1, 1))
+    number = F.substring("node", 2, 20).try_cast("long") * 8 + F.instr(F.lit("rnco"), F.substring("node", 1, 1))
     return rooting.species_tree(_tree(spark, sf_dir), seen, names, order=number)
 
 

@@ -77,7 +77,8 @@ def resolved(nodes: DataFrame, order: Column | None = None) -> DataFrame:
     <node>/2, <node>/3, ... have branches of length 0. Their places are those
     of a heap, so they follow from each child's number alone."""
     order = F.xxhash64("node") if order is None else order
-    kids = nodes.where("parent is not null").select("parent", "node", order.alias("_order"), F.lit(1).alias("n"))
+    # a root has no place in the order, and Spark may compute it before the filter
+    kids = nodes.where("parent is not null").select("parent", "node", F.when(F.col("parent").isNotNull(), order).alias("_order"), F.lit(1).alias("n"))
     wide = materialize(kids.groupBy("parent").agg(F.count("*").alias("k")).where("k > 2"))
     placed = ranks.running_sums(kids.join(wide, "parent", "left_semi"), "_order", ["n"], ["parent"])
     placed = materialize(placed.join(wide, "parent").select(F.col("parent").alias("_over"), "node", "k", (F.col("n_upto") - 1).alias("_r")))

@@ -4,8 +4,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.operators import rooting
+from sparkloom.session import materialize
 
 SCHEMA = "node string, parent string, length double"
 
@@ -122,3 +124,11 @@ def test_species_tree(spark):
         rooting.species_tree(nodes, seen(562), names)
     with pytest.raises(ValueError, match="fewer than two"):
         rooting.species_tree(nodes, seen(), names, taxonomy)
+
+
+def test_order_is_not_asked_of_roots(spark):
+    # the root in one file with others, so that no statistics of a file leave it out
+    rows = spark.createDataFrame([("root", None, None), *((f"n{i}", "root", 1.0) for i in range(5))], SCHEMA).coalesce(1)
+    got = collected(rooting.resolved(materialize(rows), F.substring("node", 2, 9).cast("long")))
+    places = {"n0": "root/2", "n1": "root/3", "n2": "root/3", "n3": "root/4", "n4": "root/4", "root": None, "root/2": "root", "root/3": "root", "root/4": "root/2"}
+    assert {a: b for a, b, _ in got} == places
