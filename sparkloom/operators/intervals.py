@@ -20,9 +20,7 @@ def levels(nodes: DataFrame) -> DataFrame:
     """(node, depth, distance) from the root: branches and their lengths, a
     null one 0. A cycle is an error."""
     start = nodes.select("node", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("int").alias("depth"), F.when(F.col("parent").isNotNull(), F.coalesce(F.col("length").cast("double"), F.lit(0.0))).otherwise(0.0).alias("distance"))
-    for _, now in _jumps(start, {"depth": F.col("depth") + F.col("_depth"), "distance": F.col("distance") + F.col("_distance")}):
-        pass
-    return now.select("node", "depth", "distance")
+    return _followed(start, {"depth": F.col("depth") + F.col("_depth"), "distance": F.col("distance") + F.col("_distance")}).select("node", "depth", "distance")
 
 
 def _jumps(start: DataFrame, sums: dict[str, Column], keys: tuple[str, ...] = ("node",), to: tuple[str, ...] = ("up",)):
@@ -37,13 +35,36 @@ def _jumps(start: DataFrame, sums: dict[str, Column], keys: tuple[str, ...] = ("
         left = now.where(F.col(to[0]).isNotNull())
         if left.isEmpty():
             return
-        other = now.select(*(F.col(c).alias(f"_{c}") for c in now.columns))
-        on = [F.col(a) == F.col(f"_{b}") for a, b in zip(to, keys, strict=True)]
-        moved = left.join(other, on).select(*(sums[c].alias(c) if c in sums else F.col(f"_{c}").alias(c) if c in to else F.col(c) for c in now.columns))
-        now = materialize(now.where(F.col(to[0]).isNull()).unionByName(moved))
+        now = materialize(now.where(F.col(to[0]).isNull()).unionByName(_moved(left, now, sums, keys, to)))
     raise ValueError("the tree has a cycle")
 
 
+def _inner_and_outer(start: DataFrame, keys: tuple[str, ...] = ("node",), to: tuple[str, ...] = ("up",)) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``start`` that others point to, and the rest, which is
+    most of a tree."""
+    shown = start.where(F.col(to[0]).isNotNull()).select(*(F.col(a).alias(f"_{b}") for a, b in zip(to, keys, strict=True))).distinct().withColumn("_shown", F.lit(True))
+    flagged = materialize(start.join(shown, [F.col(b) == F.col(f"_{b}") for b in keys], "left").select(*start.columns, F.coalesce("_shown", F.lit(False)).alias("_shown")))
+    return flagged.where("_shown").drop("_shown"), flagged.where("not _shown").drop("_shown")
+
+
+def _moved(left: DataFrame, now: DataFrame, sums: dict[str, Column], keys: tuple[str, ...] = ("node",), to: tuple[str, ...] = ("up",)) -> DataFrame:
+    """``left`` with every pointer moved on to where its row in ``now`` points."""
+    other = now.select(*(F.col(c).alias(f"_{c}") for c in now.columns))
+    on = [F.col(a) == F.col(f"_{b}") for a, b in zip(to, keys, strict=True)]
+    return left.join(other, on).select(*(sums[c].alias(c) if c in sums else F.col(f"_{c}").alias(c) if c in to else F.col(c) for c in left.columns))
+
+
+def _followed(start: DataFrame, sums: dict[str, Column], keys: tuple[str, ...] = ("node",), to: tuple[str, ...] = ("up",)) -> DataFrame:
+    """``start`` with all pointers followed to the end, as the last table of
+    ``_jumps``. Only rows that others point to take the jumps; the rest joins
+    them once, at the end."""
+    inner, outer = _inner_and_outer(start, keys, to)
+    for _, now in _jumps(inner, sums, keys, to):
+        pass
+    points = F.col(to[0]).isNotNull()
+    return materialize(now.unionByName(outer.where(~points)).unionByName(_moved(outer.where(points), now, sums, keys, to)))
+
+
 def nearest(nodes: DataFrame, marked: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, node, found, steps): the nearest marked node above or equal to
     each node, and how far up; null where none is. ``marked``: (by, node).
@@ -58,8 +79,7 @@ def nearest(nodes: DataFrame, marked: DataFrame, by: list[str] | None = None) ->
     # a marked node, and a root without a mark, point nowhere
     start = start.select(*by, "node", F.when(F.col("_marked").isNull(), F.col("parent")).alias("up"), F.when(F.col("_marked"), F.col("node")).alias("found"), F.when(F.col("_marked").isNull() & F.col("parent").isNotNull(), 1).otherwise(0).alias("steps"))
     sums = {"found": F.col("_found"), "steps": F.col("steps") + F.col("_steps")}
-    for _, now in _jumps(start, sums, ("node", *by), ("up", *by)):
-        pass
+    now = _followed(start, sums, ("node", *by), ("up", *by))
     return now.select(*by, "node", "found", F.when(F.col("found").isNotNull(), F.col("steps")).alias("steps"))
 
 

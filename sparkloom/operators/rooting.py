@@ -19,26 +19,32 @@ def _length(c: str = "length") -> Column:
 
 
 def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """(node, depth, distance, root) and, for each power of two up to the
-    depth, a table (node, up) of the nodes so many steps above. A parent that
-    is no node is an error."""
-    lost = nodes.where("parent is not null").join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti")
-    if not lost.isEmpty():
+    """(node, parent, length, depth, distance, root, leaf) and tables (node,
+    up): every node with its parent, then, for each power of two up to the
+    depth, those that are parents with the node so many steps above. A parent
+    that is no node is an error."""
+    parents = materialize(nodes.where("parent is not null").select(F.col("parent").alias("node")).distinct())
+    if not parents.join(nodes.select("node"), "node", "left_anti").isEmpty():
         raise ValueError("a parent is not in the table of nodes")
     below = F.col("parent").isNotNull()
-    start = nodes.select("node", F.col("parent").alias("up"), below.cast("int").alias("depth"), F.when(below, _length()).otherwise(0.0).alias("distance"), F.coalesce("parent", "node").alias("root"))
+    start = nodes.select("node", "parent", _length().alias("length"), F.col("parent").alias("up"), below.cast("int").alias("depth"), F.when(below, _length()).otherwise(0.0).alias("distance"), F.coalesce("parent", "node").alias("root"))
+    start = materialize(start.join(parents.withColumn("_in", F.lit(True)), "node", "left").withColumn("leaf", F.col("_in").isNull()).drop("_in"))
     sums = {"depth": F.col("depth") + F.col("_depth"), "distance": F.col("distance") + F.col("_distance"), "root": F.col("_root")}
-    tables = [t for _, t in intervals._jumps(start, sums)]
-    return tables[-1].drop("up"), [t.select("node", "up").where("up is not null") for t in tables[:-1]]
+    inner, points = start.where("not leaf"), F.col("up").isNotNull()
+    tables = [t for _, t in intervals._jumps(inner, sums)]
+    tips = start.where("leaf")
+    deep = tables[-1].unionByName(tips.where(~points)).unionByName(intervals._moved(tips.where(points), tables[-1], sums))
+    return materialize(deep.drop("up")), [start.where(points).select("node", "up"), *(t.select("node", "up").where(points) for t in tables[:-1])]
 
 
 def _above(some: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """(node): ``some`` nodes and all above them, each once."""
-    reached = materialize(some.select("node").distinct())
-    for table in tables:
+    """(node): ``some`` nodes and all above them, each once. ``tables`` as of
+    ``_climb``: only what is above takes the jumps."""
+    reached = materialize(some.select("node").join(tables[0], "node").select(F.col("up").alias("node")).distinct())
+    for table in tables[1:]:
         higher = reached.join(table, "node").select(F.col("up").alias("node"))
         reached = materialize(reached.union(higher).distinct())
-    return reached
+    return materialize(some.select("node").union(reached).distinct())
 
 
 def _onto(nodes: DataFrame, stay: DataFrame) -> DataFrame:
@@ -48,8 +54,7 @@ def _onto(nodes: DataFrame, stay: DataFrame) -> DataFrame:
     rows = nodes.select("node", "parent", F.when(F.col("parent").isNotNull(), _length()).alias("length")).join(mark, "parent", "left")
     stays = F.coalesce("_stays", F.lit(False))
     start = rows.select("node", F.when(~stays, F.col("parent")).alias("up"), F.when(stays, F.col("parent")).alias("found"), "length")
-    for _, now in intervals._jumps(start, {"found": F.col("_found"), "length": F.col("length") + F.col("_length")}):
-        pass
+    now = intervals._followed(start, {"found": F.col("_found"), "length": F.col("length") + F.col("_length")})
     near = now.join(stay.select("node"), "node", "left_semi").select("node", F.col("found").alias("parent"), F.when(F.col("found").isNotNull(), F.col("length")).alias("length"))
     return nodes.drop("parent", "length").join(near, "node").select(*nodes.columns)
 
@@ -65,7 +70,7 @@ def pruned(nodes: DataFrame, keep: DataFrame) -> DataFrame:
     more children that are or have kept ones; lengths of passed nodes add up.
     As ``trees.pruned``, without paths; kept nodes may be inner ones."""
     kept = nodes.select("node").join(keep.select("node").distinct(), "node", "left_semi")
-    alive = nodes.join(_above(kept, _climb(nodes)[1]), "node", "left_semi")
+    alive = materialize(nodes.join(_above(kept, _climb(nodes)[1]), "node", "left_semi"))
     arms = alive.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n")).where("n > 1")
     return _onto(alive, materialize(arms.select("node").union(kept).distinct()))
 
@@ -122,6 +127,19 @@ def species_tree(nodes: DataFrame, observed: DataFrame, names: DataFrame | None
     return resolved(materialize(cut), order).join(kept.withColumnRenamed("id", "name"), "node", "left").select("node", "parent", "length", "name")
 
 
+def _leaving(deep: DataFrame, path: DataFrame) -> DataFrame:
+    """(node, farthest): for each node of ``path`` the greatest distance from
+    the root of those leaves whose nearest node on the path it is. Leaves are
+    counted by their parent before the jumps, which only inner nodes take."""
+    on = path.withColumn("_on", F.lit(True))
+    tips = deep.where("leaf").join(on, "node", "left").groupBy(F.when(F.col("_on"), F.col("node")).otherwise(F.col("parent")).alias("node"), F.col("_on").isNotNull().alias("here")).agg(F.max("distance").alias("farthest"))
+    tips = materialize(tips)
+    inner = deep.where("not leaf").join(on, "node", "left").select("node", F.when(F.col("_on").isNull(), F.col("parent")).alias("up"), F.when(F.col("_on"), F.col("node")).alias("found"))
+    found = intervals._followed(inner, {"found": F.col("_found")}).select("node", "found")
+    away = tips.where("not here").join(found, "node").select(F.col("found").alias("node"), "farthest")
+    return tips.where("here").select("node", "farthest").unionByName(away).groupBy("node").agg(F.max("farthest").alias("farthest"))
+
+
 def midpoint_rooted(nodes: DataFrame, suffix: str = "/mid") -> DataFrame:
     """Every tree rooted halfway along its longest path between two leaves.
 
@@ -135,21 +153,22 @@ def midpoint_rooted(nodes: DataFrame, suffix: str = "/mid") -> DataFrame:
     """
     if not nodes.where((F.col("length") < 0) & F.col("parent").isNotNull()).isEmpty():
         raise ValueError("a branch of negative length")
-    n_kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_kids"))
+    n_kids = materialize(nodes.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("n_kids")))
     if not nodes.where("parent is null").join(n_kids.where("n_kids = 1"), "node").isEmpty():
         return midpoint_rooted(materialize(without_unary(nodes)), suffix)
     deep, tables = _climb(nodes)
-    tips = deep.join(n_kids, "node", "left_anti")
-    end = materialize(tips.groupBy("root").agg(F.min(F.struct((-F.col("distance")).alias("d"), "node")).alias("e")).select("root", F.col("e.node").alias("node"), (-F.col("e.d")).alias("reach")))
-    path = _above(end, tables)
-    met = intervals.nearest(nodes, path).select("node", "found").join(tips, "node").join(deep.select(F.col("node").alias("found"), F.col("distance").alias("_shared")), "found")
-    span = met.join(end.select("root", "reach"), "root").groupBy("root", "reach").agg((F.max(F.col("reach") + F.col("distance") - 2 * F.col("_shared")) / 2).alias("half")).where("half > 0")
+    end = materialize(deep.where("leaf").groupBy("root").agg(F.min(F.struct((-F.col("distance")).alias("d"), "node")).alias("e")).select("root", F.col("e.node").alias("node"), (-F.col("e.d")).alias("reach")))
+    path = materialize(deep.join(_above(end, tables), "node", "left_semi"))
+    # the farthest leaf of those that leave the path at each of its nodes
+    farthest = materialize(_leaving(deep, path.select("node")))
+    met = farthest.join(path.select("node", "root", F.col("distance").alias("_shared")), "node")
+    span = met.join(end.select("root", "reach"), "root").groupBy("root", "reach").agg((F.max(F.col("reach") + F.col("farthest") - 2 * F.col("_shared")) / 2).alias("half")).where("half > 0")
     # the last node before the middle, going up from the end
-    walk = materialize(path.join(deep, "node").join(span, "root").withColumn("short", F.col("half") - (F.col("reach") - F.col("distance"))))
+    walk = materialize(path.join(span, "root").withColumn("short", F.col("half") - (F.col("reach") - F.col("distance"))))
     split = walk.where("short > 0").groupBy("root").agg(F.min_by(F.struct("node", "short", "depth"), "depth").alias("v")).select("root", "v.*")
-    cut = materialize(split.join(nodes.select("node", F.col("parent").alias("over"), _length().alias("length")), "node"))
+    cut = materialize(split.join(path.select("node", F.col("parent").alias("over"), "length"), "node"))
     top = F.concat("root", F.lit(suffix))
-    turned = walk.join(cut.select("root", F.col("depth").alias("_depth")), "root").where("depth < _depth and node <> root").join(nodes.select("node", "parent", _length().alias("length")), "node").select(F.col("parent").alias("node"), F.col("node").alias("_to"), F.col("length").alias("_length"))
+    turned = walk.join(cut.select("root", F.col("depth").alias("_depth")), "root").where("depth < _depth and node <> root").select(F.col("parent").alias("node"), F.col("node").alias("_to"), F.col("length").alias("_length"))
     moved = turned.unionByName(cut.select("node", top.alias("_to"), F.col("short").alias("_length"))).unionByName(cut.select(F.col("over").alias("node"), top.alias("_to"), (F.col("length") - F.col("short")).alias("_length")))
     moved = materialize(moved)
     gone = materialize(moved.join(cut.select(F.col("root").alias("node")), "node").join(n_kids.where("n_kids = 2"), "node").select("node", "_to", "_length"))
