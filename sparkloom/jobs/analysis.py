@@ -271,9 +271,8 @@ VOWELS = "AEIOU"
 def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, position, residue, n): letters of the whole texts by language,
     A to Z in either case, others as they are."""
-    c = columns.residue_counts(table(spark, sf_dir, "documents"), "lang", "text").where(F.col("residue").rlike(columns.LETTER))
-    letter = F.when(F.col("residue").between("a", "z"), F.upper("residue")).otherwise(F.col("residue"))
-    return materialize(c.groupBy(F.col("lang").alias("node"), "position", letter.alias("residue")).agg(F.sum("n").alias("n")))
+    letter = F.when(F.col("residue").rlike(columns.LETTER), F.when(F.col("residue").between("a", "z"), F.upper("residue")).otherwise(F.col("residue")))
+    return materialize(columns.residue_counts(table(spark, sf_dir, "documents"), "lang", "text", letter).withColumnRenamed("lang", "node"))
 
 
 def _matrix(spark: SparkSession) -> DataFrame:
@@ -292,8 +291,9 @@ def recent_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATES = f"{_LETTERS}, a AS (SELECT * FROM c WHERE position(residue IN '{scoring.ALPHABET}') > 0), t AS (SELECT node, position, sum(n) AS tot, arg_min(residue, (-n, residue)) AS state FROM a GROUP BY ALL), pr AS (SELECT a.node, a.position, a.residue, a.n / CAST(t.tot AS double) AS p FROM a JOIN t USING (node, position)), pairs AS (SELECT x.node AS l, y.node AS r FROM (SELECT DISTINCT node FROM t) x JOIN (SELECT DISTINCT node FROM t) y ON x.node < y.node), b AS (SELECT l, r, tl.position, tl.state AS al, tr.state AS ar FROM pairs JOIN t tl ON tl.node = l JOIN t tr ON tr.node = r AND tr.position = tl.position), e AS (SELECT b.*, CASE WHEN al = ar THEN 1 ELSE -1 END AS ac, (SELECT p FROM pr WHERE pr.node = r AND pr.position = b.position AND pr.residue = CASE WHEN al = ar THEN ar ELSE al END) AS ql, (SELECT p FROM pr WHERE pr.node = l AND pr.position = b.position AND pr.residue = CASE WHEN al = ar THEN al ELSE ar END) AS qr FROM b)"
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _alignment(spark, sf_dir).where(F.instr(F.lit(scoring.ALPHABET), F.col("residue")) > 0)
+def _states(counts: DataFrame) -> DataFrame:
+    """(node, position, state, probs) of an alignment's ``counts``."""
+    c = counts.where(F.instr(F.lit(scoring.ALPHABET), F.col("residue")) > 0)
     m = c.groupBy("node", "position").agg(F.sum("n").alias("t"), F.map_from_entries(F.collect_list(F.struct("residue", "n"))).alias("m"), F.min(F.struct((-F.col("n")).alias("_"), "residue")).alias("s"))
     probs = F.array(*(F.coalesce(F.try_element_at("m", F.lit(a)), F.lit(0)) / F.col("t") for a in scoring.ALPHABET))
     return materialize(m.select("node", "position", F.col("s.residue").alias("state"), probs.alias("probs")))
@@ -301,7 +301,7 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_STATES} SELECT l AS \"left\", r AS \"right\", position, al AS aa_left, ar AS aa_right, ac, round(CASE WHEN ac = 1 THEN coalesce(ql, 0) ELSE 1 - coalesce(ql, 0) END, 9) AS p_ac_left, round(CASE WHEN ac = 1 THEN coalesce(qr, 0) ELSE 1 - coalesce(qr, 0) END, 9) AS p_ac_right FROM e")
 def ancestral_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _states(spark, sf_dir)
+    s = _states(_alignment(spark, sf_dir))
     n = s.select("node").distinct()
     pairs = n.toDF("left").join(n.toDF("right"), F.col("left") < F.col("right"))
     none = s.select("node", "position").where("false").withColumn("rc", F.lit(0.0))
@@ -402,10 +402,11 @@ def motif_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residues.motif_hits(d, "sequence", MOTIF, 1)
 
 
-def _consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(node, position, letter): the most frequent letter by language."""
-    top = F.min_by("residue", F.struct(-F.col("n"), F.col("residue")))
-    return _alignment(spark, sf_dir).groupBy("node", "position").agg(top.alias("letter"))
+def _consensus(counts: DataFrame) -> DataFrame:
+    """(node, position, letter): the most frequent letter by language, of an
+    alignment's ``counts``."""
+    top = F.min(F.struct((-F.col("n")).alias("_"), "residue"))["residue"]
+    return counts.groupBy("node", "position").agg(top.alias("letter"))
 
 
 _IUPAC = "iu AS (SELECT * FROM (VALUES " + ", ".join(str(x) for x in residues.IUPAC.items()) + ") v(letter, allowed))"
@@ -413,7 +414,7 @@ _IUPAC = "iu AS (SELECT * FROM (VALUES " + ", ".join(str(x) for x in residues.IU
 
 @query(f"WITH {_LETTERS}, t AS (SELECT node, position, arg_min(residue, (-n, residue)) AS letter FROM c GROUP BY ALL), {_IUPAC}, w AS (SELECT node, position, unnest(['A', 'C', 'G', 'T']) AS base, coalesce(allowed, '') AS al FROM t LEFT JOIN iu USING (letter)), m AS (SELECT node, position, base, (CASE WHEN contains(al, base) THEN 1.0::double ELSE 0.1::double END) / (length(al) + (4 - length(al)) * 0.1::double) AS p FROM w) SELECT a.node AS motif_a, b.node AS motif_b, count(DISTINCT position) AS n, round(sqrt(sum((a.p - b.p) ** 2)) / count(DISTINCT position), 9) AS frobenius, round(sum((a.p - b.p) * (ln(a.p + 1e-10) - ln(b.p + 1e-10))) / 2 / count(DISTINCT position), 9) AS divergence FROM m a JOIN m b USING (position, base) WHERE a.node < b.node GROUP BY ALL")
 def motif_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = residues.matrix_distances(residues.weight_matrices(_consensus(spark, sf_dir), "node"), "node")
+    out = residues.matrix_distances(residues.weight_matrices(_consensus(_alignment(spark, sf_dir)), "node"), "node")
     return out.withColumns({c: F.round(c, 9) for c in ("frobenius", "divergence")})
 
 
@@ -423,7 +424,7 @@ _SCALES = "sc AS (SELECT * FROM (VALUES " + ", ".join(str((k, h, residues.CHARGE
 @query(f"WITH {_LETTERS}, t AS (SELECT node, position, arg_min(residue, (-n, residue)) AS a FROM c GROUP BY ALL), {_SCALES}, pr AS (SELECT t.node, t.position, t.a AS ancestral, c.residue AS target, c.n FROM t JOIN c USING (node, position)) SELECT node, position, ancestral, target, n, coalesce(round(sqrt(1.833::double * (x.gc::double - y.gc) ** 2 + 0.1018::double * (x.gp::double - y.gp) ** 2 + 0.000399::double * (x.gv::double - y.gv) ** 2) * 50.723::double), 0) AS distance, round(coalesce(y.q::double, 0) - coalesce(x.q::double, 0), 6) AS charge_shift, round(coalesce(y.h::double, 0) - coalesce(x.h::double, 0), 6) AS hydropathy_shift, round(coalesce(y.vol::double, 0) - coalesce(x.vol::double, 0), 6) AS volume_shift FROM pr LEFT JOIN sc x ON x.aa = ancestral LEFT JOIN sc y ON y.aa = target")
 def property_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _alignment(spark, sf_dir)
-    rows = a.join(_consensus(spark, sf_dir).withColumnRenamed("letter", "ancestral"), ["node", "position"]).withColumnRenamed("residue", "target")
+    rows = a.join(_consensus(a).withColumnRenamed("letter", "ancestral"), ["node", "position"]).withColumnRenamed("residue", "target")
     out = residues.annotate_shifts(rows, "ancestral", "target")
     return out.select("node", "position", "ancestral", "target", "n", "distance", *(F.round(f"{c}_shift", 6).alias(f"{c}_shift") for c in ("charge", "hydropathy", "volume")))
 

@@ -40,7 +40,8 @@ SELECT l AS "left", r AS "right", position, al AS aa_left, ar AS aa_right, ac, r
 def score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fact table of every two languages: conservation, agreement, its
     probability and the score of both sides at every place of the texts."""
-    residues, s = analysis._alignment(spark, sf_dir), analysis._states(spark, sf_dir)
+    residues = analysis._alignment(spark, sf_dir)
+    s = analysis._states(residues)
     n = s.select("node").distinct()
     pairs = n.toDF("left").join(n.toDF("right"), F.col("left") < F.col("right"))
     rc = materialize(scoring.recent_conservation(residues, analysis._matrix(spark)))

@@ -2,17 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-def residue_counts(texts: DataFrame, by: str, text: str) -> DataFrame:
+
+#: Distinct characters at places that a task counts before it hands rows on.
+HELD = 2_000_000
+
+
+def residue_counts(texts: DataFrame, by: str, text: str, residue: Column | None = None) -> DataFrame:
     """(by, position, residue, n): how many texts of a group hold a character
-    at a place, from 1. Characters are counted before they are shuffled, so
-    what is shuffled grows with the longest text, not with the number of
-    texts. Null and empty texts hold none; a null group is one of its own."""
-    chars = F.posexplode(F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))).alias("_at", "residue")
-    at = texts.select(by, chars).select(by, (F.col("_at") + 1).alias("position"), "residue")
-    return at.groupBy(by, "position", "residue").agg(F.count("*").alias("n"))
+    at a place, from 1. Characters are counted batch by batch before they are
+    shuffled, so no row is made for a character of a text, and what is shuffled
+    grows with the longest text, not with the number of texts. Null and empty
+    texts hold none; a null group is one of its own. ``residue`` maps the
+    characters that were counted (column ``residue``), null ones are left out."""
+    kind = texts.schema[by].dataType.simpleString()
+    rows = texts.where(F.length(text) > 0).select(F.col(by), F.col(text).cast("binary").alias("_text"))
+    some = rows.mapInArrow(_counted, f"`{by}` {kind}, position int, residue string, n long")
+    if residue is not None:
+        some = some.select(by, "position", residue.alias("residue"), "n").where("residue is not null")
+    return some.groupBy(by, "position", "residue").agg(F.sum("n").alias("n"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (group, place, character), of one task's texts. A group, a
+    place and a code point are one number; sorted runs of numbers are counted
+    and merged, and handed on once more than ``HELD`` are there."""
+    groups: dict = {}
+    keys, counts, names, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), [], []
+
+    def merged() -> None:
+        nonlocal keys, counts
+        at = np.concatenate([keys, *(k for k, _ in waiting)])
+        n = np.concatenate([counts, *(c for _, c in waiting)])
+        waiting.clear()
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        keys, counts = at[first], np.add.reduceat(n, first) if len(first) else n
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), 200_000):
+            k = keys[i : i + 200_000]
+            codes, inverse = np.unique(k & 0x1FFFFF, return_inverse=True)
+            letters = pa.array([chr(c) for c in codes.tolist()], pa.string()).take(pa.array(inverse))
+            own = pa.array(names, kind).take(pa.array(k >> 52))
+            yield pa.RecordBatch.from_arrays([own, pa.array(((k >> 21) & 0x7FFFFFFF).astype(np.int32)), letters, pa.array(counts[i : i + 200_000])], schema=schema)
+
+    kind, schema = None, None
+    for batch in batches:
+        if schema is None:
+            kind = batch.schema.field(0).type
+            schema = pa.schema([(batch.schema.field(0).name, kind), ("position", pa.int32()), ("residue", pa.string()), ("n", pa.int64())])
+        part, size = [], 0
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if name not in groups:
+                if len(names) == 1 << 11:
+                    # no number is left for a new group
+                    if size:
+                        waiting.append(np.unique(np.concatenate(part), return_counts=True))
+                        part, size = [], 0
+                    merged()
+                    yield from rows()
+                    keys, counts, names = keys[:0], counts[:0], []
+                    groups.clear()
+                groups[name] = len(names)
+                names.append(name)
+            codes = np.frombuffer(text.as_py().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
+            part.append((groups[name] << 52) | (np.arange(1, len(codes) + 1, dtype=np.int64) << 21) | codes)
+            size += len(codes)
+            if size > HELD:
+                waiting.append(np.unique(np.concatenate(part), return_counts=True))
+                part, size = [], 0
+        if size:
+            waiting.append(np.unique(np.concatenate(part), return_counts=True))
+        if sum(len(k) for k, _ in waiting) > HELD:
+            merged()
+            if len(keys) > HELD:
+                yield from rows()
+                keys, counts = keys[:0], counts[:0]
+    if waiting:
+        merged()
+    if schema is not None:
+        yield from rows()
 
 
 #: What counts as a residue: a letter of any script, in either case.

@@ -1,11 +1,14 @@
 """Work that must grow no faster than the tables: rows shuffled are counted."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparkloom.operators import covers, nulls, ranks, residues, structures, trees
+from sparkloom.jobs import analysis, calibration
+from sparkloom.operators import columns, covers, nulls, ranks, residues, structures, trees
 
 
 def shuffled(spark, work, broadcast=False):
@@ -92,3 +95,27 @@ def test_equal_pairs_are_aligned_once(spark, monkeypatch):
     monkeypatch.setattr(structures, "align", lambda a, b, scores: (handed.add(1), (0.0, []))[1])
     structures.aligned(df).count()
     assert handed.value == 4
+
+
+def test_characters_are_counted_without_a_row_for_each(spark, monkeypatch):
+    texts = [(g, t) for g in ("x", None, "y") for t in ("ab", "aB\n", "é😀", "", None, "a" * 50)]
+    df = spark.createDataFrame(texts, "g string, t string")
+    want = Counter((g, i, c) for g, t in texts for i, c in enumerate(t or "", 1))
+    got = columns.residue_counts(df, "g", "t")
+    assert {tuple(r)[:3]: r["n"] for r in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    # parts handed on in between add up
+    monkeypatch.setattr(columns, "HELD", 20)
+    batches = [pa.record_batch({"g": [g], "_text": [t.encode()]}) for g, t in texts if t]
+    held = Counter()
+    for b in columns._counted(iter(batches)):
+        held.update({(r["g"], r["position"], r["residue"]): r["n"] for r in b.to_pylist()})
+    assert held == want
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    read, plain = [], columns.residue_counts
+    monkeypatch.setattr(columns, "residue_counts", lambda *a: (read.append(1), plain(*a))[1])
+    monkeypatch.setattr(analysis, "table", lambda *a: spark.createDataFrame([("x", "Dab"), ("y", "EaK")], "lang string, text string"))
+    assert analysis.property_shifts(spark, "").count() == 6 and len(read) == 1
+    assert calibration.score_table(spark, "").count() == 2 and len(read) == 2
