@@ -75,6 +75,24 @@ def _residues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.residue_counts(table(spark, sf_dir, "documents"), "lang", "text")
 
 
+#: Line items that one task of ``transfer_highways`` meets, about.
+TASK_ITEMS = 1_000_000
+
+
+def transfer_highways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and orders from each nation to another. Both sides are counted
+    per order before they meet, so no order is kept to be told from others,
+    and there are as many tasks as the line items need."""
+    t = {x: table(spark, sf_dir, x) for x in ("lineitem", "orders", "supplier", "customer")}
+    items = t["lineitem"].select(F.col("l_orderkey").alias("key"), "l_suppkey")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), items.count() // TASK_ITEMS + 1)
+    sent = items.join(t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("donor")), "l_suppkey")
+    sent = sent.repartition(parts, "key").groupBy("key", "donor").agg(F.count("*").alias("n"))
+    got = t["orders"].select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("c_custkey")).join(t["customer"].select("c_custkey", F.col("c_nationkey").alias("recipient")), "c_custkey")
+    got = got.repartition(parts, "key").groupBy("key", "recipient").agg(F.count("*").alias("m"))
+    return sent.join(got, "key").where("donor <> recipient").groupBy("donor", "recipient").agg(F.sum(F.col("n") * F.col("m")).alias("n"), F.count("*").alias("n_orders"))
+
+
 CUTOFFS = [20000.0, 40000.0, 60000.0, 80000.0, 90000.0]
 
 
@@ -103,7 +121,7 @@ ORACLE = {
     "hard_threshold_sweep": f"WITH {_D1}, t AS (SELECT CAST(unnest({CUTOFFS}) AS double) AS threshold) SELECT threshold, count(*) AS n_calls, count(DISTINCT node) AS n_nodes FROM d1 JOIN t ON greatest(score_left, score_right) >= threshold GROUP BY 1",
 }
 
-#: Queries whose text both engines run; {table} names a table.
+#: Queries whose text both engines run, but for transfer_highways; {table} names a table.
 _POS = "p AS (SELECT position, count(*) AS n FROM d1 WHERE greatest(score_left, score_right) >= 80000 GROUP BY position)"
 _TREE = "tree AS (SELECT 'root' AS parent, concat('r', CAST(r_regionkey AS string)) AS node, CAST(r_regionkey + 1 AS double) AS len FROM {region} UNION ALL SELECT concat('r', CAST(n_regionkey AS string)), concat('n', CAST(n_nationkey AS string)), CAST(n_nationkey + 1 AS double) FROM {nation} UNION ALL SELECT concat('n', CAST(s_nationkey AS string)), concat('s', CAST(s_suppkey AS string)), CAST(s_suppkey % 7 + 1 AS double) FROM {supplier})"
 SHARED = {
@@ -130,8 +148,8 @@ def shared_oracle(sql: str) -> str:
 
 
 def queries() -> dict[str, Query]:
-    own = [column_residues, top_residue, column_entropy, melt_branches, qcut_deciles, bin_event_thresholds, adaptive_switch_calls, dense_position_tally, hard_threshold_sweep]
-    return {f.__name__: f for f in own} | {k: shared(s) for k, s in SHARED.items()}
+    own = [transfer_highways, column_residues, top_residue, column_entropy, melt_branches, qcut_deciles, bin_event_thresholds, adaptive_switch_calls, dense_position_tally, hard_threshold_sweep]
+    return {f.__name__: f for f in own} | {k: shared(s) for k, s in SHARED.items() if k != "transfer_highways"}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparkloom.jobs import analysis, calibration
+from sparkloom.jobs import analysis, calibration, divergence
 from sparkloom.operators import columns, covers, nulls, ranks, residues, structures, trees
 
 
@@ -119,3 +119,20 @@ def test_texts_are_read_once(spark, monkeypatch):
     monkeypatch.setattr(analysis, "table", lambda *a: spark.createDataFrame([("x", "Dab"), ("y", "EaK")], "lang string, text string"))
     assert analysis.property_shifts(spark, "").count() == 6 and len(read) == 1
     assert calibration.score_table(spark, "").count() == 2 and len(read) == 2
+
+
+def test_highways_count_per_order(spark, monkeypatch):
+    # keys that come twice, null keys and nations
+    held = {
+        "lineitem": spark.createDataFrame([(k % 9 if k % 7 else None, k % 4) for k in range(60)], "l_orderkey long, l_suppkey long"),
+        "orders": spark.createDataFrame([(k % 8, k % 5) for k in range(12)], "o_orderkey long, o_custkey long"),
+        "supplier": spark.createDataFrame([(0, 1), (1, 2), (2, None), (3, 1), (3, 3)], "s_suppkey long, s_nationkey int"),
+        "customer": spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, None), (4, 2)], "c_custkey long, c_nationkey int"),
+    }
+    want = spark.sql(divergence.SHARED["transfer_highways"], **held)
+    monkeypatch.setattr(divergence, "TASK_ITEMS", 6, raising=False)
+    monkeypatch.setattr(divergence, "table", lambda s, d, name: held[name])
+    got = divergence.queries()["transfer_highways"](spark, "")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().toString()
+    assert "distinct" not in plan and ", 11), REPARTITION_BY_NUM" in plan
