@@ -75,3 +75,28 @@ def test_partition_sweep(spark):
         assert (row["n_leaves"], row["root_leaves"], row["n_multiple"], row["n_single"]) == (len(leaves), sizes.get(None, 0), sum(v > 1 for v in sizes.values()), sum(v == 1 for v in sizes.values()))
         assert (row["largest"], row["median_size"]) == (max(sizes.values()), np.median(list(sizes.values())))
         assert row["other_share"] == pytest.approx(1 - sizes.get(None, 0) / len(leaves))
+
+
+def test_cover_takes_many_in_a_round(spark):
+    r = random.Random(8)
+    rows = [(c, m) for c in range(600) for m in r.sample(range(60), 4)]
+    df = spark.createDataFrame(rows, "cluster int, member int")
+    spark.sparkContext.setJobGroup("cover", "set cover")
+    try:
+        got = {x["member"]: x["by"] for x in covers.set_cover(df).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == plain_cover(rows) and len(got) > 20
+    # a round for each member taken or two made hundreds
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("cover")) < 100
+
+
+@pytest.mark.parametrize("block", [12, 160])
+def test_cover_by_blocks(spark, monkeypatch, block):
+    """Blocks smaller than parts, than levels, and parts that share one."""
+    monkeypatch.setattr(covers, "BLOCK", block)
+    r = random.Random(block)
+    rows = [(100 * g + c, f"{g}-{m}") for g in range(4) for c in range(30) for m in r.sample(range(12), 3)]
+    rows += [(1000 + i, f"r{m:02}") for i in range(9) for m in (i, (i + 1) % 9)]
+    got = {x["member"]: x["by"] for x in covers.set_cover(spark.createDataFrame(rows, "cluster int, member string")).collect()}
+    assert got == plain_cover(rows)
