@@ -44,8 +44,9 @@ def sweep(observed: DataFrame, null: DataFrame, stat: str, replicate: str = "rep
     obs = materialize(ranks.running_sums(down, "_d", ["n"]).select("t", F.col("n_upto").alias("n_observed")))
     reps = null.select(F.col(replicate).cast("string").alias("r")).where("r is not null").distinct()
     cells = materialize(_counts(null.where(F.col(replicate).isNotNull()), stat, [replicate]).select(F.col(replicate).cast("string").alias("r"), "t", "n"))
-    edges = obs.agg(F.percentile_approx("t", ranks.range_shares(obs.count() + cells.count()), 10_000).alias("_e"))
-    at = lambda df: df.crossJoin(F.broadcast(edges)).withColumn("_range", ranks.below(F.col("t"), F.col("_e"), equal=True)).drop("_e")
+    shares = ranks.range_shares(obs.count() + cells.count())
+    edges = obs.agg(F.percentile_approx("t", shares, 10_000).alias("_e"))
+    at = lambda df: ranks.in_ranges(df.crossJoin(F.broadcast(edges)), F.col("t"), "_e", "_range", len(shares), equal=True)
     # a null value counts for all grid points of its range at or below it, and for all lower ranges
     cells, points = at(cells), at(obs)
     part = cells.groupBy("r", "_range").agg(F.sum("n").alias("_n"))

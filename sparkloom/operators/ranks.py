@@ -23,14 +23,20 @@ def range_shares(rows: int, ranges: int = RANGES) -> list[float]:
     return [i / n for i in range(1, n)]
 
 
-def below(value: Column, edges: Column, most: int = RANGES, equal: bool = False) -> Column:
-    """How many of at most ``most`` sorted edges are below the value, or, with
-    ``equal``, not above it. First the block of edges, then the place in it,
-    by plain comparisons: two roots of their number, none of them a lambda."""
+def in_ranges(df: DataFrame, value: Column, edges: str, name: str, most: int = RANGES, equal: bool = False) -> DataFrame:
+    """``df`` with ``name`` for its column ``edges`` of at most ``most`` sorted
+    values: how many of them are below ``value``, or, with ``equal``, not
+    above it; null for null.
+
+    First the block of edges, then the place in it, by plain comparisons: two
+    roots of their number, none of them a lambda. They are two columns, as
+    one expression repeats the first in each comparison of the second, which
+    can make code too long to be compiled."""
     step = max(2, math.isqrt(max(1, most) - 1) + 1)
     less = lambda i: F.coalesce((F.get(edges, i) <= value) if equal else (F.get(edges, i) < value), F.lit(False)).cast("int")
-    block = sum((less(F.lit(step * j - 1)) for j in range(1, step)), F.lit(0)) * step
-    return block + sum((less(block + i) for i in range(step)), F.lit(0))
+    df = df.withColumn("_block", sum((less(F.lit(step * j - 1)) for j in range(1, step)), F.lit(0)) * step)
+    place = F.col("_block") + sum((less(F.col("_block") + i) for i in range(step)), F.lit(0))
+    return df.withColumn(name, F.when(value.isNotNull(), place)).drop("_block", edges)
 
 
 def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] | None = None, ranges: int = RANGES) -> DataFrame:
@@ -43,8 +49,9 @@ def running_sums(counts: DataFrame, value: str, sums: list[str], by: list[str] |
     """
     by = by or []
     counts = materialize(counts.where(F.col(value).isNotNull()))
-    edges = counts.agg(F.percentile_approx(value, range_shares(counts.count(), ranges), 10_000).alias("_edges"))
-    rows = counts.crossJoin(F.broadcast(edges)).withColumn("_range", below(F.col(value), F.col("_edges"), ranges)).drop("_edges")
+    shares = range_shares(counts.count(), ranges)
+    edges = counts.agg(F.percentile_approx(value, shares, 10_000).alias("_edges"))
+    rows = in_ranges(counts.crossJoin(F.broadcast(edges)), F.col(value), "_edges", "_range", len(shares))
     part = rows.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_all_{c}") for c in sums))
     before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     keys = [*by, "_range"]
@@ -150,8 +157,9 @@ def as_of(left: DataFrame, right: DataFrame, x: str, at: str, by: list[str] | No
     a = left.select(*keys, F.col(x).cast("double").alias("_x"), F.lit(0 if strict else 1).alias("_side"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(none).alias("_r"))
     b = right.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("double").alias("_x"), F.lit(1 if strict else 0).alias("_side"), F.lit(None).cast(left.schema.simpleString()).alias("_l"), F.struct(*right.columns).alias("_r"))
     both = materialize(a.unionByName(b))
-    edges = both.agg(F.percentile_approx("_x", range_shares(both.count()), 10_000).alias("_edges"))
-    rows = both.crossJoin(F.broadcast(edges)).withColumn("_range", F.when(F.col("_x").isNotNull(), below(F.col("_x"), F.col("_edges")))).drop("_edges")
+    shares = range_shares(both.count())
+    edges = both.agg(F.percentile_approx("_x", shares, 10_000).alias("_edges"))
+    rows = in_ranges(both.crossJoin(F.broadcast(edges)), F.col("_x"), "_edges", "_range", len(shares))
     groups = [f"_g{i}" for i in range(len(by))]
     here = Window.partitionBy(*groups, "_range").orderBy("_x", "_side", "_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("_here", F.last("_r", ignorenulls=True).over(here))
