@@ -150,8 +150,7 @@ SELECT bin, round(lower, 6) AS lower, round(upper, 6) AS upper, round(med, 6) AS
 def bin_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statistic that each decile of clade sizes needs at a cold position."""
     b, edges, cells = _cell_model(spark, sf_dir)
-    tail = materialize(nulls.tail(b, "score"))
-    out = diagnostics.bin_projection(b, materialize(cells), edges, tail, _Z, 10)
+    out = diagnostics.bin_projection(b, materialize(cells), edges, b, "score", _Z, 10)
     return out.withColumns({c: F.round(c, 6) for c in ("lower", "upper", "median_size", "threshold")})
 
 

@@ -172,13 +172,14 @@ def in_cells(branches: DataFrame, hot: DataFrame, edges: DataFrame, size: str =
     return marked.withColumn("hot", F.coalesce("_hot", F.lit(False))).withColumn("size_bin", F.when(F.col(size).isNotNull(), switches.bin_of(F.col(size), F.col("edges")))).drop("_hot", "edges")
 
 
-def bin_projection(sizes: DataFrame, cells: DataFrame, edges: DataFrame, tail: DataFrame, z: float, bins: int, size: str = "clade") -> DataFrame:
+def bin_projection(sizes: DataFrame, cells: DataFrame, edges: DataFrame, null: DataFrame, stat: str, z: float, bins: int, size: str = "clade") -> DataFrame:
     """(bin, lower, upper, median_size, threshold) of each quantile bin of the
     branch sizes: the statistic that its median size needs for ``z`` at a
     position that is not hot. A projection that loses the positions: the rule
     itself asks more at hot ones.
 
-    ``cells``: (hot, size_bin, multiplier); a cell not there counts as 1."""
+    ``cells``: (hot, size_bin, multiplier); a cell not there counts as 1.
+    ``null``: rows with the statistic ``stat``."""
     outer = materialize(switches.quantile_edges(sizes, size, bins))
     binned = sizes.where(F.col(size).isNotNull()).crossJoin(F.broadcast(outer)).withColumn("bin", switches.bin_of(F.col(size), F.col("edges")))
     ends = F.element_at("edges", F.col("bin") + 1).alias("lower"), F.element_at("edges", F.col("bin") + 2).alias("upper")
@@ -187,4 +188,4 @@ def bin_projection(sizes: DataFrame, cells: DataFrame, edges: DataFrame, tail: D
     placed = middle.crossJoin(F.broadcast(edges)).withColumn("size_bin", switches.bin_of(F.col("median_size"), F.col("edges"))).drop("edges")
     cold = cells.where(~F.col("hot")).select("size_bin", "multiplier")
     want = placed.join(cold, "size_bin", "left").withColumn("_q", F.lit(10.0 ** -z) / F.coalesce("multiplier", F.lit(1.0)))
-    return nulls.with_quantile(want.select("bin", "median_size", "_q"), tail, "_q", "threshold").join(ends, "bin").select("bin", "lower", "upper", "median_size", "threshold")
+    return nulls.quantile_among(want.select("bin", "median_size", "_q"), null, stat, "_q", "threshold").join(ends, "bin").select("bin", "lower", "upper", "median_size", "threshold")

@@ -210,6 +210,56 @@ def with_quantile(df: DataFrame, tailed: DataFrame, survival: str, name: str = "
     return found.crossJoin(F.broadcast(top)).withColumn(name, F.when(F.col(survival).isNotNull(), F.coalesce("_f.t", "_top"))).drop("_f", "_top")
 
 
+def _values(null: DataFrame, stat: str) -> DataFrame:
+    return null.where(F.col(stat).isNotNull() & ~F.isnan(F.col(stat).cast("double"))).select(F.col(stat).cast("double").alias("t"))
+
+
+def survival_among(df: DataFrame, null: DataFrame, stat: str, x: str, name: str = "survival") -> DataFrame:
+    """``with_survival`` straight from the null rows, without a table of their
+    distinct values: both tables are split into ranges, and a range counts
+    null values as it is read in order. A value that many rows share is the
+    upper edge of its range, and these rows are counted without an order."""
+    values = _values(null, stat).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields), F.col("t").alias("_x"), F.lit(1).alias("_null"))
+    both = df.withColumns({"_x": F.col(x).cast("double"), "_null": F.lit(0)}).unionByName(values)
+    shares = ranks.range_shares(both.count())
+    edges = both.agg(F.percentile_approx("_x", shares, 10_000).alias("_edges"))
+    rows = both.crossJoin(F.broadcast(materialize(edges))).withColumn("_tops", F.col("_edges"))
+    rows = ranks.in_ranges(rows, F.col("_x"), "_edges", "_range", len(shares))
+    # written, as a filter on these columns would be pushed below them, their whole expressions in it
+    rows = materialize(rows.withColumn("_top", F.coalesce(F.get("_tops", F.col("_range")) == F.col("_x"), F.lit(False))).drop("_tops"))
+    part = rows.where("_range is not null").groupBy("_range").agg(F.sum("_null").alias("_in"), F.sum(F.when(F.col("_top"), F.col("_null")).otherwise(0)).alias("_at"))
+    above = F.sum("_in").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1))
+    part = materialize(part.select(F.col("_range").alias("_of"), (F.coalesce(above, F.lit(0)) + F.col("_at")).alias("_more"), F.sum("_in").over(Window.partitionBy()).alias("_n")))
+    down = Window.partitionBy("_range").orderBy(F.desc("_x")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = rows.where("_x is not null and not _top").withColumn("_own", F.sum("_null").over(down)).where("_null = 0")
+    rest = rows.where("_null = 0 and (_x is null or _top)").withColumn("_own", F.lit(0).cast("long"))
+    out = ordered.unionByName(rest).join(F.broadcast(part), F.col("_range") == F.col("_of"), "left")
+    return out.select(*df.columns, F.when(F.col("_x").isNotNull(), (F.col("_more") + F.col("_own") + 1) / (F.col("_n") + 1)).alias(name))
+
+
+def quantile_among(df: DataFrame, null: DataFrame, stat: str, survival: str, name: str = "t") -> DataFrame:
+    """``with_quantile`` straight from the null rows, for a ``df`` of few
+    rows: null values are counted in cells of equal width, and only those in
+    a cell that may hold the value of a row are ordered."""
+    values = _values(null, stat)
+    ends = materialize(values.agg(F.min("t").alias("_least"), F.max("t").alias("_most"), F.count("*").alias("_n")))
+    placed = values.crossJoin(F.broadcast(ends)).select("t", ranks.cell_of(F.col("t"), F.col("_least"), F.col("_most") - F.col("_least")).alias("_cell"))
+    down = Window.orderBy(F.desc("_cell"))
+    cells = materialize(placed.groupBy("_cell").agg(F.count("*").alias("_in"), F.min("t").alias("_low"))).crossJoin(F.broadcast(ends.select("_n")))
+    cells = cells.withColumns({"_above": F.coalesce(F.sum("_in").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_next": F.lag("_low").over(down)})
+    # the largest value of a cell has one more at or above it than the cells above, at least
+    first = materialize(ranks.as_of(df, cells.withColumn("_s", (F.col("_above") + 2) / (F.col("_n") + 1)), survival, "_s", name="_c"))
+    held = first.where("_c is not null").select("_c._cell", "_c._in", "_c._above", "_c._n").distinct()
+    counts = ranks.joined(placed, held, ["_cell"]).groupBy("_cell", "_in", "_above", "_n", "t").agg(F.count("*").alias("n"))
+    upto = ranks.running_sums(counts, "t", ["n"], ["_cell"])
+    reached = F.col("_above") + F.col("_in") - (F.col("n_upto") - F.col("n"))
+    exact = upto.select("_cell", "t", ((reached + 1) / (F.col("_n") + 1)).alias("_s"))
+    found = ranks.as_of(first.withColumn("_cell", F.col("_c._cell")), exact, survival, "_s", ["_cell"], name="_f")
+    # where no value of the cell will do, the least one above it does
+    value = F.coalesce("_f.t", "_c._next", "_most")
+    return found.crossJoin(F.broadcast(ends.select("_most"))).select(*df.columns, F.when(F.col(survival).isNotNull(), value).alias(name))
+
+
 def thinned(tailed: DataFrame, most: int = 4000) -> DataFrame:
     """At most about ``most`` anchors of ``tail``, evenly spaced in the
     logarithm of survival: the least value of each step, and both ends."""

@@ -107,6 +107,11 @@ def quantile_rank(share: Column, total: Column, method: str = "linear") -> Colum
 CELLS = 4096
 
 
+def cell_of(value: Column, least: Column, width: Column) -> Column:
+    """Cell from 0 of a value at most ``width`` above ``least``; 0 without a finite width."""
+    return F.when((width > 0) & (width < float("inf")), F.floor((value - least) / width * CELLS)).otherwise(0)
+
+
 def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None, weight: str | None = None, method: str = "linear") -> DataFrame:
     """(by, share, percentile, n): exact, by default linear between
     neighbours (see ``quantile_rank``); rows count ``weight`` times.
@@ -123,8 +128,7 @@ def percentiles(df: DataFrame, value: str, shares: list[float], by: list[str] |
     ends = groups.select(*keys, "_least", (F.col("_most") - F.col("_least")).alias("_width"))
     rows = joined(rows, ends, keys) if keys else rows.crossJoin(F.broadcast(ends))
     # the same value is in the same cell, a larger one in no lower cell; without a finite width all are in one
-    cell = F.when((F.col("_width") > 0) & (F.col("_width") < float("inf")), F.floor((F.col("_v").cast("double") - F.col("_least")) / F.col("_width") * CELLS)).otherwise(0)
-    rows = rows.select(*keys, "_v", "_n", cell.alias("_cell"))
+    rows = rows.select(*keys, "_v", "_n", cell_of(F.col("_v").cast("double"), F.col("_least"), F.col("_width")).alias("_cell"))
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = materialize(rows.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_in"))).withColumn("_before", F.coalesce(F.sum("_in").over(before), F.lit(0)))
     wanted = groups.withColumn("share", F.explode(F.array(*map(F.lit, shares)))).withColumn("_rank", quantile_rank(F.col("share"), F.col("_total"), method))

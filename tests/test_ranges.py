@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sparkloom.operators import ranks
+from sparkloom.operators import nulls, ranks
 
 
 def _longest_method(df):
@@ -36,3 +36,36 @@ def test_in_ranges(spark, n, equal):
     assert len(got) == 106
     for x in got:
         assert x["r"] == (None if x["x"] is None else sum(e <= x["x"] if equal else e < x["x"] for e in edges))
+
+
+@pytest.mark.parametrize("size", [10_000_000, 20])
+def test_survival_and_quantile_among_null_rows(spark, monkeypatch, size):
+    """Many equal values, single ones, missing ones; the tail's merges agree."""
+    monkeypatch.setattr(ranks, "RANGE_ROWS", size)
+    r = random.Random(size)
+    v = [7.0] * 200 + [float(r.randrange(30)) for _ in range(200)] + [r.random() * 30 for _ in range(100)] + [1e6]
+    null = spark.createDataFrame([(x,) for x in [*v, None, float("nan")]], "s double")
+    xs = [None, -1.0, 7.0, 7.0, 1e6, 2e6, *(float(i) for i in range(31)), *v[-60:]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id int, x double")
+    got = {x["id"]: x for x in nulls.survival_among(df, null, "s", "x").collect()}
+    assert len(got) == len(xs) and got[0]["x"] is None and got[0]["survival"] is None
+    for i, x in enumerate(xs[1:], 1):
+        assert got[i]["x"] == x and got[i]["survival"] == (sum(y >= x for y in v) + 1) / (len(v) + 1)
+    over = sorted({(sum(y >= x for y in v) + 1) / (len(v) + 1) for x in v})
+    qs = [None, 0.0, 1e-9, 1.0, 2.0, 0.5, *over, *(q * (1 - 1e-12) for q in over), *(r.random() for _ in range(40))]
+    want = spark.createDataFrame([(i, q) for i, q in enumerate(qs)], "id int, q double")
+    cut = {x["id"]: x["t"] for x in nulls.quantile_among(want, null, "s", "q").collect()}
+    assert len(cut) == len(qs) and cut[0] is None
+    for i, q in enumerate(qs[1:], 1):
+        assert cut[i] == min((x for x in v if (sum(y >= x for y in v) + 1) / (len(v) + 1) <= q), default=1e6)
+    assert cut == {x["id"]: x["t"] for x in nulls.with_quantile(want, nulls.tail(null, "s"), "q").collect()}
+
+
+def test_survival_and_quantile_of_few_null_rows(spark):
+    df = spark.createDataFrame([(0.5, 1.0), (2.0, 0.4)], "q double, x double")
+    none = spark.createDataFrame([], "s double")
+    assert {x["survival"] for x in nulls.survival_among(df, none, "s", "x").collect()} == {1.0}
+    assert {x["t"] for x in nulls.quantile_among(df, none, "s", "q").collect()} == {None}
+    same = spark.createDataFrame([(3.0,)] * 4, "s double")
+    assert {(x["x"], x["survival"]) for x in nulls.survival_among(df.limit(0).unionByName(spark.createDataFrame([(0.1, 3.0), (0.1, 4.0)], "q double, x double")), same, "s", "x").collect()} == {(3.0, 1.0), (4.0, 0.2)}
+    assert {x["t"] for x in nulls.quantile_among(df, same, "s", "q").collect()} == {3.0}
