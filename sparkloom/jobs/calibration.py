@@ -66,11 +66,10 @@ def cell_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     statistic that each position needs to reach z = 2."""
     f = materialize(facts(spark, sf_dir).withColumn("top", nulls.statistic(F.col("score_left"), F.col("score_right"))).select("position", "side", "replicate", "top"))
     null = f.where("side = 'O'")
-    tail = materialize(nulls.tail(null, "top"))
-    a = materialize(nulls.multipliers(nulls.cells(null, "top", _CUT, ["position", "replicate"]), ["position"]).select("position", "multiplier"))
-    seen = nulls.with_survival(f.where("side = 'F'").select("position", "top").join(a, "position"), tail, "top")
+    a = materialize(nulls.multipliers(materialize(nulls.cells(null, "top", _CUT, ["position", "replicate"])), ["position"]).select("position", "multiplier"))
+    seen = nulls.survival_among(f.where("side = 'F'").select("position", "top"), null, "top", "top").join(a, "position")
     z = seen.withColumn("z", -F.log10(F.col("multiplier") * F.col("survival")))
-    need = nulls.with_quantile(a.withColumn("_q", F.lit(0.01) / F.col("multiplier")), tail, "_q", "threshold").select("position", "threshold")
+    need = nulls.quantile_among(a.withColumn("_q", F.lit(0.01) / F.col("multiplier")), null, "top", "_q", "threshold").select("position", "threshold")
     out = z.groupBy("position", "multiplier").agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"), F.max("z").alias("top_z")).join(need, "position")
     return out.select("position", F.round("multiplier", 9).alias("multiplier"), "n", *(F.round(c, 6).alias(c) for c in ("mean_z", "top_z", "threshold")))
 
